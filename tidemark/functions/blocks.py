@@ -1,4 +1,196 @@
+"""Column expressions over delimited blocks of text: cut, measure, elide, align.
+
+Sizes and spans count UTF-8 bytes. A block kind names its blocks by a pattern;
+blocks of a kind do not nest, the outermost one is taken.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
 from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from tidemark import fixed
+
+
+@dataclass(frozen=True)
+class BlockKind:
+    """``head`` is the part of a block that is kept; ``type`` and ``symbol`` take group 1.
+
+    A block without a symbol is named by its type and position.
+    """
+
+    pattern: str
+    units: str
+    head: str = ""
+    type: str = ""
+    fixed_type: str = ""
+    symbol: str = ""
+
+
+def _tags(*names: str) -> str:
+    return "(?is)" + "|".join(rf"<{n}\b[^>]*>.*?</{n}>" for n in names)
+
+
+PAGE_BLOCKS = BlockKind(
+    pattern=_tags("script", "style", "nav", "article", "footer"),
+    units="<[A-Za-z]",
+    type="^<([A-Za-z]+)",
+)
+
+# Laid-out Python: a function ends at the next line that is not indented deeper.
+PYTHON_FUNCTIONS = BlockKind(
+    pattern=r"(?ms)^([ \t]*)(?:async[ \t]+)?def[ \t]+\w+.*?(?=^(?!\1[ \t])[ \t]*[^\s)#\]}]|\z)",
+    units=r"\w+|[^\s\w]",
+    head=r"(?s)^.*?\)[^\n:]*:",
+    fixed_type="function_definition",
+    symbol=r"def[ \t]+(\w+)",
+)
+
+# Laid-out braces: a function that starts a line ends at the brace with the same indentation.
+BRACE_FUNCTIONS = BlockKind(
+    pattern=r"(?ms)^([ \t]*)(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function\b[^\n{]*\{[ \t]*$.*?^\1\}",
+    units=r"\w+|[^\s\w]",
+    head=r"(?s)^[^{]*",
+    fixed_type="function_declaration",
+    symbol=r"function[*\s]+(\w+)",
+)
+
+CODE_KINDS = {"py": PYTHON_FUNCTIONS, "js": BRACE_FUNCTIONS, "ts": BRACE_FUNCTIONS, "tsx": BRACE_FUNCTIONS}
+PAGE_KINDS = {ext: PAGE_BLOCKS for ext in fixed.SOURCE_EXTENSIONS}
+
+
 def supported(ext: Column) -> Column:
     return ext.isin(*fixed.SOURCE_EXTENSIONS)
+
+
+def extension(path: Column) -> Column:
+    return F.regexp_extract(path, r"\.([^./]+)$", 1)
+
+
+def size(text: Column) -> Column:
+    return F.octet_length(text).cast("bigint")
+
+
+def by_kind(kinds: dict[str, BlockKind], ext: Column, make) -> Column:
+    """``make(kind)`` of the row's extension; null for other extensions."""
+    groups: dict[BlockKind, list[str]] = {}
+    for e, kind in kinds.items():
+        groups.setdefault(kind, []).append(e)
+    out = F
+    for kind, exts in groups.items():
+        out = out.when(ext.isin(*exts), make(kind))
+    return out
+
+
+def count_units(text: Column, kind: BlockKind) -> Column:
+    return F.regexp_count(text, F.lit(kind.units)).cast("bigint")
+
+
+def cut_blocks(text: Column, kind: BlockKind) -> Column:
+    """Array of (gap, head, body, type, symbol): the text in order, its last block empty."""
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    gaps = F.split(text, kind.pattern, -1)
+
+    def piece(gap: Column, block: Column) -> Column:
+        head = F.regexp_extract(block, kind.head, 0) if kind.head else F.when(block.isNotNull(), F.lit(""))
+        body = F.substr(block, F.char_length(head) + 1) if kind.head else block
+        kind_name = F.lit(kind.fixed_type) if kind.fixed_type else F.lower(F.regexp_extract(block, kind.type, 1))
+        symbol = F.regexp_extract(block, kind.symbol, 1) if kind.symbol else F.lit("")
+        return F.struct(
+            gap.alias("gap"), head.alias("head"), body.alias("body"),
+            kind_name.alias("type"), F.nullif(symbol, F.lit("")).alias("symbol"),
+        )
+
+    return F.transform(
+        F.zip_with(gaps, found, piece),
+        lambda p, i: F.struct(
+            p["gap"].alias("gap"), p["head"].alias("head"), p["body"].alias("body"), p["type"].alias("type"),
+            F.coalesce(p["symbol"], F.concat_ws("_", p["type"], i.cast("string"))).alias("symbol"),
+        ),
+    )
+
+
+SPAN = "array<struct<symbol:string,type:string,original_start:bigint,original_end:bigint>>"
+
+
+def spans(pieces: Column) -> Column:
+    """Array of byte spans of the block bodies.
+
+    Appending copies the array, which is bounded by the unit limit of a file.
+    """
+    lens = F.transform(
+        F.filter(pieces, lambda p: p["body"].isNotNull()),
+        lambda p: F.struct(
+            p["symbol"].alias("symbol"), p["type"].alias("type"),
+            (size(p["gap"]) + size(p["head"])).alias("skip"), size(p["body"]).alias("len"),
+        ),
+    )
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def add(acc: Column, p: Column) -> Column:
+        first = acc["at"] + p["skip"]
+        span = F.struct(
+            p["symbol"].alias("symbol"), p["type"].alias("type"),
+            first.alias("original_start"), (first + p["len"]).alias("original_end"),
+        )
+        return F.struct((first + p["len"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    return F.aggregate(lens, start, add, lambda acc: acc["out"])
+
+
+def rebuild(pieces: Column, replacement) -> Column:
+    """The text with each block body replaced by ``replacement(piece)``."""
+    return F.array_join(
+        F.transform(
+            pieces,
+            lambda p: F.concat(p["gap"], F.when(p["body"].isNotNull(), F.concat(p["head"], replacement(p))).otherwise(F.lit(""))),
+        ),
+        "",
+    )
+
+
+def placeholder(ext: Column) -> Column:
+    return F.when(ext == "py", F.lit(fixed.PLACEHOLDER_PY)).otherwise(F.lit(fixed.PLACEHOLDER_OTHER))
+
+
+def hint(n_lookups: Column, hot: int = fixed.HOT_LOOKUPS) -> Column:
+    """Suffix that names the lookup tier of a block; empty when it was never looked up."""
+    tier = F.concat(
+        F.lit(fixed.HINT_PREFIX), F.when(n_lookups > 1, F.lit("L1")).otherwise(F.lit("L2")), F.lit("]"),
+        F.when(n_lookups >= hot, F.lit(fixed.HINT_HOT)).otherwise(F.lit("")),
+    )
+    return F.when(n_lookups > 0, tier).otherwise(F.lit(""))
+
+
+def first_lines(body: Column, lines: int = fixed.HOT_LINES) -> Column:
+    """What is kept of a hot block: its first lines and a truncation mark."""
+    text = F.regexp_replace(body, r"(\r\n|\r|\n)\z", "")
+    kept = F.array_join(F.slice(F.split(text, r"\r\n|\r|\n", lines + 1), 1, lines), "\n")
+    return F.concat(F.lit(" "), kept, F.lit(fixed.HOT_TRUNCATION))
+
+
+def oversize_summary(path: Column, units: Column, n_bytes: Column, limit: int) -> Column:
+    """Counting stops one past the limit, and so does the figure shown."""
+    return F.concat(
+        F.lit(fixed.OVERSIZE_TITLE), path, F.lit("\n# Nodes: "), F.least(units, F.lit(limit + 1)).cast("string"),
+        F.lit(f" > {limit}\n# Size: "), n_bytes.cast("string"), F.lit(" bytes\n"),
+    )
+
+
+def aligned_size(n_bytes: Column, block: int = fixed.BLOCK_BYTES, slack: int = fixed.SLACK_BYTES) -> Column:
+    n = n_bytes.cast("bigint") + F.lit(slack + block - 1)
+    return n - n % F.lit(block)
+
+
+def align(text: Column, block: int = fixed.BLOCK_BYTES, slack: int = fixed.SLACK_BYTES) -> Column:
+    """Pad a text to a multiple of ``block`` that leaves at least ``slack``."""
+    n = size(text)
+    pad = (aligned_size(n, block, slack) - n).cast("int")
+    left, right = fixed.PADDING
+    mark = F.concat(F.lit(left), pad.cast("string"), F.lit(right))
+    fits = pad >= F.octet_length(mark)
+    return F.when(fits, F.concat(text, mark, F.repeat(F.lit(" "), pad - F.octet_length(mark)))).otherwise(
+        F.concat(text, F.repeat(F.lit(" "), pad))
+    )

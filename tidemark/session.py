@@ -53,3 +53,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder, so that later stages read one fixed copy."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that costly columns are made once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -134,13 +134,10 @@ def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookups of elided blocks: the events of a user hit blocks of the pages with the same remainder."""
+    """Lookups of elided blocks: twenty consecutive events per page, block by user."""
     blocks = ["style", "script", "nav", "article", "footer"]
-    page = F.col("event_id") % 40
-    k = (F.col("user_id") % 5).cast("int")
-    ext = pick(EXTENSIONS, page % 5)
-    return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("src/page_"), page.cast("string"), F.lit("."), ext).alias("path"),
-        F.concat(pick(blocks, k), F.lit("_"), k.cast("string")).alias("symbol"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), "event_id",
+    names, exts = (", ".join(f"'{x}'" for x in xs) for xs in (blocks, EXTENSIONS))
+    return table(spark, sf_dir, "events").selectExpr("event_id div 20 as page", "cast(user_id % 5 as int) as k").selectExpr(
+        f"concat('src/page_', page, '.', get(array({exts}), cast(page % 5 as int))) as path",
+        f"concat(get(array({names}), k), '_', k) as symbol",
     )

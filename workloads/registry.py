@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workloads import usage
+from workloads import text, usage
 
-MODULES = [usage]
+MODULES = [usage, text]
 
 
 def queries():
