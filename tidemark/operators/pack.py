@@ -74,7 +74,7 @@ class _Walk:
 
 
 def _summaries(capacity: int):
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         walk = _Walk(pdf.sort_values("ord")["entry_bytes"].to_numpy(np.int64), capacity)
         known: dict[int, tuple[int, int]] = {}  # entry -> (buckets opened from it on, last of them)
         rows, hi = [], FULL
@@ -103,7 +103,7 @@ def _summaries(capacity: int):
     return fn
 
 
-def _starts(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _starts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     fill, bucket, members, out = FULL, -1, 0, []
     pdf = pdf.sort_values(["chunk", "hi"], ascending=[True, False])
     chunks = pdf["chunk"].to_numpy()

@@ -32,11 +32,12 @@ def distill(
     counts: DataFrame | None = None,
     literal: str = R.CODE_LITERAL,
     small_bytes: int = fixed.SMALL_BYTES,
+    shard: str = "",
 ) -> Distilled:
     """Large skeletons keep their own key; small ones are packed in path order.
 
     Skeletons are written once with their byte counts; packing then reads paths
-    and counts only.
+    and counts only. ``shard`` becomes part of the bucket keys.
     """
     sk = D.skeletons(files, kinds, limit, counts, literal)
     sk = sk.select(
@@ -48,7 +49,7 @@ def distill(
     is_small = F.col("skeleton_bytes") < small_bytes
     small, large = sk.filter(is_small), sk.filter(~is_small)
 
-    entries = small.select(F.lit("").alias("shard"), "path", "entry_bytes")
+    entries = small.select(F.lit(shard).alias("shard"), "path", "entry_bytes")
     numbered = P.with_positions(entries, "path")
     packed = P.pack_next_fit(numbered)
     texts = small.select("path", F.col("skeleton").alias("text")).join(numbered.select("shard", "ord", "path"), "path")

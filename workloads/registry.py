@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workloads import text, usage
+from workloads import notes, snapshots, streams, text, usage
 
-MODULES = [usage, text]
+MODULES = [usage, text, snapshots, notes, streams]
 
 
 def queries():
