@@ -38,6 +38,7 @@ UNIT_LIMIT = 30000
 OVERSIZE_TITLE = "# [GCS CIRCUIT BREAKER] "
 PLACEHOLDER_PY = " pass"
 PLACEHOLDER_OTHER = " ..."
+ANONYMOUS = "anonymous"
 HOT_LOOKUPS = 5
 HOT_LINES = 10
 HOT_TRUNCATION = "\n        ... (semantic truncation)"

@@ -18,7 +18,7 @@ from tidemark import fixed
 class BlockKind:
     """``head`` is the part of a block that is kept; ``type`` and ``symbol`` take group 1.
 
-    A block without a symbol is named by its type and position.
+    Blocks of a kind without names are named by type and position.
     """
 
     pattern: str
@@ -39,22 +39,30 @@ PAGE_BLOCKS = BlockKind(
     type="^<([A-Za-z]+)",
 )
 
-# Laid-out Python: a function ends at the next line that is not indented deeper.
+# Laid-out Python: the body of a function ends before the next line that is not
+# indented deeper than its ``def``.
 PYTHON_FUNCTIONS = BlockKind(
-    pattern=r"(?ms)^([ \t]*)(?:async[ \t]+)?def[ \t]+\w+.*?(?=^(?!\1[ \t])[ \t]*[^\s)#\]}]|\z)",
+    pattern=r"(?ms)^([ \t]*)(?:async[ \t]+)?def[ \t]+\w+.*?(?=\s*(?:^(?!\1[ \t])[ \t]*[^\s)\]}]|\z))",
     units=r"\w+|[^\s\w]",
-    head=r"(?s)^.*?\)[^\n:]*:",
+    head=r"(?s)^.*?:[ \t]*(?:#[^\n]*)?\n\s*|^[^\n]*?\)[^\n:]*:[ \t]*",
     fixed_type="function_definition",
     symbol=r"def[ \t]+(\w+)",
 )
 
-# Laid-out braces: a function that starts a line ends at the brace with the same indentation.
+# Laid-out braces: a function whose first line ends in an opening brace ends at the
+# closing brace with the same indentation.
+_MODIFIERS = r"(?:(?:export|default|async|static|public|private|protected|readonly|override|get|set)[ \t]+)*"
 BRACE_FUNCTIONS = BlockKind(
-    pattern=r"(?ms)^([ \t]*)(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function\b[^\n{]*\{[ \t]*$.*?^\1\}",
+    pattern=(
+        rf"(?ms)^([ \t]*){_MODIFIERS}(?:function\b[ \t]*\*?[ \t]*[\w$]*[ \t]*\("
+        r"|(?!(?:if|for|while|switch|catch|with|return|new|else|do|function)\b)[\w$]+[ \t]*\("
+        r"|(?:const|let|var)[ \t]+[\w$]+[^\n=]*=[ \t]*(?:async[ \t]*)?(?:function[ \t]*)?\()"
+        r"[^\n{]*(?:\)|=>)[^\n{};]*\{[ \t]*$.*?^\1\}"
+    ),
     units=r"\w+|[^\s\w]",
     head=r"(?s)^[^{]*",
     fixed_type="function_declaration",
-    symbol=r"function[*\s]+(\w+)",
+    symbol=rf"^[ \t]*{_MODIFIERS}(?:function[*\s]+|(?:const|let|var)[ \t]+)?(?!(?:function|export|default|async)\b)([\w$]+)",
 )
 
 CODE_KINDS = {"py": PYTHON_FUNCTIONS, "js": BRACE_FUNCTIONS, "ts": BRACE_FUNCTIONS, "tsx": BRACE_FUNCTIONS}
@@ -97,7 +105,10 @@ def cut_blocks(text: Column, kind: BlockKind) -> Column:
         head = F.regexp_extract(block, kind.head, 0) if kind.head else F.when(block.isNotNull(), F.lit(""))
         body = F.substr(block, F.char_length(head) + 1) if kind.head else block
         kind_name = F.lit(kind.fixed_type) if kind.fixed_type else F.lower(F.regexp_extract(block, kind.type, 1))
-        symbol = F.regexp_extract(block, kind.symbol, 1) if kind.symbol else F.lit("")
+        symbol = F.lit("")
+        if kind.symbol:
+            found_name = F.regexp_extract(block, kind.symbol, 1)
+            symbol = F.when(found_name == "", F.lit(fixed.ANONYMOUS)).otherwise(found_name)
         return F.struct(
             gap.alias("gap"), head.alias("head"), body.alias("body"),
             kind_name.alias("type"), F.nullif(symbol, F.lit("")).alias("symbol"),

@@ -16,7 +16,8 @@ from tidemark import fixed
 
 LITERAL = r'"[^"\n]*"'
 CODE_LITERAL = r'''"[^"\n]*"|'[^'\n]*'|`[^`]*`'''
-ASSIGNED = fixed.SECRET_KEYWORDS + r"[\w.-]*\s*[:=]\s*\z"
+# a name, an optional type, the sign
+ASSIGNED = fixed.SECRET_KEYWORDS + r"[\w.-]*\s*(?::[^=\n]*)?[:=]\s*\z"
 PAIR = r"\A\s*[:=]\s*\z"
 KEY_BLOCK = r"(?s)-----BEGIN [^\n]* PRIVATE KEY-----.*?-----END [^\n]* PRIVATE KEY-----"
 

@@ -34,7 +34,10 @@ def file_rows(raw: DataFrame, root: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str, exts: tuple[str, ...] = fixed.SOURCE_EXTENSIONS) -> DataFrame:
-    """All files of the given extensions below a folder; contents are read only if used."""
+    """All files of the given extensions below a folder; contents are read only if used.
+
+    Files without bytes are not listed by Spark's file sources.
+    """
     raw = spark.read.format("binaryFile").options(**_options(exts)).load(root)
     return file_rows(raw, root)
 

@@ -35,7 +35,7 @@ def rewritten(table: str, source: str, keys: str, judge: str, text: str = "text"
 def literal_rules(limit: float) -> str:
     secret = f"regexp_matches(lits[i], '{KEYWORDS}')"
     assigned = (
-        f"(regexp_matches(gaps[i], '{KEYWORDS}[\\w.-]*\\s*[:=]\\s*\\z') or "
+        f"(regexp_matches(gaps[i], '{KEYWORDS}[\\w.-]*\\s*(?::[^=\\n]*)?[:=]\\s*\\z') or "
         f"(regexp_matches(gaps[i], '\\A\\s*[:=]\\s*\\z') and i > 1 and regexp_matches(lits[i - 1], '{KEYWORDS}')))"
     )
     inner = "trim(lits[i], '\"'' ')"

@@ -15,23 +15,27 @@ from tidemark.streaming import monitor as M
 from workloads import fixtures as X
 from workloads import usage as U
 
-SLICES = 3
-SLICE_US = 3_000_000_000
+SPAN_US = 9_000_000_000
+SLICE_ROWS = 5_000_000
+LEAST_SLICES = 3
 
 
 def _run(spark, sf_dir, write):
     """Deliver the samples in time slices; each slice is one run of the stream from its checkpoint.
 
-    ``write(stream)`` gives the writer of the monitored stream.
+    ``write(stream)`` gives the writer of the monitored stream. The number of
+    slices grows with the table, so that a micro-batch stays bounded.
     """
+    n_rows = X.table(spark, sf_dir, "events").count()
+    slices = max(LEAST_SLICES, -(-n_rows // SLICE_ROWS))
     landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "progress")
     samples = S.with_limit(S.normalize_usage(X.usage_payloads(spark, sf_dir))).select(
-        "session_id", "event_id", "t_us", "prompt_tokens", "max_context", F.expr(f"t_us div {SLICE_US}").alias("slice")
+        "session_id", "event_id", "t_us", "prompt_tokens", "max_context", F.expr(f"t_us * {slices} div {SPAN_US}").alias("slice")
     )
     staged = scratch_path(spark, "samples")
     samples.write.partitionBy("slice").parquet(staged)
     schema = "session_id BIGINT, event_id BIGINT, t_us BIGINT, prompt_tokens BIGINT, max_context BIGINT"
-    for i in range(SLICES):
+    for i in range(slices):
         spark.read.schema(schema).parquet(f"{staged}/slice={i}").write.mode("append").parquet(landing)
         stream = M.monitor_stream(spark.readStream.schema(schema).parquet(landing))
         q = write(stream).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

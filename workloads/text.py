@@ -157,7 +157,7 @@ SQL = {
 select doc_id, md5(text) as digest from r""",
     "redact_assigned": f"""with {P.DOCUMENTS}
 select doc_id, md5(regexp_replace(text,
-  '(?i)((?:api[_-]?key|token|secret|password|credential)[\\w.-]*"?\\s*[:=]\\s*)"[^"\\n]*"', '\\1"[REDACTED]"', 'g')) as digest
+  '(?i)((?:api[_-]?key|token|secret|password|credential)[\\w.-]*"?\\s*(?::[^=\\n"]*)?[:=]\\s*)"[^"\\n]*"', '\\1"[REDACTED]"', 'g')) as digest
 from docs""",
     "redact_keys": f"""with {P.DOCUMENTS}
 select doc_id, md5(regexp_replace(text, '-----BEGIN .* PRIVATE KEY-----', '"[REDACTED]"', 'g')) as header_digest,
