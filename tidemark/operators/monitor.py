@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import usage as U
-from tidemark.operators.running import Sequence, slot, with_running
+from tidemark.operators.running import Sequence, placed, slot, with_running
 
 SESSION = Sequence(keys=("session_id",), order=("t_us", "event_id"))
 SLOT_US = 600_000_000
@@ -45,7 +45,7 @@ def track_sessions(usage: DataFrame, idle_seconds: int = fixed.IDLE_SECONDS, slo
     seq = SESSION
     upto = seq.rows().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = seq.rows().rowsBetween(Window.unboundedPreceding, -1)
-    df = usage.withColumn("chunk", slot("t_us", slot_us))
+    df = placed(usage.withColumn("chunk", slot("t_us", slot_us)), seq)
     df = df.withColumn("_here", F.lag(F.struct(*SAMPLE)).over(seq.rows()))
     ratio = F.expr("cast(prompt_tokens as double) / cast(max_context as double)")
     df = df.withColumns({

@@ -43,12 +43,22 @@ def slot(t_us: str, width_us: int) -> Column:
     return F.expr(f"{t_us} div {width_us}")
 
 
+def placed(df: DataFrame, seq: Sequence) -> DataFrame:
+    """Rows that have a key and a place in its order; others are in no sequence.
+
+    Said once here, the condition is the same wherever the rows are read, which
+    lets one shuffle serve the rows and their chunk summary.
+    """
+    return df.filter(" and ".join(f"{c} is not null" for c in seq.cut))
+
+
 def with_previous(df: DataFrame, seq: Sequence, columns: list[str], name: str = "prev") -> DataFrame:
     """Add struct ``name``: ``columns`` of the previous row of the key, null on its first row.
 
     The last row of each chunk is found by a second, narrow pass that is
     combined before its shuffle.
     """
+    df = placed(df, seq)
     value = F.struct(*columns)
     ends = df.groupBy(*seq.cut).agg(F.max_by(value, seq.position()).alias("_end"))
     before = ends.select(*seq.cut, F.lag("_end").over(seq.chunks()).alias("_before"))
@@ -70,6 +80,7 @@ def with_running(
     so that an expensive source is read once; this pays only where ``df`` has no
     more columns than keys, order, chunk and ``column``.
     """
+    df = placed(df, seq)
     agg = {"sum": F.sum, "max": F.max}[fn]
     upto = seq.rows().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = Window.currentRow if inclusive else -1
