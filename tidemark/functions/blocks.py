@@ -123,32 +123,31 @@ def cut_blocks(text: Column, kind: BlockKind) -> Column:
     )
 
 
-SPAN = "array<struct<symbol:string,type:string,original_start:bigint,original_end:bigint>>"
-
-
 def spans(pieces: Column) -> Column:
-    """Array of byte spans of the block bodies.
-
-    Appending copies the array, which is bounded by the unit limit of a file.
-    """
-    lens = F.transform(
+    """Array of byte spans of the block bodies, in reading order."""
+    blocks = F.transform(
         F.filter(pieces, lambda p: p["body"].isNotNull()),
         lambda p: F.struct(
-            p["symbol"].alias("symbol"), p["type"].alias("type"),
-            (size(p["gap"]) + size(p["head"])).alias("skip"), size(p["body"]).alias("len"),
+            p["symbol"].alias("symbol"), p["type"].alias("type"), size(p["body"]).alias("len"),
+            (size(p["gap"]) + size(p["head"]) + size(p["body"])).alias("all"),
         ),
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    zero = F.lit(0).cast("bigint")
+    # Appending copies the array of ends; the unit limit bounds its length.
+    start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("ends"))
 
     def add(acc: Column, p: Column) -> Column:
-        first = acc["at"] + p["skip"]
-        span = F.struct(
-            p["symbol"].alias("symbol"), p["type"].alias("type"),
-            first.alias("original_start"), (first + p["len"]).alias("original_end"),
-        )
-        return F.struct((first + p["len"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        at = acc["at"] + p["all"]
+        return F.struct(at.alias("at"), F.array_append(acc["ends"], at).alias("ends"))
 
-    return F.aggregate(lens, start, add, lambda acc: acc["out"])
+    ends = F.aggregate(blocks, start, add, lambda acc: acc["ends"])
+    return F.zip_with(
+        blocks, ends,
+        lambda p, end: F.struct(
+            p["symbol"].alias("symbol"), p["type"].alias("type"),
+            (end - p["len"]).alias("original_start"), end.alias("original_end"),
+        ),
+    )
 
 
 def rebuild(pieces: Column, replacement) -> Column:

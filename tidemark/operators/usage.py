@@ -31,15 +31,14 @@ def normalize_usage(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     ``llm_response`` is a model reply. One pass over the JSON yields all fields.
     """
     keep = [c for c in payloads.columns if c != payload]
-    df = payloads.select(*keep, F.from_json(payload, PAYLOAD).alias("_p"))
-    df = df.filter("_p.context_window is not null or _p.llm_response is not null").select(
-        *keep,
-        F.col("_p.model").alias("_model"),
-        F.col("_p.context_window").alias("_w"),
-        F.when(
-            F.col("_p.context_window").isNull(), F.coalesce("_p.llm_response.usageMetadata", "_p.llm_response.usage")
-        ).alias("_u"),
-        U.first_text(F.col("_p.llm_response.model"), F.col("_p.llm_request.model")).alias("_reply_model"),
+    # A filter on the parsed value would be pushed below it and parse again for
+    # each condition; generating the value's fields keeps it at one parse.
+    parsed = F.array(F.from_json(payload, PAYLOAD))
+    known = F.filter(parsed, lambda p: p["context_window"].isNotNull() | p["llm_response"].isNotNull())
+    df = payloads.select(*keep, F.inline(known).alias("_model", "_w", "_q", "_r")).select(
+        *keep, "_model", "_w",
+        F.expr("case when _w is null then coalesce(_r.usageMetadata, _r.usage) end").alias("_u"),
+        U.first_text(F.col("_r.model"), F.col("_q.model")).alias("_reply_model"),
     )
     status, w, u = F.col("_w").isNotNull(), F.col("_w"), F.col("_u")
     status_model = F.when(F.col("_model").startswith("{"), F.get_json_object("_model", "$.id")).otherwise(F.col("_model"))

@@ -1,7 +1,8 @@
 """Table of the last status per session, in versions.
 
-A version is a whole small table in its own folder; the row in ``versions`` is
-written last. A repeated batch overwrites its own version.
+A version holds the sessions of one batch; every ``fold_every``-th one is a base
+that holds all sessions. The row in ``versions`` is written last, so a version
+is seen as a whole or not at all, and a repeated batch overwrites its own.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql.utils import AnalysisException
 
 from tidemark import fixed
 
+FOLD_EVERY = 50
+
 
 def _schema(kind: str) -> str:
     return f"session_id {kind}, t_us BIGINT, event_id BIGINT, status STRING"
@@ -22,30 +25,40 @@ def _latest(df: DataFrame) -> DataFrame:
     return df.groupBy("session_id").agg(last.alias("_l")).select("session_id", "_l.*")
 
 
-def read_status(spark: SparkSession, root: str, before: int | None = None, kind: str = "BIGINT") -> DataFrame:
-    """The newest version, or the newest one below ``before``; empty when there is none."""
+def _versions(spark: SparkSession, root: str, before: int | None) -> list[int]:
+    """The newest base and the versions after it; no more than ``fold_every`` numbers."""
     try:
-        seen = spark.read.schema("version BIGINT").parquet(f"{root}/versions")
+        seen = spark.read.schema("version BIGINT, base BOOLEAN").parquet(f"{root}/versions")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], _schema(kind))
+        return []
     if before is not None:
         seen = seen.filter(F.col("version") < before)
-    version = seen.agg(F.max("version")).first()[0]
-    if version is None:
+    base = seen.agg(F.max(F.when(F.col("base"), F.col("version")))).first()[0]
+    if base is not None:
+        seen = seen.filter(F.col("version") >= base)
+    return sorted(r["version"] for r in seen.select("version").collect())
+
+
+def read_status(spark: SparkSession, root: str, before: int | None = None, kind: str = "BIGINT") -> DataFrame:
+    """Last status of each session, over all versions or those below ``before``."""
+    folders = [f"{root}/status/v{v}" for v in _versions(spark, root, before)]
+    if not folders:
         return spark.createDataFrame([], _schema(kind))
-    return spark.read.schema(_schema(kind)).parquet(f"{root}/status/v{version}")
+    return _latest(spark.read.schema(_schema(kind)).parquet(*folders))
 
 
-def write_status(rows: DataFrame, root: str, version: int) -> None:
+def write_status(rows: DataFrame, root: str, version: int, fold_every: int = FOLD_EVERY) -> None:
     """Merge status rows (session_id, t_us, event_id, status) into the table as ``version``."""
     spark = rows.sparkSession
     kind = rows.schema["session_id"].dataType.simpleString()
-    old = read_status(spark, root, before=version, kind=kind)
-    merged = _latest(rows.select(*old.columns).unionByName(old))
-    merged.write.mode("overwrite").parquet(f"{root}/status/v{version}")
-    done = spark.range(1).select(F.lit(True).alias("done")).coalesce(1)
+    rows = rows.select("session_id", "t_us", "event_id", "status")
+    base = version % fold_every == 0
+    if base:
+        rows = rows.unionByName(read_status(spark, root, before=version, kind=kind))
+    _latest(rows).write.mode("overwrite").parquet(f"{root}/status/v{version}")
+    done = spark.range(1).select(F.lit(base).alias("base")).coalesce(1)
     done.write.mode("overwrite").parquet(f"{root}/versions/version={version}")
 
 

@@ -12,7 +12,9 @@ from tidemark.operators import rehydrate as H
 from tidemark.operators import report as S
 from tidemark.plans.distill_run import distill
 from tidemark.session import scratch_path
+from tidemark.sources import report as W
 from tidemark.sources import snapshot as N
+from tidemark.sources.files import scan_files as scan
 from workloads import fixtures as X
 from workloads import sqlparts as P
 
@@ -152,8 +154,21 @@ def compression_ratio(spark, sf_dir):
     return S.compression_ratio(_sizes(spark, sf_dir))
 
 
+def report_written(spark, sf_dir):
+    folder = scratch_path(spark, "report")
+    W.write_report(S.file_sizes(_sizes(spark, sf_dir)), folder)
+    return spark.read.parquet(f"{folder}/top")
+
+
+def scan_files(spark, sf_dir):
+    """Pages written one per file and read back; a line end is added to each."""
+    folder = scratch_path(spark, "pages")
+    X.table(spark, sf_dir, "pages").select("html").write.option("maxRecordsPerFile", 1).text(folder)
+    return scan(spark, folder, ("txt",)).select("ext", "n_bytes", F.md5("text").alias("digest"))
+
+
 QUERIES = [
-    pack_members, pack_all_members, bucket_build, snapshot_union, snapshot_members, snapshot_roundtrip, prune_snapshot,
+    report_written, scan_files, pack_members, pack_all_members, bucket_build, snapshot_union, snapshot_members, snapshot_roundtrip, prune_snapshot,
     prune_other_commit, restore_gate, rehydrate_blocks, rehydrate_full, is_skeletonized, edit_prompts, candidate_files,
     match_intents, file_sizes, size_totals, top_savings, compression_ratio,
 ]
@@ -245,6 +260,11 @@ select count(*) as n_files, cast(sum(n_bytes) as bigint) as original, cast(sum(d
 select path, n_bytes as original, distilled, n_bytes - distilled as saving,
   (n_bytes - distilled)::double / n_bytes::double * 100 as saving_pct
 from siz where n_bytes > 0 order by saving desc, path limit 30""",
+    "report_written": f"""with {_SIZES}
+select path, n_bytes as original, distilled, n_bytes - distilled as saving,
+  (n_bytes - distilled)::double / n_bytes::double * 100 as saving_pct
+from siz where n_bytes > 0 order by saving desc, path limit 30""",
+    "scan_files": """select 'txt' as ext, strlen(html) + 1 as n_bytes, md5(html || chr(10)) as digest from pages""",
     "compression_ratio": f"""with {_SIZES}
 select path, n_bytes, distilled, case when n_bytes = 0 then 1.0::double else distilled::double / n_bytes::double end as ratio from siz""",
 }

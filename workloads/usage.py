@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import usage as U
 from tidemark.operators import monitor as M
 from tidemark.operators import usage as S
+from tidemark.session import scratch_path
+from tidemark.sources import status as T
 from workloads import fixtures as X
 
 
@@ -90,8 +92,18 @@ def reset_summary(spark, sf_dir):
     return M.reset_summary(_tracked(spark, sf_dir))
 
 
+def session_status(spark, sf_dir):
+    """Status of sessions that begin, go on or are unknown: one per conversation."""
+    first = X.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).distinct()
+    started = T.start_sessions(first.select((F.col("session_id") * 2).alias("session_id"), F.lit(-1).cast("bigint").alias("t_us")))
+    root = scratch_path(spark, "status")
+    T.write_status(started, root, 1)
+    T.write_status(M.latest_status(_tracked(spark, sf_dir)), root, 2)
+    return T.status_of(first, T.read_status(spark, root))
+
+
 QUERIES = [
-    usage_normalized, model_context, usage_saturation, zero_skip, distill_due, session_resets, step_notices,
+    session_status, usage_normalized, model_context, usage_saturation, zero_skip, distill_due, session_resets, step_notices,
     tier_triggers, pending_tiers, monotone_notices, latest_status, latest_status_overall, trigger_summary,
     reset_summary,
 ]
@@ -184,6 +196,12 @@ r as (select *, row_number() over (partition by session_id order by t_us desc, e
 select session_id, t_us, event_id, {_STATUS} as status from r where rn = 1""",
     "latest_status_overall": f"""with {_STATE}
 select t_us, event_id, {_STATUS} as status from trg order by t_us desc, event_id desc limit 1""",
+    "session_status": f"""with {_STATE},
+r as (select *, row_number() over (partition by session_id order by t_us desc, event_id desc) as rn from trg),
+s as (select distinct conv_id as session_id from conversations),
+l as (select session_id, {_STATUS} as status from r where rn = 1)
+select s.session_id, coalesce(l.status, case when b.session_id is not null then '[GCS: 0%]' end, '[GCS: --]') as status
+from s left join l on l.session_id = s.session_id left join s b on b.session_id * 2 = s.session_id""",
     "trigger_summary": f"""with {_STATE}
 select session_id, fired_bucket, count(*) as n_fired from trg where fired_bucket is not null group by all""",
     "reset_summary": f"""with {_STATE}
