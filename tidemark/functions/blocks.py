@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark import fixed
+from tidemark.functions.binding import let
 
 
 @dataclass(frozen=True)
@@ -196,11 +197,15 @@ def aligned_size(n_bytes: Column, block: int = fixed.BLOCK_BYTES, slack: int = f
 
 def align(text: Column, block: int = fixed.BLOCK_BYTES, slack: int = fixed.SLACK_BYTES) -> Column:
     """Pad a text to a multiple of ``block`` that leaves at least ``slack``."""
-    n = size(text)
-    pad = (aligned_size(n, block, slack) - n).cast("int")
     left, right = fixed.PADDING
-    mark = F.concat(F.lit(left), pad.cast("string"), F.lit(right))
-    fits = pad >= F.octet_length(mark)
-    return F.when(fits, F.concat(text, mark, F.repeat(F.lit(" "), pad - F.octet_length(mark)))).otherwise(
-        F.concat(text, F.repeat(F.lit(" "), pad))
+
+    def padded(t: Column, pad: Column) -> Column:
+        mark = F.concat(F.lit(left), pad.cast("string"), F.lit(right))
+        fits = pad >= F.octet_length(mark)
+        return F.when(fits, F.concat(t, mark, F.repeat(F.lit(" "), pad - F.octet_length(mark)))).otherwise(
+            F.concat(t, F.repeat(F.lit(" "), pad))
+        )
+
+    return let(
+        text, lambda t: let((aligned_size(size(t), block, slack) - size(t)).cast("int"), lambda pad: padded(t, pad))
     )

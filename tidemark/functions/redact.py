@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark import fixed
+from tidemark.functions.binding import let
 
 LITERAL = r'"[^"\n]*"'
 CODE_LITERAL = r'''"[^"\n]*"|'[^'\n]*'|`[^`]*`'''
@@ -29,15 +30,17 @@ def literals(text: Column, pattern: str = LITERAL) -> Column:
 
 def rewrite_literals(text: Column, judge: Callable[[Column, Column, Column], Column], pattern: str = LITERAL) -> Column:
     """Replace each literal by ``judge(literal, text before it, previous literal)``; null keeps it."""
-    found = literals(text, pattern)
-    gaps = F.split(text, pattern, -1)
-    before = F.concat(F.array(F.lit(None).cast("string")), found)
-    pairs = F.zip_with(found, before, lambda lit, prev: F.struct(lit.alias("lit"), prev.alias("prev")))
-    pieces = F.zip_with(
-        gaps, pairs,
-        lambda gap, p: F.concat(gap, F.coalesce(judge(p["lit"], gap, p["prev"]), p["lit"], F.lit(""))),
-    )
-    return F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text)
+
+    def rewritten(t: Column, found: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), found)
+        pairs = F.zip_with(found, before, lambda lit, prev: F.struct(lit.alias("lit"), prev.alias("prev")))
+        pieces = F.zip_with(
+            F.split(t, pattern, -1), pairs,
+            lambda gap, p: F.concat(gap, F.coalesce(judge(p["lit"], gap, p["prev"]), p["lit"], F.lit(""))),
+        )
+        return F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(t)
+
+    return let(text, lambda t: let(literals(t, pattern), lambda found: rewritten(t, found)))
 
 
 def is_secret(lit: Column) -> Column:
@@ -51,14 +54,15 @@ def is_assigned(gap: Column, prev: Column) -> Column:
 
 def shannon_entropy(s: Column) -> Column:
     """Bits per character; 0 for the empty text."""
-    n = F.nullif(F.char_length(s), F.lit(0)).cast("double")
 
-    def term(acc: Column, c: Column) -> Column:
-        p = (n - F.char_length(F.replace(s, c, F.lit("")))) / n
-        return acc - p * F.log2(p)
+    def bits(s: Column, n: Column) -> Column:
+        def term(acc: Column, c: Column) -> Column:
+            return let((n - F.char_length(F.replace(s, c, F.lit("")))) / n, lambda p: acc - p * F.log2(p))
+
+        return F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), term)
 
-    bits = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), term)
-    return F.when(F.char_length(s) > 0, bits).otherwise(F.lit(0.0))
+    n = F.nullif(F.char_length(s), F.lit(0)).cast("double")
+    return F.coalesce(let(s, lambda v: let(n, lambda k: F.when(k > 0, bits(v, k)))), F.lit(0.0))
 
 
 def inner(lit: Column) -> Column:
@@ -66,9 +70,11 @@ def inner(lit: Column) -> Column:
 
 
 def is_random(lit: Column, min_chars: int = fixed.ENTROPY_MIN_CHARS, limit: float = fixed.ENTROPY_LIMIT) -> Column:
-    s = inner(lit)
     # the length test first: entropy is the costly part
-    return F.when(F.char_length(s) > min_chars, shannon_entropy(s) > F.lit(limit)).otherwise(F.lit(False))
+    return let(
+        inner(lit),
+        lambda s: F.when(F.char_length(s) > min_chars, shannon_entropy(s) > F.lit(limit)).otherwise(F.lit(False)),
+    )
 
 
 def redact_keyword_literals(text: Column, pattern: str = LITERAL) -> Column:

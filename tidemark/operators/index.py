@@ -23,10 +23,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(term, key, tf, length): occurrences of a term in a document of ``length`` terms."""
+def postings(docs: DataFrame, key: str = "doc_id", only: list[str] | None = None) -> DataFrame:
+    """(term, key, tf, length): occurrences of a term in a document of ``length`` terms.
+
+    With ``only``, other terms are dropped inside the row, before the shuffle.
+    """
     words = docs.select(key, tokens(F.col("text")).alias("_words"))
-    words = words.select(key, F.size("_words").cast("bigint").alias("length"), F.explode("_words").alias("term"))
+    kept = F.col("_words") if only is None else F.filter("_words", lambda w: w.isin(*only))
+    words = words.select(key, F.size("_words").cast("bigint").alias("length"), F.explode(kept).alias("term"))
     return words.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
@@ -49,7 +53,7 @@ def search(post: DataFrame, stats: DataFrame, query: str, k: int = 10, key: str
     Only postings of the query's terms are read. Their weights are one row per
     query term, which bounds the broadcast.
     """
-    terms = sorted({t for t in _words(query)})
+    terms = query_terms(query)
     hits = post.filter(F.col("term").isin(*terms))
     weights = F.broadcast(term_weights(hits, stats).select("term", "idf"))
     mean = stats.select("mean_length").scalar()
@@ -59,8 +63,13 @@ def search(post: DataFrame, stats: DataFrame, query: str, k: int = 10, key: str
     return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), key).limit(k)
 
 
-def _words(query: str) -> list[str]:
-    return [w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()]
+def search_docs(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id") -> DataFrame:
+    """The same without an index: one pass over the texts keeps the query's terms only."""
+    return search(postings(docs, key, query_terms(query)), corpus_stats(docs), query, k, key)
+
+
+def query_terms(query: str) -> list[str]:
+    return sorted(set("".join(c if c.isalnum() else " " for c in query.lower()).split()))
 
 
 def write_index(post: DataFrame, stats: DataFrame, folder: str, partitions: int | None = None) -> None:

@@ -70,8 +70,7 @@ def bm25_terms(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    docs = X.table(spark, sf_dir, "documents")
-    return I.search(I.postings(docs), I.corpus_stats(docs), QUESTION)
+    return I.search_docs(X.table(spark, sf_dir, "documents"), QUESTION)
 
 
 QUERIES = [last_turns, manifest_layer, active_source, handoff_layers, changed_docs, bm25_index, bm25_terms, bm25_topk]
