@@ -20,6 +20,15 @@ SLICE_ROWS = 5_000_000
 LEAST_SLICES = 3
 
 
+def _stream_session(spark):
+    """A session of its own for the stream: one state partition per core is enough."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    cores, usual = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.shuffle.partitions", min(cores, usual))
+    return own
+
+
 def _run(spark, sf_dir, write):
     """Deliver the samples in time slices; each slice is one run of the stream from its checkpoint.
 
@@ -35,9 +44,10 @@ def _run(spark, sf_dir, write):
     staged = scratch_path(spark, "samples")
     samples.write.partitionBy("slice").parquet(staged)
     schema = "session_id BIGINT, event_id BIGINT, t_us BIGINT, prompt_tokens BIGINT, max_context BIGINT"
+    own = _stream_session(spark)
     for i in range(slices):
         spark.read.schema(schema).parquet(f"{staged}/slice={i}").write.mode("append").parquet(landing)
-        stream = M.monitor_stream(spark.readStream.schema(schema).parquet(landing))
+        stream = M.monitor_stream(own.readStream.schema(schema).parquet(landing))
         q = write(stream).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
 
