@@ -78,3 +78,17 @@ def test_status_versions(spark, tmp_path, fold_every):
         T.write_status(rows, root, v, fold_every)
     assert {r.session_id: r.status for r in T.read_status(spark, root).collect()} == {0: "s4", 1: "s5", 2: "s6", 3: "s3"}
     assert T.read_status(spark, root, before=2).count() == 2
+
+
+def test_payload_files_as_a_stream(spark, tmp_path):
+    from tidemark.sources.usage import stream_usage
+
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.jsonl").write_text('{"llm_response":{"usage":{"input_tokens":3}}}\n\nbad\n{"context_window":{"total_input_tokens":8}}\n')
+    q = (
+        stream_usage(spark, str(src)).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    assert sorted(r.prompt_tokens for r in spark.read.parquet(out).collect()) == [3, 8]

@@ -43,7 +43,7 @@ PAGE_BLOCKS = BlockKind(
 # Laid-out Python: the body of a function ends before the next line that is not
 # indented deeper than its ``def``.
 PYTHON_FUNCTIONS = BlockKind(
-    pattern=r"(?ms)^([ \t]*)(?:async[ \t]+)?def[ \t]+\w+.*?(?=\s*(?:^(?!\1[ \t])[ \t]*[^\s)\]}]|\z))",
+    pattern=r"(?ms)^([ \t]*)(?:async[ \t]+)?def[ \t]+\w+.*?(?<=\S)(?=\s*(?:^(?!\1[ \t])[ \t]*[^\s)\]}]|\z))",
     units=r"\w+|[^\s\w]",
     head=r"(?s)^.*?:[ \t]*(?:#[^\n]*)?\n\s*|^[^\n]*?\)[^\n:]*:[ \t]*",
     fixed_type="function_definition",
