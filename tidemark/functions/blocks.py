@@ -45,7 +45,7 @@ PAGE_BLOCKS = BlockKind(
 PYTHON_FUNCTIONS = BlockKind(
     pattern=r"(?ms)^([ \t]*)(?:async[ \t]+)?def[ \t]+\w+.*?(?<=\S)(?=\s*(?:^(?!\1[ \t])[ \t]*[^\s)\]}]|\z))",
     units=r"\w+|[^\s\w]",
-    head=r"(?s)^.*?:[ \t]*(?:#[^\n]*)?\n\s*|^[^\n]*?\)[^\n:]*:[ \t]*",
+    head=r"(?s)^.*?:[ \t]*(?:#[^\n]*)?\n\s*(?:#[^\n]*\n\s*)*|^[^\n]*?\)[^\n:]*:[ \t]*",
     fixed_type="function_definition",
     symbol=r"def[ \t]+(\w+)",
 )
