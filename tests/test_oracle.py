@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.compare import compare, duck
+from workloads import registry
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+SQL = registry.oracle_sql()
+QUERIES = registry.queries()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def con(request):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
