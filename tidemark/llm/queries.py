@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, sharding
+from tidemark.llm import decontamination, exact_dedup, mixing, near_dedup, quality, sharding, toxicity
 from tidemark.llm.common import table
 
 SQL: dict[str, str] = {}
 
 
+def op1_toxicity(spark, sf_dir):
+    found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence",
+    )
+
+
 def op2_mix_sources(spark, sf_dir):
     units = mixing.mix(table(spark, sf_dir, "documents"))
     rows = units.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
@@ -18,6 +26,16 @@ def op2_mix_sources(spark, sf_dir):
     )
 
 
+def op3_quality(spark, sf_dir):
+    found = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "log_weight", F.col("p_good").alias("score"), "noisy", "kept")
+
+
+def op5_simhash(spark, sf_dir):
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), near_dedup.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_shards(spark, sf_dir):
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -31,6 +49,18 @@ def op8_exact_dedup(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_decontaminate(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontamination.find_matches(docs, items, carry=["doc_id"])
+    n_hit = decontamination.hit_words()
+    return found.withColumn("n_hit", n_hit).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        "longest", "longest_at", "longest_item",
+    )
+
+
 SQL["op8_exact_dedup"] = """
 with t as (
     select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents
@@ -40,4 +70,4 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
 from t window g as (partition by body)
 """
 
-QUERIES = [op2_mix_sources, op6_shards, op8_exact_dedup]
+QUERIES = [op1_toxicity, op2_mix_sources, op3_quality, op5_simhash, op6_shards, op8_exact_dedup, op10_decontaminate]
