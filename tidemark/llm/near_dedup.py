@@ -242,9 +242,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **sizes: int) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE, **sizes: int
+) -> DataFrame:
     """(id, fp, component_id) per document; component_id is the smallest id that links reach."""
-    rows = stage(with_fingerprints(docs, id_col, text_col), "fingerprints")
+    rows = stage(with_fingerprints(docs, id_col, text_col, width), "fingerprints")
     points = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "points")
     roots = components(linked_fingerprints(points, radius, **sizes))
     named = points.join(roots, points["fp"] == roots["a"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

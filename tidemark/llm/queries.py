@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, mixing, near_dedup, quality, sharding, toxicity
+from tidemark.llm import chat, decontamination, exact_dedup, html_text, mixing, near_dedup, quality, sharding, toxicity, warc
 from tidemark.llm.common import table
 
 SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op3_quality(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "log_weight", F.col("p_good").alias("score"), "noisy", "kept")
 
 
+def op4_warc(spark, sf_dir):
+    found = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_simhash(spark, sf_dir):
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), near_dedup.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -44,11 +49,22 @@ def op6_shards(spark, sf_dir):
     )
 
 
+def op7_html(spark, sf_dir):
+    return html_text.extract_pages(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
 def op8_exact_dedup(spark, sf_dir):
     found = exact_dedup.find_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op9_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    tricky = turns.limit(0).union(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema))
+    return chat.read_back(chat.format_turns(turns.union(tricky))).withColumnRenamed("id", "conv_id")
+
+
 def op10_decontaminate(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontamination.find_matches(docs, items, carry=["doc_id"])
@@ -70,4 +86,13 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
 from t window g as (partition by body)
 """
 
-QUERIES = [op1_toxicity, op2_mix_sources, op3_quality, op5_simhash, op6_shards, op8_exact_dedup, op10_decontaminate]
+SQL["op4_warc"] = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+     g as (select *, sha1(body) as d, max(page_id) over (partition by body) as keep, octet_length(body) as n,
+                  row_number() over (partition by body order by page_id desc) as nth from p)
+select page_id, n as payload_bytes, d as payload_digest, case when n < 1000 or nth = 1 then 'response' else 'revisit' end as record_type,
+       case when n < 1000 or nth = 1 then null else keep end as refers_to
+from g
+"""
+
+QUERIES = [op1_toxicity, op2_mix_sources, op3_quality, op4_warc, op5_simhash, op6_shards, op7_html, op8_exact_dedup, op9_chat, op10_decontaminate]
