@@ -1,14 +1,14 @@
 """Near duplicates: SimHash fingerprints linked through vantage-point trees.
 
 Distinct fingerprints are the points; copies share one. Two that differ in at
-most ``RADIUS`` of 64 bits differ in at most RADIUS // 3 bits of one of three
-segments. So there is one vantage-point tree per segment over the Hamming
-distance inside it, a lower bound of the whole distance.
+most r of 64 bits differ in one bit at most in one of r // 2 + 1 segments. So
+there is one vantage-point tree per segment over the Hamming distance inside it,
+a lower bound of the whole distance.
 
 A node has a vantage point v and a median distance m. By the triangle
-inequality, points x and y with |d(x, v) - d(y, v)| > r are further apart than
-r, so a pair within r lies on one side if the inner side takes all with
-d <= m + r and the outer side all with d > m: points in the ring at the
+inequality, points x and y with |d(x, v) - d(y, v)| > 1 are further apart than
+one bit, so a pair within one bit lies on one side if the inner side takes all
+with d <= m + 1 and the outer side all with d > m: points in the ring at the
 boundary belong to both shards. The upper levels of each tree come from a
 bounded sample and deal the points to shards; inside a shard the tree is grown
 on, until a part is small or no vantage point splits it, and the parts are
@@ -16,6 +16,11 @@ compared on all 64 bits, exactly. A shard gives a star for each of its linked
 groups, not its pairs. Shards over ``CELL_ROWS`` are cut into blocks, and every
 pair of blocks is a task of its own.
 
+A link can also ask for likeness: points then are fingerprints with a sketch of
+the text's set of shingles (the least hash of each of ``BINS`` bins, one byte
+each), whose shared bins estimate the Jaccard similarity. This allows a wide
+radius, which would link unlike texts by itself.
+
 The stars are joined to components by alternating large-star and small-star
 rounds on tables. No fingerprint or link but the sample reaches the driver.
 
@@ -28,6 +33,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -42,18 +48,32 @@ from tidemark.session import stage
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
+WIDE_RADIUS = 9  # where likeness is asked for; a wider one finds more edited copies but prunes less
+BINS = 128
+LIKE = 0.77  # estimated similarity that a link needs to stand for 0.8; the estimate errs by 0.035
 SAMPLE = 262_144  # fingerprints at most that the driver reads to choose vantage points: 2 MB
-SHARD_ROWS = 16_384  # points wanted in a shard, before its ring
+SHARD_ROWS = 65_536  # points wanted in a shard, before its ring
 MOST_SHARDS = 16_384  # of one segment
-CELL_ROWS = 65_536  # points of a block of a shard that no vantage point splits
+CELL_ROWS = 262_144  # points of a block of a shard that no vantage point splits
 LEAF = 384
 COMPARED = 1 << 21  # distances held at once
-SEGMENTS = ((0, 21), (21, 21), (42, 22))  # lowest bit, bits
+LIKENESSES = 1 << 16  # pairs of sketches held at once
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """SimHash over XXH64 of the word shingles of a text, repeats included."""
+def segments(radius: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of the segments; a pair within ``radius`` differs in one bit at most in one of them."""
+    edges = np.linspace(0, 64, radius // 2 + 2).round().astype(int)
+    return [(int(a), int(b - a)) for a, b in zip(edges, edges[1:])]
+
+
+def sketch_text(text: str | None, width: int = SHINGLE) -> tuple[int, bytes]:
+    """SimHash over XXH64 of the word shingles of a text, repeats included, and the sketch of their set."""
     ones, total, kept = np.zeros(64, np.int64), 0, []
+    least = np.full(BINS, 1 << 32, np.int64)
+
+    def add(hashes: np.ndarray) -> None:
+        np.minimum.at(least, (hashes >> np.uint64(57)).astype(np.int64), (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64))
+
     for piece in pieces((text or "").encode().lower()):
         words = kept + piece.split()
         kept = words[1 - width:] if width > 1 else []
@@ -64,27 +84,45 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
         ends = list(accumulate(n + 1 for n in lengths))
         data = b" ".join(words)
         spans = zip([e - n - 1 for e, n in zip(ends, lengths)], ends[width - 1:])
-        hashes = np.array([xxhash.xxh64_intdigest(data[a:b - 1], SEED) for a, b in spans], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        hashes = np.array([xxhash.xxh64_intdigest(data[a:b - 1], SEED) for a, b in spans], dtype=np.uint64)
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         total += len(hashes)
-    if not total:
-        if not kept:
-            return 0
-        return xxhash.xxh64_intdigest(b" ".join(kept), SEED)
-    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+        add(hashes)
+    if total:
+        fp = int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+    else:
+        fp = xxhash.xxh64_intdigest(b" ".join(kept), SEED) if kept else 0
+        if kept:
+            add(np.array([fp], np.uint64))
+    return fp, np.where(least < 1 << 32, 1 + least % 255, 0).astype(np.uint8).tobytes()  # 0: no shingle fell there
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    return sketch_text(text, width)[0]
+
 
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of rows of sketches; 1 for texts without words."""
+    used = ((a | b) > 0).sum(axis=1)
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    return np.where(used > 0, same / np.maximum(used, 1), 1.0)
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(id, fp) per document; fp is the fingerprint as a signed number."""
+
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, sketches: bool = False) -> DataFrame:
+    """(id, node, fp, sketch) per document; fp is the fingerprint as a signed number, node names the point."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
+            got = [sketch_text(t, width) for t in b.column(1).to_pylist()]
+            fp = np.array([f for f, _ in got], dtype=np.uint64).view(np.int64)
+            sketch = pa.array([s if sketches else b"" for _, s in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), sketch], names=["id", "fp", "sketch"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, fp bigint")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.mapInArrow(run, f"id {kind.simpleString()}, fp bigint, sketch binary")
+    return rows.withColumn("node", F.xxhash64("fp", "sketch") if sketches else F.col("fp"))
 
 
 def _segment(points: np.ndarray, segment: tuple[int, int]) -> np.ndarray:
@@ -145,13 +183,35 @@ class Groups:
                 of[:] = up
 
 
-def _compare(points: np.ndarray, part: np.ndarray, groups: Groups, radius: int) -> None:
-    """Link all pairs of a part within ``radius``."""
+@dataclass
+class Points:
+    """Points of a cell and what a link between two of them needs."""
+
+    fp: np.ndarray
+    radius: int = RADIUS
+    sketch: np.ndarray | None = None
+    like: float = LIKE
+
+    def linked(self, rows: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in rows, in rest) of the linked pairs."""
+        near = np.bitwise_count(self.fp[rows][:, None] ^ self.fp[rest][None, :]) <= self.radius
+        r, c = np.nonzero(near)
+        if self.sketch is None or not len(r):
+            return r, c
+        ok = [
+            likeness(self.sketch[rows[r[i:i + LIKENESSES]]], self.sketch[rest[c[i:i + LIKENESSES]]]) >= self.like
+            for i in range(0, len(r), LIKENESSES)
+        ]
+        ok = np.concatenate(ok)
+        return r[ok], c[ok]
+
+
+def _compare(points: Points, part: np.ndarray, groups: Groups) -> None:
+    """Link all pairs of a part."""
     step = max(1, COMPARED // len(part))
     for i in range(0, len(part) - 1, step):
         rows, rest = part[i:i + step], part[i + 1:]
-        near = np.bitwise_count(points[rows][:, None] ^ points[rest][None, :]) <= radius
-        r, c = np.nonzero(near)
+        r, c = points.linked(rows, rest)
         later = c + 1 > r  # each pair once, no point with itself
         r, c = r[later], c[later]
         if len(r):
@@ -161,60 +221,63 @@ def _compare(points: np.ndarray, part: np.ndarray, groups: Groups, radius: int)
             groups.link(rows[r], rest[c])
 
 
-def link_points(points: np.ndarray, segment: tuple[int, int], radius: int = RADIUS, leaf: int = LEAF, seed: int = 1) -> np.ndarray:
-    """The first linked point of each point: exact for pairs within radius // 3 of each other in the segment."""
-    groups, own, rng = Groups(len(points)), _segment(points, segment), np.random.default_rng(seed)
-    inside = radius // len(SEGMENTS)
-    parts = [np.arange(len(points))]
+def link_points(points: Points, segment: tuple[int, int], leaf: int = LEAF, seed: int = 1) -> np.ndarray:
+    """The first linked point of each point: exact for pairs within one bit of each other in the segment."""
+    groups, own, rng = Groups(len(points.fp)), _segment(points.fp, segment), np.random.default_rng(seed)
+    parts = [np.arange(len(points.fp))]
     while parts:
         part = parts.pop()
         if len(part) > leaf:
             d = np.bitwise_count(own[part] ^ own[part[rng.integers(len(part))]]).astype(np.int16)
             sides = []
             for m in {max(int(np.median(d)) - 1, 0), int(np.median(d))}:
-                sides.append((part[d <= m + inside], part[d > m]))
+                sides.append((part[d <= m + 1], part[d > m]))
             inner, outer = min(sides, key=lambda s: max(map(len, s)))
             if max(len(inner), len(outer)) <= 0.9 * len(part):
                 parts += [inner, outer]
                 continue
         if len(part) > 1:
-            _compare(points, part, groups, radius)
+            _compare(points, part, groups)
     return groups.of
 
 
-def linked_fingerprints(points: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Stars (a, b), a > b as signed numbers, that join linked points of (fp), all distinct."""
+def linked_nodes(
+    points: DataFrame, radius: int = RADIUS, like: float | None = None, shard_rows: int = SHARD_ROWS, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """Stars (a, b), a > b, that join the linked nodes of (node, fp, sketch), all distinct."""
     spark = points.sparkSession
     n = points.count()
     depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / shard_rows))), int(np.log2(MOST_SHARDS))))
     # the sample grows with the shards and is bounded with them
-    sample = points.orderBy(F.xxhash64("fp", F.lit("sample"))).limit(min(SAMPLE, 16 << depth))
+    sample = points.select("fp").orderBy(F.xxhash64("fp", F.lit("sample"))).limit(min(SAMPLE, 16 << depth))
     sample = np.array([r[0] for r in sample.collect()], dtype=np.int64).view(np.uint64)
-    rng = np.random.default_rng(7)
-    inside = radius // len(SEGMENTS)
-    trees = [Tree(_segment(sample, s), depth, inside, rng) for s in SEGMENTS]
-    shared = spark.sparkContext.broadcast(trees)  # 9 bytes a shard and segment
+    rng, parts = np.random.default_rng(7), segments(radius)
+    shared = spark.sparkContext.broadcast([Tree(_segment(sample, s), depth, 1, rng) for s in parts])  # 9 bytes a shard and segment
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False)
-            for k, (tree, segment) in enumerate(zip(shared.value, SEGMENTS)):
-                at, shard = tree.shards(_segment(fp.view(np.uint64), segment))
-                yield pa.RecordBatch.from_arrays([pa.array((k << 32) + shard), pa.array(fp[at])], names=["shard", "fp"])
-
-    dealt = stage(points.select("fp").mapInArrow(deal, "shard bigint, fp bigint"), "shards")
-    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks"))
-    # a row per shard, 3 * MOST_SHARDS at most
-    cells = dealt.join(F.broadcast(sizes), "shard").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+            fp = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k, (tree, segment) in enumerate(zip(shared.value, parts)):
+                at, shard = tree.shards(_segment(fp, segment))
+                rows = [c.take(pa.array(at)) for c in b.columns]
+                yield pa.RecordBatch.from_arrays([pa.array((k << 32) + shard), *rows], names=["shard", "node", "fp", "sketch"])
+
+    dealt = points.select("node", "fp", "sketch").mapInArrow(deal, "shard bigint, node bigint, fp bigint, sketch binary")
+    sizes = stage(dealt.groupBy("shard").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks")), "shards")
+    # a row per shard and segment, (radius // 2 + 1) * MOST_SHARDS at most
+    cells = dealt.join(F.broadcast(sizes), "shard").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("shard", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+    cells = cells.select("shard", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "fp", "sketch")
 
     def inside_cell(key: tuple, t: pa.Table) -> pa.Table:
-        fp = t.column("fp").combine_chunks().to_numpy(zero_copy_only=False)
-        fp = np.sort(fp)
-        of = link_points(fp.view(np.uint64), SEGMENTS[key[0].as_py() >> 32], radius)
-        away = np.flatnonzero(of != np.arange(len(fp)))
-        return pa.table({"a": fp[away], "b": fp[of[away]]})
+        t = t.sort_by("node").combine_chunks()
+        node, fp = (t.column(c).to_numpy() for c in ("node", "fp"))
+        sketch = None
+        if like is not None:
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS)
+        of = link_points(Points(fp.view(np.uint64), radius, sketch, like or 0), parts[key[0].as_py() >> 32])
+        away = np.flatnonzero(of != np.arange(len(node)))
+        return pa.table({"a": node[away], "b": node[of[away]]})
 
     return cells.groupBy("shard", "x", "y").applyInArrow(inside_cell, "a bigint, b bigint").distinct()
 
@@ -243,25 +306,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE, **sizes: int
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE,
+    like: float | None = None, **sizes: int,
 ) -> DataFrame:
-    """(id, fp, component_id) per document; component_id is the smallest id that links reach."""
-    rows = stage(with_fingerprints(docs, id_col, text_col, width), "fingerprints")
-    points = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "points")
-    roots = components(linked_fingerprints(points, radius, **sizes))
-    named = points.join(roots, points["fp"] == roots["a"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    """(id, fp, component_id) per document; component_id is the smallest id that links reach.
+
+    A link is a distance of ``radius`` at most and, with ``like``, an estimated
+    similarity of that at least.
+    """
+    rows = stage(with_fingerprints(docs, id_col, text_col, width, like is not None), "fingerprints")
+    points = stage(rows.groupBy("node", "fp", "sketch").agg(F.min("id").alias("least")), "points")
+    roots = components(linked_nodes(points, radius, like, **sizes))
+    named = points.join(roots, points["node"] == roots["a"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = stage(named, "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return rows.select("id", "node", "fp").join(named.join(ids, "root").select("node", "component_id"), "node").select("id", "fp", "component_id")
 
 
 def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The documents with the smallest id of each group, with all their columns; of rows that share that id, one."""
-    kept = near_duplicates(docs, id_col, text_col, **options).filter(F.col("id").eqNullSafe(F.col("component_id")))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with the smallest id of each group, with all their columns; of rows that share that id, one.
+
+    Groups are of like texts: five-word shingles, a wide radius and a similarity
+    of 0.8, unless ``options`` say otherwise.
+    """
+    kept = near_duplicates(docs, id_col, text_col, **{"width": 5, "radius": WIDE_RADIUS, "like": LIKE} | options).filter(F.col("id").eqNullSafe(F.col("component_id")))
     keys = kept.select(F.coalesce(F.col("id").cast("string"), F.lit("~")).alias("_key")).distinct()
     wide = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), F.lit("~")))
     nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text_col), text_col))
