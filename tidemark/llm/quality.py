@@ -12,9 +12,10 @@ logistic curve fitted on labelled documents, is at least ``LEAST``. The k-th
 largest value is found by histograms that narrow down on it, so no rows are
 sorted or gathered.
 
-Counts of both models are summed over all documents and all labels read; only
-the model of ``2 * BUCKETS`` log ratios and the sample of ``SAMPLE`` scores for
-the curve reach the driver. Words are split at white space and keep their case
+The raw model counts all documents; the target model those of at most ``LABELS``
+labels, taken by a hash of their ids, whose ids are broadcast, so texts are never
+shuffled. Only the models of ``2 * BUCKETS`` counts and the scores of these
+labels reach the driver. Words are split at white space and keep their case
 and signs.
 
 Defined results: null text is empty; a text without n-grams has log weight 0;
@@ -32,10 +33,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import pieces, replace_columns, row_key, small_batches, uniform
+from tidemark.llm.common import pieces, replace_columns, small_batches, uniform
 from tidemark.session import stage
 
 BUCKETS = 1 << 16
@@ -43,7 +45,7 @@ SMOOTHING = 1.0
 SHRINK = 8  # n-grams of weight 0 added to every text
 LENGTH = 64
 LEAST = 0.1
-SAMPLE = 20_000
+LABELS = 50_000  # labelled documents at most, good and bad, that the target model and the curve are fitted on
 BINS = 4096
 HELD_OUT = 5  # labels of documents with crc32(id) mod 5 = 0 are left for tests
 
@@ -142,38 +144,73 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def labels_of(labels: DataFrame, label: str, held_out: int = HELD_OUT) -> DataFrame:
-    """(label_id, good): one row per labelled id that is not held out; of labels that disagree the least counts."""
+def labels_of(labels: DataFrame, label: str, held_out: int = HELD_OUT, most: int = LABELS) -> DataFrame:
+    """(label_id, good): ids that are not held out, ``most`` at most; of labels that disagree the least counts."""
     rows = labels.select(F.col("doc_id").alias("label_id"), F.col(label).alias("good")).filter("label_id is not null and good is not null")
     rows = rows.filter(F.crc32(F.col("label_id").cast("string").cast("binary")) % held_out != 0)
-    return rows.groupBy("label_id").agg(F.min("good").alias("good"))
-
-
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """(id, key, log_weight, p_good) per document; key tells rows apart by id and text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = labels_of(labels, "quality")
-    joined = texts.join(known, F.col("id") == F.col("label_id"), "left")
-    got = _counts(joined.select("text", (F.col("good") == 1).alias("good")), buckets).collect()  # 2 * buckets rows at most
-    counts = np.zeros((2, 2 * buckets), np.int64)
-    for bucket, raw, good in got:
-        counts[:, bucket] = raw, good
-    models = spark.sparkContext.broadcast(Models.of(counts[0], counts[1]))
-    kind = docs.schema[id_col].dataType.simpleString()
+    rows = rows.groupBy("label_id").agg(F.min("good").cast("int").alias("good"))
+    return stage(rows.orderBy(F.xxhash64("label_id"), "label_id").limit(most), "labels")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = [models.value.log_weight(t, g == 1) for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(w, pa.float64())], names=["id", "good", "key", "log_weight"])
 
-    keyed = joined.select("id", "text", F.col("good").cast("int").alias("good"), F.xxhash64("id", "text").alias("key"))
-    scored = stage(keyed.mapInArrow(run, f"id {kind}, good int, key bigint, log_weight double"), "weights")
-    fit = scored.filter("good is not null").select("log_weight", "good", "key")
-    fit = fit.orderBy(F.xxhash64("key")).limit(SAMPLE).collect()
-    slope, offset = fit_curve(np.array([r[0] for r in fit]), np.array([float(r[1]) for r in fit]))
-    return scored.drop("good").withColumn("p_good", 1 / (1 + F.exp(-(F.col("log_weight") * slope + offset))))
+class Resampler:
+    """Models, curve and threshold, fitted on documents and labels."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS):
+        spark = docs.sparkSession
+        small_batches(spark)
+        self.known = labels_of(labels, "quality")
+        self.id_col, self.text_col = id_col, text_col
+        marked = self._marked(docs)
+        counts = np.zeros((2, 2 * buckets), np.int64)
+        for bucket, raw, good in _counts(marked.select("_text", F.col("_good") == 1), buckets).collect():  # 2 * buckets rows at most
+            counts[:, bucket] = raw, good
+        self.models = spark.sparkContext.broadcast(Models.of(counts[0], counts[1]))
+        scored = self._weighed(marked, [id_col, "_good", "_key"])
+        self.scores = stage(scored.withColumnRenamed(id_col, "id"), "weights")
+        fit = self.scores.filter("_good is not null").select("log_weight", "_good").collect()  # LABELS rows, but for copies of an id
+        self.curve = fit_curve(np.array([r[0] for r in fit]), np.array([float(r[1]) for r in fit]))
+        self.k = self.scores.filter(self.chance() >= LEAST).count() if k is None else k
+        self.least = kth_largest(self.scores.select(self.noisy().alias("value")), self.k) if self.k else None
+
+    def _marked(self, docs: DataFrame) -> DataFrame:
+        """The documents' columns, _text, _key of id and text, and _good, the label that teaches."""
+        ids = F.broadcast(self.known.select(F.col("label_id").alias("_label_id"), F.col("good").alias("_good")))
+        rows = docs.join(ids, F.col(self.id_col) == F.col("_label_id"), "left").drop("_label_id")
+        return rows.withColumn("_key", F.xxhash64(self.id_col, self.text_col)).withColumn("_text", F.col(self.text_col))
+
+    def _weighed(self, marked: DataFrame, carry: list[str]) -> DataFrame:
+        """``carry`` and log_weight."""
+        models = self.models
+        n = len(carry)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                w = [models.value.log_weight(t, g == 1) for t, g in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(w, pa.float64())], names=[*carry, "log_weight"])
+
+        rows = marked.select(*carry, F.col("_text").alias("_t"), F.col("_good").alias("_g"))
+        return rows.mapInArrow(run, T.StructType([*[marked.schema[c] for c in carry], T.StructField("log_weight", T.DoubleType())]))
+
+    def chance(self) -> Column:
+        """The chance to be good by the curve."""
+        slope, offset = self.curve
+        return 1 / (1 + F.exp(-(F.col("log_weight") * slope + offset)))
+
+    def noisy(self) -> Column:
+        """The log weight with Gumbel noise."""
+        return F.col("log_weight") - F.log(-F.log((uniform(F.col("_key"), F.lit("gumbel")) * (1 - 2e-12)) + 1e-12))
+
+    def kept(self) -> Column:
+        return F.lit(False) if self.least is None else self.noisy() >= self.least
+
+    def result(self) -> DataFrame:
+        """(id, log_weight, p_good, noisy, kept) per document."""
+        return self.scores.select("id", "log_weight", self.chance().alias("p_good"), self.noisy().alias("noisy"), self.kept().alias("kept"))
+
+    def drawn(self, docs: DataFrame) -> DataFrame:
+        """The documents that are kept, with all their columns; they are weighed again where they lie."""
+        docs = replace_columns(docs, "log_weight", "_key", "_good", "_text", "_label_id")
+        return self._weighed(self._marked(docs), [*docs.columns, "_key"]).filter(self.kept()).drop("_key", "log_weight")
 
 
 def kth_largest(values: DataFrame, k: int, bins: int = BINS) -> float | None:
@@ -196,19 +233,11 @@ def kth_largest(values: DataFrame, k: int, bins: int = BINS) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, log_weight, p_good, noisy, kept) per document."""
-    scored = score(docs, labels, id_col, text_col)
-    noise = -F.log(-F.log((uniform(F.col("key"), F.lit("gumbel")) * (1 - 2e-12)) + 1e-12))
-    noisy = scored.withColumn("noisy", F.col("log_weight") + noise)
-    if k is None:
-        k = scored.filter(F.col("p_good") >= LEAST).count()
-    least = kth_largest(noisy.select(F.col("noisy").alias("value")), k) if k else None
-    return noisy.withColumn("kept", F.lit(False) if least is None else F.col("noisy") >= least)
+def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """(id, log_weight, p_good, noisy, kept) per document."""
+    return Resampler(docs, labels, **options).result()
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents drawn, with all their columns."""
-    kept = resample(docs, labels, k, id_col, text_col).filter("kept").select(row_key(F.col("id"), F.col("key")).alias("_key")).distinct()
-    wide = docs.withColumn("_key", row_key(F.col(id_col), F.xxhash64(F.col(id_col), F.col(text_col))))
-    return replace_columns(wide.join(kept, "_key", "left_semi"), "_key")
+    return Resampler(docs, labels, **options).drawn(docs)
