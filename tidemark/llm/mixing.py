@@ -50,14 +50,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     weight = F.element_at(F.lit(list(weights)), (F.col("at") % len(weights) + 1).cast("int")).cast("double")
     named = named.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most)).withColumn("level", F.expr("cap / weight"))
     ranked = stage(running(named, [F.col("level"), F.col("at")], {"caps": "cap", "weights": "weight"}, "nth"), "levels")
-    all_ = ranked.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("sum_weight"))
-    ranked = ranked.join(F.broadcast(all_)).withColumn("stops", F.expr("caps + level * (sum_weight - weights) <= total"))
-    left = ranked.agg(
-        (F.max("total") - F.coalesce(F.sum(F.when(F.col("stops"), F.col("cap"))), F.lit(0.0))).alias("words"),
-        (F.max("sum_weight") - F.coalesce(F.sum(F.when(F.col("stops"), F.col("weight"))), F.lit(0.0))).alias("shares"),
-    )
-    target = F.when(F.col("stops"), F.col("cap")).otherwise(F.least(F.expr("words * weight / shares"), F.col("cap")))
-    return ranked.join(F.broadcast(left)).select("source", "source_size", "n", target.alias("target"))
+    total, sum_weight = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    stops = F.col("caps") + F.col("level") * (F.lit(sum_weight) - F.col("weights")) <= F.lit(total)
+    ranked = ranked.withColumn("stops", stops)
+    caps, weights_ = ranked.filter("stops").agg(F.sum("cap"), F.sum("weight")).first()
+    words, shares = (total or 0) - (caps or 0.0), (sum_weight or 0.0) - (weights_ or 0.0)
+    level = F.lit(words / shares if shares > 1e-9 else 0.0)
+    target = F.when(F.col("stops"), F.col("cap")).otherwise(F.least(level * F.col("weight"), F.col("cap")))
+    return ranked.select("source", "source_size", "n", target.alias("target"))
 
 
 def _let(value: Column, body) -> Column:
