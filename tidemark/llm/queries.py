@@ -73,7 +73,6 @@ def op10_decontaminate(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
-        "longest", "longest_at", "longest_item",
     )
 
 
@@ -95,4 +94,37 @@ select page_id, n as payload_bytes, d as payload_digest, case when n < 1000 or n
 from g
 """
 
+_ROLE = {role: len(a + b) for role, (a, b) in chat.ROLES.items()}
+SQL["op9_chat"] = f"""
+with t as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), s as (
+    select *, length(text) + len(regexp_extract_all(text, '</?s>|\\[/?(?:SYS|INST|ROLE)\\]|\\[(?:OUT|NAME)\\]|\\\\'))
+              + case role when 'system' then {_ROLE['system']} when 'user' then {_ROLE['user']} else {_ROLE['assistant']} end as chars from t
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(chars) as bigint) as formatted_chars
+from s group by conv_id
+"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{80}-\\x{10FFFF}]+')"
+SQL["op10_decontaminate"] = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+     i as (select cast(item_id as varchar) as name, {_WORDS} as w from benchmark),
+     iw as (select distinct name, least(len(w), {decontamination.WINDOW}) as k, array_to_string(w[p:p + least(len(w), {decontamination.WINDOW}) - 1], ' ') as x
+            from (select *, unnest(range(1, len(w) - least(len(w), {decontamination.WINDOW}) + 2)) as p from i where len(w) > 0)),
+     ks as (select distinct k from iw),
+     dw as (select r, p, k, array_to_string(w[p:p + k - 1], ' ') as x
+            from (select r, w, k, unnest(range(1, len(w) - k + 2)) as p from d, ks where len(w) >= k)),
+     m as (select r, p, dw.k, name from dw join iw on dw.x = iw.x and dw.k = iw.k),
+     h as (select r, count(distinct q) as n_hit from (select r, unnest(range(p, p + k)) as q from m) group by r),
+     n as (select r, count(distinct name) as n_items, string_agg(distinct name, ',' order by name) as names from m group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and {decontamination.SHARE} * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join h using (r) left join n using (r)
+"""
+
 QUERIES = [op1_toxicity, op2_mix_sources, op3_quality, op4_warc, op5_simhash, op6_shards, op7_html, op8_exact_dedup, op9_chat, op10_decontaminate]
