@@ -170,3 +170,60 @@ def test_hot_symbols_threshold(spark):
     df = spark.createDataFrame(rows, "key string")
     assert [(r.key, r.n_lookups) for r in D.hot_symbols(df, ("key",)).collect()] == [("a", 5)]
     assert fixed.HOT_LOOKUPS == 5
+
+
+def test_functions_of_all_layouts():
+    from tidemark.functions import scan as S
+
+    ts = """export function f({a, b}: P, c = {x: 1}): { ok: boolean } {
+  return {};
+}
+const g = async (x) => { return `a${x ? `}` : "{"}`; };
+const h = x => {
+  y();
+};
+class K<T> {
+  constructor(private a: string) { super(); }
+  async run<T>(
+    a: T,
+  ): Promise<Map<string, T>> {
+    while (a) { }
+  }
+  get v() { return 1 }
+}
+items.map((i) => { return i; }).forEach(function (k) { k(); });
+if (a) { b(); } else { c(); }
+export default function () {
+  go(/[}]/g);
+}
+const o = { m() { return 1; }, n: function* gen() { yield 1; }, p: 3 };
+interface I { run(a: string): { x: number }; q(): void }
+"""
+    got = [(symbol, kind) for _, _, _, kind, symbol in S.brace_blocks(ts)]
+    fn, arrow, method = "function_declaration", "arrow_function", "method_definition"
+    assert got == [
+        ("f", fn), ("g", arrow), ("h", arrow), ("constructor", method), ("run", method), ("v", method), ("anonymous", arrow),
+        ("anonymous", fn), ("anonymous", fn), ("m", method), ("gen", "generator_function_declaration"),
+    ]
+    for _, body, end, _, _ in S.brace_blocks(ts):
+        assert ts[body] == "{" and ts[end - 1] == "}"
+    py = "def f(a):  # x\n# zero\n    '''\ntext\n'''\n# zero\n    return a\n# after\ny = 2\nasync def g(): return {\n1: 2}\n"
+    assert [py[b:e] for _, b, e, _, _ in S.python_blocks(py)] == ["'''\ntext\n'''\n# zero\n    return a", "return {\n1: 2}"]
+
+
+@pytest.mark.parametrize("name, part", [
+    ("page_blocks", "<nav>"), ("page_blocks", "<nav "), ("page_blocks", "<nav>x</nav>"), ("python_blocks", "# c\n"), ("python_blocks", '"""'),
+    ("brace_blocks", "f() {\n"), ("brace_blocks", "`${"), ("brace_blocks", "a=/[x"), ("brace_blocks", "function f() { a(); }\n"),
+])
+def test_scanners_are_linear(name, part):
+    import time
+
+    from tidemark.functions import scan as S
+
+    def seconds(n):
+        start = time.perf_counter()
+        getattr(S, name)("def f():\n" + part * n)
+        return time.perf_counter() - start
+
+    assert seconds(20_000) < 2
+    assert seconds(40_000) < 2.5 * max(seconds(20_000), 0.2)

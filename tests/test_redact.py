@@ -88,3 +88,25 @@ def test_entropy_value(spark, texts):
     for t, h in zip(texts, run(spark, texts, R.shannon_entropy)):
         assert h == pytest.approx(entropy(t), abs=1e-9)
         assert h <= math.log2(max(len(t), 1)) + 1e-9
+
+
+def test_strings_of_all_forms(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import redact as R
+
+    q = '"' * 3
+    rows = [
+        (f"password = {q}hunter2\n\"x\" {q}\nn = 1", 'password = "[REDACTED]"\nn = 1'),
+        ('token = f"abc{1}"', 'token = "[REDACTED]"'),
+        ('d = "a\\"b password"', 'd = "[REDACTED]"'),
+        ("k = 'it\\'s a secret'; x = 'y'", "k = \"[REDACTED]\"; x = 'y'"),
+        ("const apiKey = `a\nb`", 'const apiKey = "[REDACTED]"'),
+        ("buf\"a\" + 'b'", "buf\"a\" + 'b'"),
+        ('x = "open\ny = "secret"', 'x = "open\ny = "[REDACTED]"'),
+        ('"' + "\\a" * 20_000 + '"', '"' + "\\a" * 20_000 + '"'),
+        (q + '"" ' * 20_000, q + '"" ' * 20_000),
+    ]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, t string")
+    got = {r.i: r.t for r in df.select("i", R.redact(F.col("t"), pattern=R.CODE_LITERAL).alias("t")).collect()}
+    assert [got[i] for i in range(len(rows))] == [b for _, b in rows]

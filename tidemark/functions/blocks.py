@@ -1,6 +1,6 @@
 """Column expressions over delimited blocks of text: cut, measure, elide, align.
 
-Sizes and spans count UTF-8 bytes. A block kind names its blocks by a pattern;
+Sizes and spans count UTF-8 bytes. A block kind names the scanner of its blocks;
 blocks of a kind do not nest, the outermost one is taken.
 """
 
@@ -8,63 +8,31 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark import fixed
+from tidemark.functions import scan
 from tidemark.functions.binding import let
 
 
 @dataclass(frozen=True)
 class BlockKind:
-    """``head`` is the part of a block that is kept; ``type`` and ``symbol`` take group 1.
+    """``scan`` names the scanner of a kind; ``units`` what counts as a unit; ``pattern`` its blocks as an expression, for tests."""
 
-    Blocks of a kind without names are named by type and position.
-    """
-
-    pattern: str
+    scan: str
     units: str
-    head: str = ""
-    type: str = ""
-    fixed_type: str = ""
-    symbol: str = ""
+    pattern: str = ""
 
 
 def _tags(*names: str) -> str:
     return "(?is)" + "|".join(rf"<{n}\b[^>]*>.*?</{n}>" for n in names)
 
 
-PAGE_BLOCKS = BlockKind(
-    pattern=_tags("script", "style", "nav", "article", "footer"),
-    units="<[A-Za-z]",
-    type="^<([A-Za-z]+)",
-)
-
-# Laid-out Python: the body of a function ends before the next line that is not
-# indented deeper than its ``def``.
-PYTHON_FUNCTIONS = BlockKind(
-    pattern=r"(?ms)^([ \t]*)(?:async[ \t]+)?def[ \t]+\w+.*?(?<=\S)(?=\s*(?:^(?!\1[ \t])[ \t]*[^\s)\]}]|\z))",
-    units=r"\w+|[^\s\w]",
-    head=r"(?s)^.*?:[ \t]*(?:#[^\n]*)?\n\s*(?:#[^\n]*\n\s*)*|^[^\n]*?\)[^\n:]*:[ \t]*",
-    fixed_type="function_definition",
-    symbol=r"def[ \t]+(\w+)",
-)
-
-# Laid-out braces: a function whose first line ends in an opening brace ends at the
-# closing brace with the same indentation.
-_MODIFIERS = r"(?:(?:export|default|async|static|public|private|protected|readonly|override|get|set)[ \t]+)*"
-BRACE_FUNCTIONS = BlockKind(
-    pattern=(
-        rf"(?ms)^([ \t]*){_MODIFIERS}(?:function\b[ \t]*\*?[ \t]*[\w$]*[ \t]*\("
-        r"|(?!(?:if|for|while|switch|catch|with|return|new|else|do|function)\b)[\w$]+[ \t]*\("
-        r"|(?:const|let|var)[ \t]+[\w$]+[^\n=]*=[ \t]*(?:async[ \t]*)?(?:function[ \t]*)?\()"
-        r"[^\n{]*(?:\)|=>)[^\n{};]*\{[ \t]*$.*?^\1\}"
-    ),
-    units=r"\w+|[^\s\w]",
-    head=r"(?s)^[^{]*",
-    fixed_type="function_declaration",
-    symbol=rf"^[ \t]*{_MODIFIERS}(?:function[*\s]+|(?:const|let|var)[ \t]+)?(?!(?:function|export|default|async)\b)([\w$]+)",
-)
+PAGE_BLOCKS = BlockKind("page_blocks", "<[A-Za-z]", _tags("script", "style", "nav", "article", "footer"))
+PYTHON_FUNCTIONS = BlockKind("python_blocks", r"\w+|[^\s\w]")
+BRACE_FUNCTIONS = BlockKind("brace_blocks", r"\w+|[^\s\w]")
 
 CODE_KINDS = {"py": PYTHON_FUNCTIONS, "js": BRACE_FUNCTIONS, "ts": BRACE_FUNCTIONS, "tsx": BRACE_FUNCTIONS}
 PAGE_KINDS = {ext: PAGE_BLOCKS for ext in fixed.SOURCE_EXTENSIONS}
@@ -97,57 +65,49 @@ def count_units(text: Column, kind: BlockKind) -> Column:
     return F.regexp_count(text, F.lit(kind.units)).cast("bigint")
 
 
+PIECE = pa.struct([
+    ("gap", pa.string()), ("head", pa.string()), ("body", pa.string()), ("type", pa.string()), ("symbol", pa.string()),
+    ("original_start", pa.int64()), ("original_end", pa.int64()),
+])
+PIECES = (
+    "array<struct<gap: string, head: string, body: string, type: string, symbol: string, original_start: bigint, original_end: bigint>>"
+)
+
+
+def cut_text(text: str, name: str) -> list[dict]:
+    """Pieces of a text: what is before a block, its head, its body with type, symbol and byte span; at last the rest."""
+    out, at, n_bytes = [], 0, 0
+    for start, body, end, kind, symbol in getattr(scan, name)(text):
+        gap, head, inner = text[at:start], text[start:body], text[body:end]
+        first = n_bytes + len(gap.encode()) + len(head.encode())
+        n_bytes = first + len(inner.encode())
+        out.append({"gap": gap, "head": head, "body": inner, "type": kind, "symbol": symbol, "original_start": first, "original_end": n_bytes})
+        at = end
+    out.append({"gap": text[at:]})
+    return out
+
+
 def cut_blocks(text: Column, kind: BlockKind) -> Column:
-    """Array of (gap, head, body, type, symbol): the text in order, its last block empty."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-
-    def piece(gap: Column, block: Column) -> Column:
-        head = F.regexp_extract(block, kind.head, 0) if kind.head else F.when(block.isNotNull(), F.lit(""))
-        body = F.substr(block, F.char_length(head) + 1) if kind.head else block
-        kind_name = F.lit(kind.fixed_type) if kind.fixed_type else F.lower(F.regexp_extract(block, kind.type, 1))
-        symbol = F.lit("")
-        if kind.symbol:
-            found_name = F.regexp_extract(block, kind.symbol, 1)
-            symbol = F.when(found_name == "", F.lit(fixed.ANONYMOUS)).otherwise(found_name)
-        return F.struct(
-            gap.alias("gap"), head.alias("head"), body.alias("body"),
-            kind_name.alias("type"), F.nullif(symbol, F.lit("")).alias("symbol"),
-        )
+    """Array of (gap, head, body, type, symbol, span): the text in order, its last block empty.
 
-    return F.transform(
-        F.zip_with(gaps, found, piece),
-        lambda p, i: F.struct(
-            p["gap"].alias("gap"), p["head"].alias("head"), p["body"].alias("body"), p["type"].alias("type"),
-            F.coalesce(p["symbol"], F.concat_ws("_", p["type"], i.cast("string"))).alias("symbol"),
-        ),
-    )
+    Finding where a block ends needs a scan with a memory, which expressions lack
+    (as patterns they are quadratic or recurse), so the scanner runs over Arrow
+    batches; nothing else of the work on texts leaves the JVM.
+    """
+    name = kind.scan
+
+    @F.arrow_udf(PIECES)
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else cut_text(t, name) for t in texts.to_pylist()], pa.list_(PIECE))
+
+    return cut(text)
 
 
 def spans(pieces: Column) -> Column:
     """Array of byte spans of the block bodies, in reading order."""
-    blocks = F.transform(
+    return F.transform(
         F.filter(pieces, lambda p: p["body"].isNotNull()),
-        lambda p: F.struct(
-            p["symbol"].alias("symbol"), p["type"].alias("type"), size(p["body"]).alias("len"),
-            (size(p["gap"]) + size(p["head"]) + size(p["body"])).alias("all"),
-        ),
-    )
-    zero = F.lit(0).cast("bigint")
-    # Appending copies the array of ends; the unit limit bounds its length.
-    start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("ends"))
-
-    def add(acc: Column, p: Column) -> Column:
-        at = acc["at"] + p["all"]
-        return F.struct(at.alias("at"), F.array_append(acc["ends"], at).alias("ends"))
-
-    ends = F.aggregate(blocks, start, add, lambda acc: acc["ends"])
-    return F.zip_with(
-        blocks, ends,
-        lambda p, end: F.struct(
-            p["symbol"].alias("symbol"), p["type"].alias("type"),
-            (end - p["len"]).alias("original_start"), end.alias("original_end"),
-        ),
+        lambda p: F.struct(p["symbol"].alias("symbol"), p["type"].alias("type"), p["original_start"].alias("original_start"), p["original_end"].alias("original_end")),
     )
 
 

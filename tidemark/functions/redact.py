@@ -16,7 +16,20 @@ from tidemark import fixed
 from tidemark.functions.binding import let
 
 LITERAL = r'"[^"\n]*"'
-CODE_LITERAL = r'''"[^"\n]*"|'[^'\n]*'|`[^`]*`'''
+
+
+def _quoted(q: str, lines: bool) -> str:
+    """A literal in quotes ``q``, escapes passed over; possessive, so that long ones neither backtrack nor recurse."""
+    c = q[0]
+    plain = rf"[^{c}\\]" if lines else rf"[^{c}\\\n]"
+    odd = rf"\\." if len(q) == 1 else rf"(?:\\.|{c}(?!{c}{c}))"
+    return rf"{q}{plain}*+(?:{odd}{plain}*+)*+{q}"
+
+
+# an optional prefix, then triple quotes before single ones
+CODE_LITERAL = r"""(?s)(?:(?<!\w)[bBfFrRuU]{1,2}(?=["']))?+(?:""" + "|".join(
+    [_quoted('"' * 3, True), _quoted("'" * 3, True), _quoted('"', False), _quoted("'", False), _quoted("`", True)]
+) + ")"
 # a name, an optional type, the sign
 ASSIGNED = fixed.SECRET_KEYWORDS + r"[\w.-]*\s*(?::[^=\n]*)?[:=]\s*\z"
 PAIR = r"\A\s*[:=]\s*\z"

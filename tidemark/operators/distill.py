@@ -30,8 +30,12 @@ def with_units(files: DataFrame, kinds: Kinds, limit: int = fixed.UNIT_LIMIT) ->
 
 
 def _pieces(kinds: Kinds, text: Column) -> Column:
-    cut = B.by_kind(kinds, F.col("ext"), lambda k: B.cut_blocks(text, k))
-    return F.when(~F.col("oversize"), cut)
+    # the scanner gets no text of other kinds or over the limit
+    def cut(kind: B.BlockKind) -> Column:
+        exts = [e for e, k in kinds.items() if k == kind]
+        return B.cut_blocks(F.when(~F.col("oversize") & F.col("ext").isin(*exts), text), kind)
+
+    return F.coalesce(*[cut(k) for k in dict.fromkeys(kinds.values())])
 
 
 def source_map(files: DataFrame, kinds: Kinds = B.CODE_KINDS, limit: int = fixed.UNIT_LIMIT) -> DataFrame:

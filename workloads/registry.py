@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workloads import notes, snapshots, streams, text, usage
+from workloads import code, notes, snapshots, streams, text, usage
 
-MODULES = [usage, text, snapshots, notes, streams]
+MODULES = [usage, text, code, snapshots, notes, streams]
 
 
 def queries():
