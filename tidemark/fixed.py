@@ -15,6 +15,8 @@ IDLE_SECONDS = 300
 RESET_FLOOR = 0.10
 RESET_DROP = 0.5
 
+NO_KEY = "unnamed"
+
 # Status text
 STATUS_TEXT = "GCS: "
 STATUS_FIRED = ("[GCS: ", "% ⚡ YOLO]")

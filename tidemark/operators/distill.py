@@ -16,10 +16,25 @@ from tidemark.functions import redact as R
 Kinds = dict[str, B.BlockKind]
 
 
+def resolved(path: Column) -> Column:
+    """A path without ``.``, ``..`` and doubled slashes; above the top ``..`` stays at it, and a relative path keeps it."""
+    absolute = path.startswith("/")
+
+    def step(parts: Column, part: Column) -> Column:
+        top = F.try_element_at(parts, F.lit(-1))
+        up = (part == "..") & (F.size(parts) > 0) & (top != "..")
+        nothing = part.isin("", ".") | (part == "..") & absolute & (F.size(parts) == 0)
+        return F.when(nothing, parts).when(up, F.slice(parts, 1, F.size(parts) - 1)).otherwise(F.array_append(parts, part))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
+
+
 def inside_root(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """Files below ``root`` and the rejected rest."""
-    prefix = root.rstrip("/") + "/"
-    inside = F.col("path").startswith(prefix) | (F.col("path") == root)
+    """Files below ``root`` and the rejected rest, by their resolved paths; a path that is null is rejected."""
+    top = resolved(F.lit(root))
+    path = resolved(F.col("path"))
+    inside = F.coalesce((path == top) | path.startswith(F.concat(F.rtrim(top, F.lit("/")), F.lit("/"))), F.lit(False))
     return files.filter(inside), files.filter(~inside)
 
 

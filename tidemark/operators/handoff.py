@@ -41,11 +41,10 @@ def manifest_layer(touched: DataFrame, budget: int = fixed.MANIFEST_BYTES) -> Da
 
 
 def checkpoint_layer(touched: DataFrame, skeletons: DataFrame, limit: int = fixed.RESTORE_LIMIT_BYTES) -> DataFrame:
-    """Layer 4: skeletons (path, skeleton) of the touched paths, unless they are over the limit together."""
+    """Layer 4: skeletons (path, skeleton) of the touched paths in path order, as many as fit the limit."""
     n = skeletons.select("path", B.size(F.col("skeleton")).alias("_n"))
     rows = touched.select("session_id", "path").distinct().join(n, "path")
-    fits = rows.groupBy("session_id").agg(F.sum("_n").alias("_total")).filter(F.col("_total") <= limit)
-    kept = rows.join(fits, "session_id", "left_semi").join(skeletons.select("path", "skeleton"), "path")
+    kept = within_budget(rows, "session_id", ["path"], "_n", limit, 1).drop("rank").join(skeletons.select("path", "skeleton"), "path")
     # texts of a session are ordered by path when the document is put together
     return kept.select("session_id", F.lit(4).alias("layer"), F.lit(0).alias("ord"), F.col("skeleton").alias("text"), "path")
 

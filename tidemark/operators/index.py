@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.binding import let
+from tidemark.session import stage
+
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -26,12 +29,26 @@ def tokens(text: Column) -> Column:
 def postings(docs: DataFrame, key: str = "doc_id", only: list[str] | None = None) -> DataFrame:
     """(term, key, tf, length): occurrences of a term in a document of ``length`` terms.
 
-    With ``only``, other terms are dropped inside the row, before the shuffle.
+    Terms are counted inside the row, so nothing is shuffled. With ``only``, other
+    terms are dropped before.
     """
     words = docs.select(key, tokens(F.col("text")).alias("_words"))
     kept = F.col("_words") if only is None else F.filter("_words", lambda w: w.isin(*only))
-    words = words.select(key, F.size("_words").cast("bigint").alias("length"), F.explode(kept).alias("term"))
-    return words.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+    words = words.select(key, F.size("_words").cast("bigint").alias("length"), F.explode(counted(kept)).alias("_t"))
+    return words.select("_t.term", key, "length", "_t.tf")
+
+
+def counted(words: Column) -> Column:
+    """Array of (term, tf): runs of the sorted words."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        return let(starts, lambda at: F.zip_with(
+            at, F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(s) + 1)),
+            lambda a, b: F.struct(F.element_at(s, a).alias("term"), (b - a).cast("bigint").alias("tf")),
+        ))
+
+    return F.when(F.size(words) > 0, let(F.array_sort(words), runs))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -64,8 +81,13 @@ def search(post: DataFrame, stats: DataFrame, query: str, k: int = 10, key: str
 
 
 def search_docs(docs: DataFrame, query: str, k: int = 10, key: str = "doc_id") -> DataFrame:
-    """The same without an index: one pass over the texts keeps the query's terms only."""
-    return search(postings(docs, key, query_terms(query)), corpus_stats(docs), query, k, key)
+    """The same without an index: one pass over the texts keeps lengths and the query's terms."""
+    words = docs.select(key, tokens(F.col("text")).alias("_words"))
+    own = counted(F.filter("_words", lambda w: w.isin(*query_terms(query))))
+    rows = stage(words.select(key, F.size("_words").cast("bigint").alias("length"), own.alias("_own")), "hits")
+    stats = rows.agg(F.count("*").alias("n_docs"), (F.sum("length").cast("double") / F.count("*")).alias("mean_length"))
+    post = rows.select(key, "length", F.explode("_own").alias("_t")).select("_t.term", key, "length", "_t.tf")
+    return search(post, stats, query, k, key)
 
 
 def query_terms(query: str) -> list[str]:

@@ -36,7 +36,9 @@ def reset_reason(prev: str, cur: str = "", idle_seconds: int = fixed.IDLE_SECOND
 
 
 def track_sessions(usage: DataFrame, idle_seconds: int = fixed.IDLE_SECONDS, slot_us: int = SLOT_US) -> DataFrame:
-    """The whole state machine, one output row per sample.
+    """The whole state machine, one output row per sample that has a time.
+
+    Samples without a session are one session of their own.
 
     Adds previous sample, reset reason, epoch, last step and last bucket before
     the sample, ``notice``, ``pending`` (thresholds passed since the last one
@@ -97,6 +99,11 @@ def track_sessions(usage: DataFrame, idle_seconds: int = fixed.IDLE_SECONDS, slo
     }).drop("_here", "_change", "_local", "_top", "_before", "_tier_before", "_epoch_before", "_prev", "_prev_step", "chunk")
 
 
+def untimed(usage: DataFrame) -> DataFrame:
+    """Samples without a time: they have no place in any session and are left out of ``track_sessions``."""
+    return usage.filter(F.col("t_us").isNull())
+
+
 def step_notices(tracked: DataFrame) -> DataFrame:
     return tracked.filter("notice")
 

@@ -14,6 +14,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark import fixed
 
 
 @dataclass(frozen=True)
@@ -43,13 +46,20 @@ def slot(t_us: str, width_us: int) -> Column:
     return F.expr(f"{t_us} div {width_us}")
 
 
+def named(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows without a key share one default key: a name for text, -1 for numbers."""
+    kinds = {c: df.schema[c].dataType for c in keys}
+    fill = {c: F.lit(fixed.NO_KEY) if isinstance(k, T.StringType) else F.lit(-1).cast(k) for c, k in kinds.items()}
+    return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
+
+
 def placed(df: DataFrame, seq: Sequence) -> DataFrame:
-    """Rows that have a key and a place in its order; others are in no sequence.
+    """Rows with a place in their key's order; the others are the caller's ``unplaced`` rows.
 
     Said once here, the condition is the same wherever the rows are read, which
     lets one shuffle serve the rows and their chunk summary.
     """
-    return df.filter(" and ".join(f"{c} is not null" for c in seq.cut))
+    return named(df, *seq.keys).filter(F.col(seq.chunk).isNotNull())
 
 
 def with_previous(df: DataFrame, seq: Sequence, columns: list[str], name: str = "prev") -> DataFrame:

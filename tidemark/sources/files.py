@@ -15,17 +15,31 @@ def _options(exts: tuple[str, ...]) -> dict[str, str]:
     return {"recursiveFileLookup": "true", "pathGlobFilter": "*.{" + ",".join(exts) + "}"}
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """The root as the file source writes it: absolute, with its scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+SKIPPED = "/(" + "|".join(x.replace(".", r"\.") for x in fixed.SKIPPED_FOLDERS) + ")/"
+
+
+def _listed(raw: DataFrame) -> DataFrame:
+    """Files outside the skipped folders; the condition is on the file's metadata, so others are not opened."""
+    return raw.filter(~F.col("_metadata.file_path").rlike(SKIPPED))
+
+
 def file_rows(raw: DataFrame, root: str) -> DataFrame:
     """(path below root, ext, text, n_bytes, content) of listed files outside the skipped folders.
 
     Bytes that are no UTF-8 become replacement characters.
     """
-    base = "^.*?" + root.rstrip("/").replace("\\", "\\\\").replace(".", r"\.") + "/"
-    skipped = "(^|/)(" + "|".join(x.replace(".", r"\.") for x in fixed.SKIPPED_FOLDERS) + ")/"
-    path = F.regexp_replace("path", base, "")
+    base = qualified(raw.sparkSession, root).rstrip("/") + "/"
+    below = F.expr(f"substring(path, {len(base) + 1})")
+    path = F.when(F.startswith("path", F.lit(base)), below).otherwise(F.col("path"))
     return (
         raw.select(path.alias("path"), F.col("length").alias("n_bytes"), "content")
-        .filter(~F.col("path").rlike(skipped))
+        .filter(~F.concat(F.lit("/"), "path").rlike(SKIPPED))
         .select(
             "path", B.extension(F.col("path")).alias("ext"),
             F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "n_bytes", "content",
@@ -39,7 +53,7 @@ def scan_files(spark: SparkSession, root: str, exts: tuple[str, ...] = fixed.SOU
     Files without bytes are not listed by Spark's file sources.
     """
     raw = spark.read.format("binaryFile").options(**_options(exts)).load(root)
-    return file_rows(raw, root)
+    return file_rows(_listed(raw), root)
 
 
 def stream_files(spark: SparkSession, root: str, exts: tuple[str, ...] = fixed.SOURCE_EXTENSIONS, per_trigger: int = 10_000) -> DataFrame:

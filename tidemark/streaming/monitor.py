@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark import fixed
 from tidemark.functions import usage as U
 from tidemark.operators import monitor as M
+from tidemark.operators.running import named
 from tidemark.sources import snapshot as N
 from tidemark.sources import status as T
 
@@ -69,7 +70,8 @@ def fold(pdf: pd.DataFrame, state: tuple | None, idle_seconds: int = fixed.IDLE_
 def monitor_stream(usage: DataFrame, idle_seconds: int = fixed.IDLE_SECONDS, late_seconds: int = 600) -> DataFrame:
     """Triggers and notices of a stream (session_id, event_id, t_us, prompt_tokens, max_context).
 
-    Samples older than the watermark are dropped. The state of a session goes
+    Samples older than the watermark are dropped; samples without a session are
+    one session, and those without a time have no place. The state of a session goes
     when the watermark has passed its last sample by the idle time: its next
     sample would reset it anyway.
     """
@@ -88,7 +90,7 @@ def monitor_stream(usage: DataFrame, idle_seconds: int = fixed.IDLE_SECONDS, lat
         out.insert(0, name, key[0])
         yield out
 
-    samples = usage.filter("prompt_tokens != 0").select(
+    samples = named(usage.filter("prompt_tokens != 0 and t_us is not null"), name).select(
         name, "event_id", "t_us", "prompt_tokens", "max_context", F.timestamp_micros("t_us").alias("ts")
     )
     return (

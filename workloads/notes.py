@@ -10,6 +10,7 @@ from tidemark.operators import distill as D
 from tidemark.operators import handoff as O
 from tidemark.operators import index as I
 from tidemark.operators import rehydrate as H
+from tidemark.session import scratch_path
 from workloads import fixtures as X
 from workloads import sqlparts as P
 from workloads.snapshots import _PROMPTS
@@ -73,7 +74,14 @@ def bm25_topk(spark, sf_dir):
     return I.search_docs(X.table(spark, sf_dir, "documents"), QUESTION)
 
 
-QUERIES = [last_turns, manifest_layer, active_source, handoff_layers, changed_docs, bm25_index, bm25_terms, bm25_topk]
+def bm25_search_index(spark, sf_dir):
+    """The same search over an index that is written first."""
+    docs, folder = X.table(spark, sf_dir, "documents"), scratch_path(spark, "index")
+    I.write_index(I.postings(docs), I.corpus_stats(docs), folder)
+    return I.search(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), QUESTION)
+
+
+QUERIES = [last_turns, manifest_layer, active_source, handoff_layers, changed_docs, bm25_index, bm25_terms, bm25_topk, bm25_search_index]
 
 _TOUCHED = f"""{_PROMPTS},
 touched as (
@@ -126,3 +134,4 @@ from post join terms using (term), stats
 where term in ('the', 'license', 'of', 'token', 'and', 'die', 'lizenz')
 group by doc_id order by score desc, doc_id limit 10""",
 }
+SQL["bm25_search_index"] = SQL["bm25_topk"]

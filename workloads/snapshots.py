@@ -163,8 +163,13 @@ def report_written(spark, sf_dir):
 def scan_files(spark, sf_dir):
     """Pages written one per file and read back; a line end is added to each."""
     folder = scratch_path(spark, "pages")
-    X.table(spark, sf_dir, "pages").select("html").write.option("maxRecordsPerFile", 1).text(folder)
-    return scan(spark, folder, ("txt",)).select("ext", "n_bytes", F.md5("text").alias("digest"))
+    pages = X.table(spark, sf_dir, "pages").select("page_id", "html")
+    pages.filter("page_id % 10 <> 0").write.partitionBy("page_id").text(f"{folder}/src.d")
+    pages.filter("page_id % 10 = 0").write.partitionBy("page_id").text(f"{folder}/node_modules")
+    found = scan(spark, folder, ("txt",))
+    # the writer names folders by column; the file's own name is not fixed
+    path = F.regexp_replace("path", "[^/]*$", "")
+    return found.select(path.alias("path"), "ext", "n_bytes", F.md5("text").alias("digest"))
 
 
 QUERIES = [
@@ -197,7 +202,7 @@ _PROMPTS = r"""pr as (
 cand as (
   select prompt_id, f[u.i] as path, min(u.i) as first_at
   from (select prompt_id, regexp_extract_all(text, '[A-Za-z0-9_./-]+\.(py|js|ts|tsx|json|md|sh)\b') as f from pr) x,
-       (select unnest(range(1, 201)) as i) u where u.i <= len(f) group by 1, 2)"""
+       lateral (select unnest(range(1, len(f) + 1)) as i) u group by 1, 2)"""
 _VERBS = r"regexp_matches(text, '(?i)\b(modify|edit|update|change|rewrite)\b')"
 _SIZES = f"""{P.SKELETONS},
 siz as (select path, n_bytes, (strlen(skeleton) + 64 + 4095) // 4096 * 4096 as distilled from skel where ext <> 'md')"""
@@ -236,7 +241,7 @@ select cast(sum(strlen(text)) as bigint) as total_bytes, sum(strlen(text)) <= 52
     "rehydrate_blocks": f"""with {P.FILES},
 f as (select page_id, path, regexp_extract_all(text, '{P.PAGE_BLOCKS}') as blocks from files where ext <> 'md'),
 b as (select page_id, path, blocks[u.i] as block, lower(regexp_extract(blocks[u.i], '^<([A-Za-z]+)', 1)) || '_' || (u.i - 1) as symbol
-      from f, (select unnest(range(1, 201)) as i) u where u.i <= len(blocks))
+      from f, lateral (select unnest(range(1, len(blocks) + 1)) as i) u)
 select path, symbol, case when page_id % 11 <> 0 then md5(block) end as digest from b
 union all select path, 'nothing', null from files where ext <> 'md' and page_id % 13 = 0""",
     "rehydrate_full": f"""with {P.FILES}, {_PROMPTS}
@@ -264,7 +269,8 @@ from siz where n_bytes > 0 order by saving desc, path limit 30""",
 select path, n_bytes as original, distilled, n_bytes - distilled as saving,
   (n_bytes - distilled)::double / n_bytes::double * 100 as saving_pct
 from siz where n_bytes > 0 order by saving desc, path limit 30""",
-    "scan_files": """select 'txt' as ext, strlen(html) + 1 as n_bytes, md5(html || chr(10)) as digest from pages""",
+    "scan_files": """select 'src.d/page_id=' || page_id || '/' as path, 'txt' as ext, strlen(html) + 1 as n_bytes,
+  md5(html || chr(10)) as digest from pages where page_id % 10 <> 0""",
     "compression_ratio": f"""with {_SIZES}
 select path, n_bytes, distilled, case when n_bytes = 0 then 1.0::double else distilled::double / n_bytes::double end as ratio from siz""",
 }

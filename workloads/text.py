@@ -93,6 +93,18 @@ def contained_files(spark, sf_dir):
     return kept.select("path", F.lit(True).alias("inside")).unionByName(rejected.select("path", F.lit(False).alias("inside")))
 
 
+TRICKS = ["/repo/./src//", "/repo/src/../", "/repo/../", "/repo/src/../../etc/", "/repo/../repo/", "repo/", "/../repo/a/../"]
+
+
+def contained_paths(spark, sf_dir):
+    """Paths with dots in them, judged by where they lead."""
+    files = X.files(spark, sf_dir)
+    n = F.regexp_extract("path", r"page_(\d+)", 1).cast("bigint")
+    files = files.withColumn("path", F.concat(X.pick(TRICKS, n % len(TRICKS)), "path"))
+    kept, rejected = D.inside_root(files, "/repo/")
+    return kept.select("path", F.lit(True).alias("inside")).unionByName(rejected.select("path", F.lit(False).alias("inside")))
+
+
 def small_and_large(spark, sf_dir):
     docs = X.table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("skeleton"))
     small, large = D.split_small(docs)
@@ -125,7 +137,7 @@ def hinted_skeletons(spark, sf_dir):
 
 QUERIES = [
     redact_literals, redact_assigned, redact_keys, token_entropy, redact_entropy, redact_all, block_spans, elide_blocks,
-    skeleton_files, aligned_sizes, oversize_guard, contained_files, small_and_large, hot_symbols, lookup_tiers,
+    skeleton_files, aligned_sizes, oversize_guard, contained_files, contained_paths, small_and_large, hot_symbols, lookup_tiers,
     hot_kept_blocks, hinted_skeletons,
 ]
 
@@ -139,7 +151,7 @@ _CUT = f"""cut as (
 blk as (
   select path, ext, n_bytes, u.i - 1 as pos, blocks[u.i] as block,
          lower(regexp_extract(blocks[u.i], '^<([A-Za-z]+)', 1)) as type, u.i as i, gaps, blocks
-  from cut, (select unnest(range(1, 201)) as i) u where u.i <= len(blocks)),
+  from cut, lateral (select unnest(range(1, len(blocks) + 1)) as i) u),
 named as (select *, type || '_' || pos as symbol from blk)"""
 _COUNTS = """bl as (
   select 'src/page_' || (event_id // 20) || '.' || ['py','js','ts','tsx','md'][(event_id // 20) % 5 + 1] as path,
@@ -166,7 +178,7 @@ from docs""",
     "token_entropy": f"""with {P.DOCUMENTS},
 l as (select doc_id, regexp_extract_all(text, '{P.LITERAL}') as lits from docs),
 t as (select doc_id, u.i - 1 as pos, trim(lits[u.i], '"'' ') as token
-      from l, (select unnest(range(1, 1001)) as i) u where u.i <= len(lits))
+      from l, lateral (select unnest(range(1, len(lits) + 1)) as i) u)
 select doc_id, cast(pos as int) as pos, cast(length(token) as int) as n_chars,
        round(case when length(token) = 0 then 0 else list_entropy(string_split(token, '')) end, 6) as entropy from t""",
     "redact_entropy": f"""with {P.DOCUMENTS},
@@ -216,8 +228,11 @@ cut as (
 blk as (
   select path, ext, u.i as i, gaps[u.i] as gap, blocks[u.i] as block,
          lower(regexp_extract(blocks[u.i], '^<([A-Za-z]+)', 1)) || '_' || (u.i - 1) as symbol
-  from cut, (select unnest(range(1, 201)) as i) u where u.i <= len(gaps)),
+  from cut, lateral (select unnest(range(1, len(gaps) + 1)) as i) u),
 j as (select blk.*, coalesce(n_lookups, 0) as n from blk left join cnt on cnt.path = blk.path and cnt.symbol = blk.symbol),
 p as (select path, i, gap || case when block is null then '' when n >= 5 then {_KEPT.format(b="block")} else {_PLACE} || {_HINT} end as piece from j)
 select path, md5(string_agg(piece, '' order by i)) as digest from p group by 1""",
 }
+SQL["contained_paths"] = f"""with {P.FILES}
+select [{", ".join(f"'{t}'" for t in TRICKS)}][page_id % {len(TRICKS)} + 1] || path as path,
+       page_id % {len(TRICKS)} in (0, 1, 4, 6) as inside from files"""

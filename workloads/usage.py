@@ -102,7 +102,24 @@ def session_status(spark, sf_dir):
     return T.status_of(first, T.read_status(spark, root))
 
 
+def _unnamed(spark, sf_dir):
+    """Samples of which a tenth of the sessions has no name and some have no time."""
+    return _samples(spark, sf_dir).withColumns({
+        "session_id": F.expr("if(session_id % 10 = 0, null, session_id)"), "t_us": F.expr("if(event_id % 97 = 0, null, t_us)"),
+    })
+
+
+def unnamed_resets(spark, sf_dir):
+    """Samples without a session are one session; none with a time is lost."""
+    return M.track_sessions(_unnamed(spark, sf_dir)).select("session_id", "event_id", "prev_tokens", "reset_reason", "epoch", "fired_bucket")
+
+
+def untimed_samples(spark, sf_dir):
+    return M.untimed(_unnamed(spark, sf_dir)).select("session_id", "event_id", "prompt_tokens")
+
+
 QUERIES = [
+    unnamed_resets, untimed_samples,
     session_status, usage_normalized, model_context, usage_saturation, zero_skip, distill_due, session_resets, step_notices,
     tier_triggers, pending_tiers, monotone_notices, latest_status, latest_status_overall, trigger_summary,
     reset_summary,
@@ -207,3 +224,10 @@ select session_id, fired_bucket, count(*) as n_fired from trg where fired_bucket
     "reset_summary": f"""with {_STATE}
 select session_id, reset_reason, count(*) as n_resets from trg where reset_reason is not null group by all""",
 }
+
+_NAMED = _STATE.replace("  from smpl window", "  from smp2 window").replace("prv as (", """smp2 as (
+  select * replace (case when session_id % 10 = 0 then -1 else session_id end as session_id) from smpl where event_id % 97 <> 0),
+prv as (""")
+SQL["unnamed_resets"] = f"with {_NAMED} select session_id, event_id, prev_tokens, reset_reason, epoch, fired_bucket from trg"
+SQL["untimed_samples"] = f"""with {_SAMPLES}
+select case when session_id % 10 <> 0 then session_id end as session_id, event_id, prompt_tokens from smpl where event_id % 97 = 0"""
