@@ -181,8 +181,12 @@ def build_buckets(members: DataFrame, texts: DataFrame, block: int = fixed.BLOCK
     ``texts`` is (shard, ord, path, text). A bucket holds one block of bytes, or
     one oversize entry.
     """
-    df = members.select("shard", "ord", "bucket", "pos").join(texts, ["shard", "ord"])
-    df = df.select("shard", "bucket", F.struct("pos", "path", entry_text(F.col("path"), F.col("text")).alias("entry")).alias("m"))
+    return bucket_texts(members.select("shard", "ord", "bucket", "pos").join(texts, ["shard", "ord"]), block, slack)
+
+
+def bucket_texts(rows: DataFrame, block: int = fixed.BLOCK_BYTES, slack: int = fixed.SLACK_BYTES) -> DataFrame:
+    """Bucket texts of placed entries (shard, bucket, pos, path, text)."""
+    df = rows.select("shard", "bucket", F.struct("pos", "path", entry_text(F.col("path"), F.col("text")).alias("entry")).alias("m"))
     got = df.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list("m")).alias("m"))
     (a, b), end = fixed.MANIFEST_START, fixed.MANIFEST_END
     body = F.concat(F.lit(a), F.array_join("m.path", ", "), F.lit(b), F.array_join("m.entry", ""), F.lit(end))

@@ -17,12 +17,17 @@ from tidemark.session import stage
 
 @dataclass
 class Distilled:
-    """``skeletons`` (key, text, n_bytes), ``members`` (path, key, pos, entry_bytes), ``source_map``, ``sizes``."""
+    """``skeletons`` (key, text, n_bytes), ``members`` (path, key, pos, entry_bytes), ``source_map``, ``sizes``, ``rejects``.
+
+    ``sizes`` names the oversize files, whose text is a summary; ``rejects`` are
+    files outside the root, if one was given.
+    """
 
     skeletons: DataFrame
     members: DataFrame
     source_map: DataFrame
     sizes: DataFrame
+    rejects: DataFrame | None = None
 
 
 def distill(
@@ -33,15 +38,21 @@ def distill(
     literal: str = R.CODE_LITERAL,
     small_bytes: int = fixed.SMALL_BYTES,
     shard: str = "",
+    root: str | None = None,
 ) -> Distilled:
     """Large skeletons keep their own key; small ones are packed in path order.
 
     Skeletons are written once with their byte counts; packing then reads paths
-    and counts only. ``shard`` becomes part of the bucket keys.
+    and counts only, and its result is written once too, so small texts are
+    shuffled to their places and to their buckets and no further. ``shard``
+    becomes part of the bucket keys. With ``root``, files outside it are rejected.
     """
+    rejects = None
+    if root is not None:
+        files, rejects = D.inside_root(files, root)
     sk = D.skeletons(files, kinds, limit, counts, literal)
     sk = sk.select(
-        "path", "ext", "n_bytes", "skeleton",
+        "path", "ext", "n_bytes", "skeleton", "units", "oversize",
         B.size(F.col("skeleton")).alias("skeleton_bytes"),
         B.size(P.entry_text(F.col("path"), F.col("skeleton"))).alias("entry_bytes"),
     )
@@ -51,9 +62,9 @@ def distill(
 
     entries = small.select(F.lit(shard).alias("shard"), "path", "entry_bytes")
     numbered = P.with_positions(entries, "path")
-    packed = P.pack_next_fit(numbered)
-    texts = small.select("path", F.col("skeleton").alias("text")).join(numbered.select("shard", "ord", "path"), "path")
-    buckets = P.build_buckets(packed, texts)
+    packed = P.pack_next_fit(numbered).join(numbered.select("shard", "ord", "path"), ["shard", "ord"])
+    packed = stage(packed.select("path", "shard", "bucket", "pos", "entry_bytes"), "packed")
+    buckets = P.bucket_texts(packed.join(small.select("path", F.col("skeleton").alias("text")), "path"))
 
     key = P.bucket_key(F.col("shard"), F.col("bucket"))
     skeletons = large.select(
@@ -63,7 +74,7 @@ def distill(
     members = large.select(
         "path", F.col("path").alias("key"), F.lit(0).cast("bigint").alias("pos"), "entry_bytes"
     ).unionByName(
-        packed.join(numbered.select("shard", "ord", "path"), ["shard", "ord"]).select("path", key.alias("key"), "pos", "entry_bytes")
+        packed.select("path", key.alias("key"), "pos", "entry_bytes")
     )
-    sizes = sk.select("path", "n_bytes", "skeleton_bytes")
-    return Distilled(skeletons, members, D.source_map(files, kinds, limit), sizes)
+    sizes = sk.select("path", "n_bytes", "skeleton_bytes", "units", "oversize")
+    return Distilled(skeletons, members, D.source_map(files, kinds, limit), sizes, rejects)

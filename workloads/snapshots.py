@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import blocks as B
@@ -34,8 +37,8 @@ def _snapshot(spark, sf_dir):
 
 
 def _members(spark, sf_dir):
-    """Paths of a snapshot of all supported files."""
-    return X.source_files(spark, sf_dir).select("path")
+    """Members of a written snapshot, alone and in buckets."""
+    return _snapshot(spark, sf_dir).members
 
 
 def _source_map(spark, sf_dir):
@@ -92,8 +95,14 @@ def prune_snapshot(spark, sf_dir):
 
 
 def prune_other_commit(spark, sf_dir):
-    kept = N.prune_snapshot(_snapshot(spark, sf_dir), _listing(spark, sf_dir), "def")
-    return kept.skeletons.agg(F.count("*").alias("n_skeletons"))
+    """What the snapshot keeps for its own commit and for another one."""
+    snapshot, listing = _snapshot(spark, sf_dir), _listing(spark, sf_dir)
+    counts = []
+    for sha in ("abc", "def"):
+        kept = N.prune_snapshot(snapshot, listing, sha)
+        for table, df in (("skeletons", kept.skeletons), ("members", kept.members), ("source_map", kept.source_map)):
+            counts.append(df.agg(F.count("*").alias("n_rows")).select(F.lit(sha).alias("commit_sha"), F.lit(table).alias("kind"), "n_rows"))
+    return reduce(DataFrame.unionByName, counts)
 
 
 def restore_gate(spark, sf_dir):
@@ -235,7 +244,15 @@ union all select path, path, 0, strlen({P.entry("path", "ext", "skeleton")}) fro
 listing as (select path from files where ext <> 'md' and page_id % 7 <> 0)
 select key, 'skeleton' as kind from snap where key like 'COMMON\\_BUCKET\\_%' escape '\\' or key in (select path from listing)
 union all select path, 'source_map' from listing""",
-    "prune_other_commit": "select cast(0 as bigint) as n_skeletons",
+    "prune_other_commit": f"""with recursive {_SNAPSHOT},
+listing as (select path, text from files where ext <> 'md' and page_id % 7 <> 0),
+kept as (
+  select 'skeletons' as kind, count(*) as n from snap
+  where key like 'COMMON\\_BUCKET\\_%' escape '\\' or key in (select path from listing)
+  union all select 'members', count(*) from listing
+  union all select 'source_map', coalesce(sum(len(regexp_extract_all(text, '{P.PAGE_BLOCKS}'))), 0) from listing)
+select c.sha as commit_sha, kind, cast(case when c.sha = 'abc' then n else 0 end as bigint) as n_rows
+from kept, (select unnest(['abc', 'def']) as sha) c""",
     "restore_gate": f"""with recursive {_SNAPSHOT}
 select cast(sum(strlen(text)) as bigint) as total_bytes, sum(strlen(text)) <= 5242880 as allowed from snap""",
     "rehydrate_blocks": f"""with {P.FILES},

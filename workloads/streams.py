@@ -8,14 +8,13 @@ from tidemark.functions import blocks as B
 from tidemark.functions import redact as R
 from tidemark.operators import usage as S
 from tidemark.plans.distill_run import distill
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, stage
 from tidemark.sources import snapshot as N
 from tidemark.sources import status as T
 from tidemark.streaming import monitor as M
 from workloads import fixtures as X
 from workloads import usage as U
 
-SPAN_US = 9_000_000_000
 SLICE_ROWS = 5_000_000
 LEAST_SLICES = 3
 
@@ -32,21 +31,23 @@ def _stream_session(spark):
 def _run(spark, sf_dir, write):
     """Deliver the samples in time slices; each slice is one run of the stream from its checkpoint.
 
-    ``write(stream)`` gives the writer of the monitored stream. The number of
-    slices grows with the table, so that a micro-batch stays bounded.
+    ``write(stream)`` gives the writer of the monitored stream. Slices are cut at
+    quantiles of the time, so every sample is in one; their number grows with the
+    table, so that a micro-batch stays bounded.
     """
     n_rows = X.table(spark, sf_dir, "events").count()
     slices = max(LEAST_SLICES, -(-n_rows // SLICE_ROWS))
     landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "progress")
-    samples = S.with_limit(S.normalize_usage(X.usage_payloads(spark, sf_dir))).select(
-        "session_id", "event_id", "t_us", "prompt_tokens", "max_context", F.expr(f"t_us * {slices} div {SPAN_US}").alias("slice")
-    )
-    staged = scratch_path(spark, "samples")
-    samples.write.partitionBy("slice").parquet(staged)
+    samples = S.with_limit(S.normalize_usage(X.usage_payloads(spark, sf_dir)))
+    staged = stage(samples.select("session_id", "event_id", "t_us", "prompt_tokens", "max_context"), "samples")
+    cuts = sorted(set(staged.approxQuantile("t_us", [i / slices for i in range(1, slices)], 0.01)))
+    number = F.lit(0)
+    for cut in cuts:
+        number = number + F.when(F.col("t_us") > cut, 1).otherwise(0)
     schema = "session_id BIGINT, event_id BIGINT, t_us BIGINT, prompt_tokens BIGINT, max_context BIGINT"
     own = _stream_session(spark)
-    for i in range(slices):
-        spark.read.schema(schema).parquet(f"{staged}/slice={i}").write.mode("append").parquet(landing)
+    for i in range(len(cuts) + 1):
+        staged.filter(number == i).write.mode("append").parquet(landing)
         stream = M.monitor_stream(own.readStream.schema(schema).parquet(landing))
         q = write(stream).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
