@@ -122,7 +122,8 @@ def test_prompts(spark):
 def test_report(spark, tree, tmp_path):
     sizes = S.file_sizes(distill(scan_files(spark, str(tree))).sizes)
     text = W.write_report(sizes, str(tmp_path / "report"), top=2)
-    assert "- **Total Source Files**: 4" in text and len(text.splitlines()) == 13
+    totals = S.size_totals(sizes).first()
+    assert f"| 4 | {totals.original:,} | {totals.distilled:,} | {totals.saving:,} |" in text and text.count("| lib/") == 2
     assert spark.read.parquet(str(tmp_path / "report" / "top")).count() == 2
     none = S.size_totals(sizes.filter("false")).first()
     assert (none.n_files, none.original, none.saving_pct) == (0, 0, 0.0)
