@@ -167,7 +167,8 @@ class Resampler:
         self.models = spark.sparkContext.broadcast(Models.of(counts[0], counts[1]))
         scored = self._weighed(marked, [id_col, "_good", "_key"])
         self.scores = stage(scored.withColumnRenamed(id_col, "id"), "weights")
-        fit = self.scores.filter("_good is not null").select("log_weight", "_good").collect()  # LABELS rows, but for copies of an id
+        fit = self.scores.filter("_good is not null").select("log_weight", "_good", "_key").distinct()
+        fit = fit.orderBy(F.xxhash64("_key"), "_key").limit(LABELS).collect()  # an id may have many rows
         self.curve = fit_curve(np.array([r[0] for r in fit]), np.array([float(r[1]) for r in fit]))
         self.k = self.scores.filter(self.chance() >= LEAST).count() if k is None else k
         self.least = kth_largest(self.scores.select(self.noisy().alias("value")), self.k) if self.k else None
