@@ -9,6 +9,7 @@ from tidemark.operators import monitor as M
 from tidemark.operators import usage as S
 from tidemark.session import scratch_path
 from tidemark.sources import status as T
+from tidemark.sources.usage import read_usage
 from workloads import fixtures as X
 
 
@@ -102,6 +103,21 @@ def session_status(spark, sf_dir):
     return T.status_of(first, T.read_status(spark, root))
 
 
+def usage_lines(spark, sf_dir):
+    """Payloads written as lines of text with their keys, and read back."""
+    folder = scratch_path(spark, "lines")
+    line = F.expr("""concat('{"session_id":"', session_id, '","event_id":', event_id, ',"t_us":', t_us, ',', substring(payload, 2))""")
+    X.usage_payloads(spark, sf_dir).select(line.alias("value")).write.text(folder)
+    return read_usage(spark, folder).select("session_id", "event_id", "t_us", "model", "prompt_tokens", "context_size")
+
+
+def size_override(spark, sf_dir):
+    """A size stated in the payload counts, but for zero."""
+    stated = F.when(F.col("event_id") % 3 == 0, "12345").otherwise("0")
+    other = F.regexp_replace(F.col("payload"), F.lit('"context_window_size":[0-9]+'), F.concat(F.lit('"context_window_size":'), stated))
+    return S.with_limit(S.normalize_usage(X.usage_payloads(spark, sf_dir).withColumn("payload", other))).select("event_id", "model", "max_context")
+
+
 def _unnamed(spark, sf_dir):
     """Samples of which a tenth of the sessions has no name and some have no time."""
     return _samples(spark, sf_dir).withColumns({
@@ -119,7 +135,7 @@ def untimed_samples(spark, sf_dir):
 
 
 QUERIES = [
-    unnamed_resets, untimed_samples,
+    unnamed_resets, untimed_samples, usage_lines, size_override,
     session_status, usage_normalized, model_context, usage_saturation, zero_skip, distill_due, session_resets, step_notices,
     tier_triggers, pending_tiers, monotone_notices, latest_status, latest_status_overall, trigger_summary,
     reset_summary,
@@ -231,3 +247,8 @@ prv as (""")
 SQL["unnamed_resets"] = f"with {_NAMED} select session_id, event_id, prev_tokens, reset_reason, epoch, fired_bucket from trg"
 SQL["untimed_samples"] = f"""with {_SAMPLES}
 select case when session_id % 10 <> 0 then session_id end as session_id, event_id, prompt_tokens from smpl where event_id % 97 = 0"""
+SQL["usage_lines"] = f"""with {_SOURCE}
+select cast(session_id as varchar) as session_id, event_id, t_us, lower(model_name) as model, tokens as prompt_tokens,
+       case when event_type = 'view' then size end as context_size from smp"""
+SQL["size_override"] = f"""with {_SOURCE}
+select event_id, lower(model_name) as model, cast(case when event_type = 'view' and event_id % 3 = 0 then 12345 else size end as bigint) as max_context from smp"""
