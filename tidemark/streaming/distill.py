@@ -41,3 +41,19 @@ def latest_members(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.schema(schema).parquet(f"{root}/members").join(done, "snapshot_id")
     last = F.max_by(F.struct("snapshot_id", "key", "pos", "entry_bytes"), F.struct("ts", "snapshot_id"))
     return rows.groupBy("path").agg(last.alias("_l")).select("path", "_l.*")
+
+
+def _of_latest(spark: SparkSession, root: str, table: str, key: str) -> DataFrame:
+    """Rows of a table over all increments that the latest members point to."""
+    rows = spark.read.schema(N.SCHEMAS[table] + ", snapshot_id STRING").parquet(f"{root}/{table}")
+    return rows.join(latest_members(spark, root).select(key, "snapshot_id").distinct(), [key, "snapshot_id"], "left_semi")
+
+
+def latest_skeletons(spark: SparkSession, root: str) -> DataFrame:
+    """Skeletons and buckets over all committed increments that hold the latest form of some path."""
+    return _of_latest(spark, root, "skeletons", "key")
+
+
+def latest_source_map(spark: SparkSession, root: str) -> DataFrame:
+    """The source map over all committed increments: that of the last one of each path."""
+    return _of_latest(spark, root, "source_map", "path")

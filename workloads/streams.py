@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import blocks as B
 from tidemark.functions import redact as R
+from tidemark.operators import rehydrate as H
 from tidemark.operators import usage as S
 from tidemark.plans.distill_run import distill
 from tidemark.session import scratch_path, stage
 from tidemark.sources import snapshot as N
 from tidemark.sources import status as T
 from tidemark.streaming import monitor as M
+from tidemark.streaming.distill import increment_sink, latest_members, latest_skeletons, latest_source_map
 from workloads import fixtures as X
+from workloads import sqlparts as P
 from workloads import usage as U
 
 SLICE_ROWS = 5_000_000
@@ -77,7 +80,19 @@ def stream_distill(spark, sf_dir):
     return found.members.select("path")
 
 
-QUERIES = [stream_monitor, stream_status, stream_distill]
+def stream_increments(spark, sf_dir):
+    """Two increments of files, some delivered again; blocks of either part are found and cut from the files."""
+    root, files = scratch_path(spark, "increments"), X.source_files(spark, sf_dir)
+    sink = increment_sink(root, B.PAGE_KINDS)
+    sink(files.filter("page_id % 2 = 0"), 0)
+    sink(files.filter("page_id % 2 = 1 or page_id % 10 = 0"), 1)
+    spans = latest_source_map(spark, root)
+    cut = H.rehydrate_blocks(spans.select("path", "symbol", "snapshot_id"), spans, files)
+    held = latest_skeletons(spark, root).join(latest_members(spark, root), ["key", "snapshot_id"]).groupBy("path").agg(F.count("*").alias("n_texts"))
+    return cut.join(held, "path").select("path", "symbol", "snapshot_id", F.md5("block").alias("digest"), "n_texts")
+
+
+QUERIES = [stream_monitor, stream_status, stream_distill, stream_increments]
 
 SQL = {
     "stream_monitor": f"""with {U._STATE}
@@ -86,3 +101,9 @@ select session_id, event_id, ratio, step, last_step, last_bucket, fired_bucket,
     "stream_distill": """select 'src/page_' || page_id || '.' || ['py','js','ts','tsx'][page_id % 5 + 1] as path
 from pages where page_id % 5 < 4""",
 }
+SQL["stream_increments"] = f"""with {P.FILES},
+f as (select page_id, path, regexp_extract_all(text, '{P.PAGE_BLOCKS}') as blocks from files where ext <> 'md')
+select path, lower(regexp_extract(blocks[u.i], '^<([A-Za-z]+)', 1)) || '_' || (u.i - 1) as symbol,
+       case when page_id % 2 = 1 or page_id % 10 = 0 then 'part-000000000001' else 'part-000000000000' end as snapshot_id,
+       md5(blocks[u.i]) as digest, cast(1 as bigint) as n_texts
+from f, lateral (select unnest(range(1, len(blocks) + 1)) as i) u"""
