@@ -111,6 +111,15 @@ def test_one_of_each_links_edited_copies_only(spark, edge_docs, no_docs):
     assert N.one_of_each(no_docs).count() == 0
 
 
+def test_one_of_each_keeps_one_row_of_each_group(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(None, text()) for _ in range(6)] + [(1, text()) for _ in range(4)] + [(None, None)]
+    copies = [(2, rows[6][1]), (None, rows[0][1]), (2, rows[0][1]), rows[7]]  # a repeated row, copies with other ids or none
+    got = [tuple(r) for r in N.one_of_each(spark.createDataFrame(rows + copies, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(2, rows[0][1]), *rows[1:]], key=repr)
+
+
 def test_likeness():
     a, b = ("".join(f"w{i} " for i in range(n, n + 300)) for n in (0, 20))
     sketch = np.stack([np.frombuffer(N.sketch_text(t, 5)[1], np.uint8) for t in (a, b)])

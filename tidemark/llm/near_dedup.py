@@ -25,8 +25,9 @@ The stars are joined to components by alternating large-star and small-star
 rounds on tables. No fingerprint or link but the sample reaches the driver.
 
 Defined results: null or blank text has fingerprint zero and is linked like any
-other; null ids are smallest only where all ids of a group are null; repeated
-rows are repeated in the result; an empty table gives an empty result; further
+other; null ids are smallest only where all ids of a group are null; rows are told
+apart by id and text, so different texts without an id, or with the same one,
+stay apart; repeated rows are repeated in the result; an empty table gives an empty result; further
 columns are ignored, whatever their names.
 """
 
@@ -42,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, small_batches
+from tidemark.llm.common import pieces, row_key, small_batches
 from tidemark.session import stage
 
 SHINGLE = 4
@@ -109,7 +110,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, sketches: bool = False) -> DataFrame:
-    """(id, node, fp, sketch) per document; fp is the fingerprint as a signed number, node names the point."""
+    """(id, h, node, fp, sketch) per document; h is the text's hash, fp the fingerprint as a signed number, node names the point."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
@@ -118,10 +119,10 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             got = [sketch_text(t, width) for t in b.column(1).to_pylist()]
             fp = np.array([f for f, _ in got], dtype=np.uint64).view(np.int64)
             sketch = pa.array([s if sketches else b"" for _, s in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), sketch], names=["id", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), sketch, b.column(2)], names=["id", "fp", "sketch", "h"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(run, f"id {kind.simpleString()}, fp bigint, sketch binary")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = texts.mapInArrow(run, f"id {kind.simpleString()}, fp bigint, sketch binary, h bigint")
     return rows.withColumn("node", F.xxhash64("fp", "sketch") if sketches else F.col("fp"))
 
 
@@ -305,22 +306,32 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(
+def first_document():
+    """The document of the smallest id; null ids come last, and of equal ids the smallest text hash is first."""
+    return F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h"))
+
+
+def grouped(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE,
     like: float | None = None, **sizes: int,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
+    """(id, h, node, fp, sketch) per document, and (node, least, root) per point; least is its first document, groups share the root."""
+    rows = stage(with_fingerprints(docs, id_col, text_col, width, like is not None), "fingerprints")
+    points = stage(rows.groupBy("node", "fp", "sketch").agg(first_document().alias("least")), "points")
+    roots = components(linked_nodes(points, radius, like, **sizes))
+    named = points.join(roots, points["node"] == roots["a"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    return rows, stage(named, "named")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, fp, component_id) per document; component_id is the smallest id that links reach.
 
     A link is a distance of ``radius`` at most and, with ``like``, an estimated
     similarity of that at least.
     """
-    rows = stage(with_fingerprints(docs, id_col, text_col, width, like is not None), "fingerprints")
-    points = stage(rows.groupBy("node", "fp", "sketch").agg(F.min("id").alias("least")), "points")
-    roots = components(linked_nodes(points, radius, like, **sizes))
-    named = points.join(roots, points["node"] == roots["a"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = stage(named, "named")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("id", "node", "fp").join(named.join(ids, "root").select("node", "component_id"), "node").select("id", "fp", "component_id")
+    rows, named = grouped(docs, id_col, text_col, **options)
+    first = named.groupBy("root").agg(F.min("least").alias("first"))
+    return rows.select("id", "node", "fp").join(named.join(first, "root").select("node", "first"), "node").select("id", "fp", F.col("first.id").alias("component_id"))
 
 
 def fingerprint_hex(fp):
@@ -328,13 +339,14 @@ def fingerprint_hex(fp):
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with the smallest id of each group, with all their columns; of rows that share that id, one.
+    """One document of each group with all its columns: that of the smallest id, and of these the smallest text hash.
 
     Groups are of like texts: five-word shingles, a wide radius and a similarity
     of 0.8, unless ``options`` say otherwise.
     """
-    kept = near_duplicates(docs, id_col, text_col, **{"width": 5, "radius": WIDE_RADIUS, "like": LIKE} | options).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    keys = kept.select(F.coalesce(F.col("id").cast("string"), F.lit("~")).alias("_key")).distinct()
-    wide = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), F.lit("~")))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text_col), text_col))
+    _, named = grouped(docs, id_col, text_col, **{"width": 5, "radius": WIDE_RADIUS, "like": LIKE} | options)
+    first = named.groupBy("root").agg(F.min("least").alias("first"))
+    keys = first.select(row_key(F.col("first.id"), F.col("first.h")).alias("_key"))
+    wide = docs.withColumn("_key", row_key(F.col(id_col), F.xxhash64(text_col)))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
     return wide.join(keys, "_key", "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_key", "_nth")
