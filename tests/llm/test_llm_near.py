@@ -120,6 +120,31 @@ def test_one_of_each_keeps_one_row_of_each_group(spark):
     assert sorted(got, key=repr) == sorted([(2, rows[0][1]), *rows[1:]], key=repr)
 
 
+def edited_pairs(seed, pairs, n_words):
+    """Rows (2k, text), (2k + 1, its edited copy) and the true similarity of each pair, over all levels from 0.7 on."""
+    rng, rows, true = random.Random(seed), [], []
+    for k in range(pairs):
+        base = [f"p{k}w{rng.randrange(10**5)}" for _ in range(n_words)]
+        copy = base.copy()
+        for i in rng.sample(range(n_words), rng.randint(1, n_words // 25)):
+            copy[i] = f"edit{rng.randrange(10**6)}"
+        a, b = ({" ".join(w[i:i + 5]) for i in range(n_words - 4)} for w in (base, copy))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        true.append(len(a & b) / len(a | b))
+    return rows, true
+
+
+def test_one_of_each_links_every_similarity_from_the_threshold_on(spark):
+    rows, true = edited_pairs(9, 150, 100)
+    passage = " ".join(f"license{i}" for i in range(12))  # common to all, so that keys are shared by unlike texts
+    rows = [(i, f"{t} {passage}") for i, t in rows]
+    sets = {i: {" ".join(w[j:j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {2 * k for k in range(150)} | {2 * k + 1 for k in range(150) if 5 * len(sets[2 * k] & sets[2 * k + 1]) < 4 * len(sets[2 * k] | sets[2 * k + 1])}
+    near = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(150)]
+    assert sum(0.8 <= j < 0.9 for j in near) > 10 and sum(0.7 <= j < 0.8 for j in near) > 10
+    assert {r["doc_id"] for r in N.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == want
+
+
 def test_likeness():
     a, b = ("".join(f"w{i} " for i in range(n, n + 300)) for n in (0, 20))
     sketch = np.stack([np.frombuffer(N.sketch_text(t, 5)[1], np.uint8) for t in (a, b)])

@@ -21,6 +21,10 @@ the text's set of shingles (the least hash of each of ``BINS`` bins, one byte
 each), whose shared bins estimate the Jaccard similarity. This allows a wide
 radius, which would link unlike texts by itself.
 
+The pipeline's stage asks for a similarity of 0.8 instead, whatever the
+fingerprints: candidates are the sets that share a shingle of their prefixes,
+which no similar pair can lack, and the sets themselves decide.
+
 The stars are joined to components by alternating large-star and small-star
 rounds on tables. No fingerprint or link but the sample reaches the driver.
 
@@ -40,7 +44,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces, row_key, small_batches
@@ -49,7 +53,6 @@ from tidemark.session import stage
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-WIDE_RADIUS = 9  # where likeness is asked for; a wider one finds more edited copies but prunes less
 BINS = 128
 LIKE = 0.77  # estimated similarity that a link needs to stand for 0.8; the estimate errs by 0.035
 SAMPLE = 262_144  # fingerprints at most that the driver reads to choose vantage points: 2 MB
@@ -57,6 +60,9 @@ SHARD_ROWS = 65_536  # points wanted in a shard, before its ring
 MOST_SHARDS = 16_384  # of one segment
 CELL_ROWS = 262_144  # points of a block of a shard that no vantage point splits
 LEAF = 384
+WIDE, SIMILAR = 5, (4, 5)  # words of a shingle and least similarity of the pipeline's stage
+STARS = 3  # rounds that compare with one node of a key, before all pairs
+COUNTED, BUCKETS = 4_096, 1 << 20  # documents and counters of the order of shingles: 8 MB
 COMPARED = 1 << 21  # distances held at once
 LIKENESSES = 1 << 16  # pairs of sketches held at once
 
@@ -67,14 +73,9 @@ def segments(radius: int) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in zip(edges, edges[1:])]
 
 
-def sketch_text(text: str | None, width: int = SHINGLE) -> tuple[int, bytes]:
-    """SimHash over XXH64 of the word shingles of a text, repeats included, and the sketch of their set."""
-    ones, total, kept = np.zeros(64, np.int64), 0, []
-    least = np.full(BINS, 1 << 32, np.int64)
-
-    def add(hashes: np.ndarray) -> None:
-        np.minimum.at(least, (hashes >> np.uint64(57)).astype(np.int64), (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64))
-
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a text, repeats included; of fewer words than ``width``, of all of them."""
+    kept, some = [], False
     for piece in pieces((text or "").encode().lower()):
         words = kept + piece.split()
         kept = words[1 - width:] if width > 1 else []
@@ -85,19 +86,30 @@ def sketch_text(text: str | None, width: int = SHINGLE) -> tuple[int, bytes]:
         ends = list(accumulate(n + 1 for n in lengths))
         data = b" ".join(words)
         spans = zip([e - n - 1 for e, n in zip(ends, lengths)], ends[width - 1:])
-        hashes = np.array([xxhash.xxh64_intdigest(data[a:b - 1], SEED) for a, b in spans], dtype=np.uint64)
+        yield np.array([xxhash.xxh64_intdigest(data[a:b - 1], SEED) for a, b in spans], dtype=np.uint64)
+        some = True
+    if kept and not some:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(kept), SEED)], np.uint64)
+
+
+def sketch_text(text: str | None, width: int = SHINGLE) -> tuple[int, bytes]:
+    """SimHash over the word shingles of a text, repeats included, and the sketch of their set."""
+    ones, total = np.zeros(64, np.int64), 0
+    least = np.full(BINS, 1 << 32, np.int64)
+    for hashes in shingle_hashes(text, width):
         ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         total += len(hashes)
-        add(hashes)
-    if total:
-        fp = int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
-    else:
-        fp = xxhash.xxh64_intdigest(b" ".join(kept), SEED) if kept else 0
-        if kept:
-            add(np.array([fp], np.uint64))
+        np.minimum.at(least, (hashes >> np.uint64(57)).astype(np.int64), (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    fp = int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
     return fp, np.where(least < 1 << 32, 1 + least % 255, 0).astype(np.uint8).tobytes()  # 0: no shingle fell there
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The set of shingle hashes, in order; empty for a text without words."""
+    found = list(shingle_hashes(text, width))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return sketch_text(text, width)[0]
 
@@ -338,13 +350,137 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """How often the shingles of a bounded sample of documents (text) fall into each of ``BUCKETS``.
+
+    It only orders the shingles, so that common ones are rarely compared; links do not depend on it.
+    """
+    share = max(1, docs.count() // COUNTED)
+    texts = docs.filter(F.pmod(F.xxhash64("text", F.lit("counts")), F.lit(share)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                counts[(shingle_set(t, width) % BUCKETS).astype(np.int64)] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
+
+    out, got = np.zeros(BUCKETS, np.int64), texts.select("text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).filter("n > 1")
+    for t in got.toArrow().to_batches():  # BUCKETS rows at most
+        out[t.column(0).to_numpy()] = t.column(1).to_numpy()
+    return out
+
+
+def with_prefixes(texts: DataFrame, width: int, like: tuple[int, int]) -> DataFrame:
+    """(id, h, node, n, prefix) per (id, h, text): the hash of the shingle set, its size, and its first shingles.
+
+    In one order of all shingles, rarest first, two sets of n and m shingles that
+    share ``like`` of their union share one of the first n - ceil(like * n) + 1
+    and m - ceil(like * m) + 1: a link is never missed.
+    """
+    shared, kind = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, width)), texts.schema["id"].dataType
+    up, down = like
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, size, first = [], [], []
+            for t in b.column(2).to_pylist():
+                own = shingle_set(t, width)
+                by = np.lexsort((own, shared.value[(own % BUCKETS).astype(np.int64)]))
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                size.append(len(own))
+                first.append(own[by[:len(own) + (-up * len(own)) // down + 1]].view(np.int64) if len(own) else own.view(np.int64))
+            node = np.array(node, np.uint64).view(np.int64)
+            columns = [b.column(0), b.column(1), pa.array(node), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "node", "n", "prefix"])
+
+    return texts.select("id", "h", "text").mapInArrow(run, f"id {kind.simpleString()}, h bigint, node bigint, n int, prefix array<bigint>")
+
+
+def with_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) per (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def _can_link(x: str, y: str, like: tuple[int, int]) -> Column:
+    """Whether sets of this size, with this first common shingle, can share ``like`` of their union."""
+    up, down = like
+    share = F.lit(1) + F.least(*[F.col(f"{t}.n") - F.col(f"{t}.at") - 1 for t in (x, y)])
+    return share * (up + down) >= F.lit(up) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def alike_roots(entries: DataFrame, sets: DataFrame, like: tuple[int, int], stars: int = STARS) -> DataFrame:
+    """(a, root) of the nodes linked by a similarity of ``like`` or more, but the roots.
+
+    ``entries`` (key, node, n, at) are the places of shingles in prefixes. In
+    each of the first rounds the nodes of a key are compared with one of them;
+    the last compares all that share a key and are not in one group yet. What has
+    been compared is not compared again, and a large group of like texts is
+    settled by stars, not by its pairs.
+    """
+    up, down = like
+    spark = entries.sparkSession
+    links = tested = spark.createDataFrame([], "a bigint, b bigint")
+    roots = spark.createDataFrame([], "a bigint, root bigint")
+    for k in range(stars + 1):
+        rows = entries.join(roots, entries["node"] == roots["a"], "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+        open_ = rows.groupBy("key").agg(
+            F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "n", "at", "root")).alias("c")
+        ).filter("x <> y").select("key", "c")
+        met = rows.join(open_, "key").select("key", "node", "n", "at", "root", "c")
+        met = stage(met, "open-keys")
+        if met.isEmpty():
+            break
+        entries = met.select("key", "node", "n", "at")
+        x = met.drop("c").alias("x")
+        if k < stars:
+            y = met.select("key", F.struct("node", "n", "at", "root").alias("x"), F.col("c").alias("y")).filter("x.root <> y.root")
+        else:
+            y = x.join(met.drop("c").alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
+        pairs = y.filter(_can_link("x", "y", like)).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(pairs)
+        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"))
+        both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("p", "q")))
+        found = stage(both.filter(F.col("same") * (up + down) >= F.lit(up) * (F.size("p") + F.size("q"))).select("a", "b"), "links")
+        links = links.union(found)
+        roots = components(links)
+    return roots
+
+
+def alike(docs: DataFrame, id_col: str, text_col: str, width: int, like: tuple[int, int]) -> DataFrame:
+    """(node, least, root) per set of shingles; least is its first document, groups share the root."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    rows = stage(with_prefixes(texts, width, like), "prefixes")
+    points = stage(rows.groupBy("node").agg(first_document().alias("least")), "points")
+    entries = rows.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    entries = stage(entries, "entries")
+    shared = entries.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+    entries = stage(entries.join(shared, "key").select("key", "node", "n", "at"), "shared")
+    met = points.join(entries.select("node").distinct(), "node", "left_semi")
+    named = met.select("node", row_key(F.col("least.id"), F.col("least.h")).alias("_key"))
+    own = texts.withColumn("_key", row_key(F.col("id"), F.col("h"))).join(named, "_key").select("node", "text")
+    sets = stage(with_sets(own, width).dropDuplicates(["node"]), "sets")
+    roots = alike_roots(entries, sets, like)
+    named = points.join(roots, points["node"] == roots["a"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    return stage(named, "named")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDE, like: tuple[int, int] = SIMILAR) -> DataFrame:
     """One document of each group with all its columns: that of the smallest id, and of these the smallest text hash.
 
-    Groups are of like texts: five-word shingles, a wide radius and a similarity
-    of 0.8, unless ``options`` say otherwise.
+    A link is a Jaccard similarity of the sets of shingles of ``like`` at least,
+    exactly; texts without words are one group.
     """
-    _, named = grouped(docs, id_col, text_col, **{"width": 5, "radius": WIDE_RADIUS, "like": LIKE} | options)
+    named = alike(docs, id_col, text_col, width, like)
     first = named.groupBy("root").agg(F.min("least").alias("first"))
     keys = first.select(row_key(F.col("first.id"), F.col("first.h")).alias("_key"))
     wide = docs.withColumn("_key", row_key(F.col(id_col), F.xxhash64(text_col)))
