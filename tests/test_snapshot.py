@@ -35,6 +35,14 @@ def test_scan(spark, tree):
     assert got["lib/b.js"].ext == "js"
 
 
+def test_scan_skips_folders_below_the_root_only(spark, tmp_path):
+    for root in (tmp_path / "build" / "a b+é%20" / "dist", tmp_path / "venv"):
+        for name in ("a.py", "lib/b.py", "build/c.py", "lib/node_modules/d.py"):
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_text("x = 1\n")
+        assert {r.path for r in scan_files(spark, str(root)).select("path", "text").collect()} == {"a.py", "lib/b.py"}
+
+
 def test_run_write_read_prune(spark, tree, tmp_path):
     files = scan_files(spark, str(tree))
     run, root = distill(files), str(tmp_path / "snap")

@@ -24,9 +24,12 @@ def qualified(spark: SparkSession, root: str) -> str:
 SKIPPED = "/(" + "|".join(x.replace(".", r"\.") for x in fixed.SKIPPED_FOLDERS) + ")/"
 
 
-def _listed(raw: DataFrame) -> DataFrame:
-    """Files outside the skipped folders; the condition is on the file's metadata, so others are not opened."""
-    return raw.filter(~F.col("_metadata.file_path").rlike(SKIPPED))
+def _listed(raw: DataFrame, root: str) -> DataFrame:
+    """Files outside the skipped folders below the root; the condition is on the file's metadata, so others are not opened."""
+    base = raw.sparkSession._jvm.org.apache.hadoop.fs.Path(qualified(raw.sparkSession, root)).toUri().getRawPath().rstrip("/")
+    path = F.regexp_replace("_metadata.file_path", "^[^:/]+:(//[^/]*)?", "")  # encoded as the base is
+    below = F.when(F.startswith(path, F.lit(base + "/")), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
+    return raw.filter(~below.rlike(SKIPPED))
 
 
 def file_rows(raw: DataFrame, root: str) -> DataFrame:
@@ -53,7 +56,7 @@ def scan_files(spark: SparkSession, root: str, exts: tuple[str, ...] = fixed.SOU
     Files without bytes are not listed by Spark's file sources.
     """
     raw = spark.read.format("binaryFile").options(**_options(exts)).load(root)
-    return file_rows(_listed(raw), root)
+    return file_rows(_listed(raw, root), root)
 
 
 def stream_files(spark: SparkSession, root: str, exts: tuple[str, ...] = fixed.SOURCE_EXTENSIONS, per_trigger: int = 10_000) -> DataFrame:
