@@ -57,6 +57,22 @@ def test_suffix_arrays_against_brute_force():
             assert D.search_texts([t], suffixes)[0]["longest"] == brute_matches([t], items, window)[0][3]
 
 
+def test_every_text_of_a_shard_gets_its_longest_match():
+    rng = random.Random(12)
+    for _ in range(10):
+        items = [(str(i), " ".join(rng.choice("abcd") for _ in range(rng.randint(4, 15)))) for i in range(4)]
+        shared = [f"x {t} y" for _, t in items]
+        texts = [rng.choice(shared) for _ in range(8)] + [" ".join(rng.choice("abcdz") for _ in range(40)) for _ in range(4)] + [None]
+        for size in (30, 1 << 20):
+            got = D.search_texts(texts, D.Suffixes.of(items, 3), size)
+            for t, g, (_, _, _, longest) in zip(texts, got, brute_matches(texts, items, 3)):
+                assert g["longest"] == longest
+                assert (g["longest_at"] is None) == (g["longest_item"] is None) == (longest == 0)
+                if longest:
+                    part = words(t)[g["longest_at"]:g["longest_at"] + longest]
+                    assert " ".join(part) in dict(items)[g["longest_item"]] and len(part) == longest
+
+
 def test_blocks_of_items_add_up(spark, edge_docs, no_docs):
     base = [r["text"] for r in edge_docs.filter("doc_id >= 100").limit(6).collect()]
     items = [(i, t) for i, t in enumerate(base)] + [(7, None), (8, ""), (9, base[0]), (None, base[1])]

@@ -5,8 +5,8 @@ shards of bounded size and builds a suffix array of each by prefix doubling.
 Every suffix of every benchmark item is then binary-searched in it: all suffixes
 at once, word by word comparison of the probed places. The places where a whole
 window matches form one interval of the array, which gives their documents and
-positions; the neighbours of a suffix in the array give its longest verbatim
-match.
+positions; the match at each place of it is followed to its end, which gives each
+document its longest verbatim match.
 
 Only places that can match need sorting: a window lies inside a run of words that
 the benchmark has, so places in runs shorter than the shortest window are left
@@ -146,7 +146,7 @@ def search_shard(words: np.ndarray, s: Suffixes) -> tuple[np.ndarray, np.ndarray
     """Search a shard (word numbers, -1 between texts and last).
 
     Gives the words hit, pairs of (place, item) for the windows found, and the
-    longest matches as (suffix, place, words).
+    matches that cannot be longer, at every place, as (suffix, place, words).
     """
     hit, none = np.zeros(len(words), bool), np.zeros(0, np.int64)
     shortest = int(s.windows[s.windows > 0].min()) if len(s.windows) else 0
@@ -155,13 +155,12 @@ def search_shard(words: np.ndarray, s: Suffixes) -> tuple[np.ndarray, np.ndarray
         return hit, none, none, (none, none, none)
     order = suffix_array(words, places, int(s.lengths.max()))
     at = _search(words, order, s.words, s.starts, s.lengths, after=False)
-    best, where = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    best = np.zeros(len(at), np.int64)
     for side in (at - 1, at):
         ok = np.flatnonzero((side >= 0) & (side < len(order)))
         p = order[side[ok]]
         n = _common(words, p, s.words, s.starts[ok], s.lengths[ok])
-        more = n > best[ok]
-        best[ok[more]], where[ok[more]] = n[more], p[more]
+        best[ok] = np.maximum(best[ok], n)
     found = np.flatnonzero((s.windows > 0) & (best >= s.windows))
     if not len(found):
         return hit, none, none, (none, none, none)
@@ -174,14 +173,18 @@ def search_shard(words: np.ndarray, s: Suffixes) -> tuple[np.ndarray, np.ndarray
     pairs = []
     for k in range(len(found)):
         p = order[low[k]:high[k]]
-        pairs.append(np.stack([p, np.full(len(p), s.item[found[k]])]))
+        pairs.append(np.stack([p, np.full(len(p), found[k])]))
     for k in one:
         p = order[low[k]:high[k]]
         np.add.at(edge, p, 1)
         np.add.at(edge, p + size[k], -1)
     hit = np.cumsum(edge[:-1]) > 0
-    pairs = np.concatenate(pairs, axis=1)
-    return hit, pairs[0], pairs[1], (found, where[found], best[found])
+    place, suffix = np.concatenate(pairs, axis=1)
+    # a match that goes on to the left is a part of the longer one that begins there
+    q = s.starts[suffix]
+    begins = np.flatnonzero((place == 0) | (q == 0) | (words[place - 1] != s.words[q - 1]))
+    length = _common(words, place[begins], s.words, q[begins], s.lengths[suffix[begins]])
+    return hit, place, s.item[suffix], (suffix[begins], place[begins], length)
 
 
 def _shards(docs: list[np.ndarray], overlap: int, size: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
@@ -230,8 +233,11 @@ def search_texts(texts: list[str | None], s: Suffixes, size: int = SHARD_WORDS)
             out[d]["hits"].append((int(a - starts[k] + at), int(b - starts[k] + at)))
         for k, i in np.unique(np.stack([np.searchsorted(starts, place, side="right") - 1, item]), axis=1).T:
             out[shard[k][0]]["items"].add(s.names[i])
-        # a suffix has its longest match once per shard; each document keeps its best
-        for j, p, n, k in zip(suffix, where, length, np.searchsorted(starts, where, side="right") - 1):
+        # each part keeps the longest of all its matches, of equal ones the first
+        part = np.searchsorted(starts, where, side="right") - 1
+        by = np.lexsort((suffix, where, -length, part))
+        by = by[np.unique(part[by], return_index=True)[1]]
+        for j, p, n, k in zip(suffix[by], where[by], length[by], part[by]):
             d, at, _ = shard[k]
             if n > out[d]["longest"]:
                 out[d] |= {"longest": int(n), "longest_at": int(p - starts[k] + at), "longest_item": s.names[s.item[j]]}
