@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import stage
 
@@ -69,6 +72,37 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str], index: str
     )
 
 
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the task and the row's number among its tree's rows in the task; trees come one after another."""
+    part, at, last = TaskContext.get().partitionId(), 0, None
+    for b in batches:
+        numbers = []
+        for tree in b.column(b.schema.get_field_index("_tree")).to_pylist():
+            at, last = (at + 1 if tree == last else 0), tree
+            numbers.append(at)
+        fields = [*b.schema.names, "_part", "_at"]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(numbers), pa.int32()), pa.array(numbers, pa.int64())], names=fields)
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``pos`` (from 0, in ``order`` within each ``_tree``) and ``size`` (rows of the tree).
+
+    Rows are dealt by ranges of the order and numbered along each range; one row
+    per range and tree carries the numbers on.
+    """
+    rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "unnumbered")  # equal rows still part
+    by = ["_tree", *order, "_row"]
+    schema = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])
+    along = stage(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_number, schema), "ordered")
+    tree = Window.partitionBy("_tree")  # one row per range and tree
+    starts = along.groupBy("_tree", "_part").agg(F.count("*").alias("n")).select(
+        "_tree", "_part", F.sum("n").over(tree).alias("size"),
+        F.coalesce(F.sum("n").over(tree.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )
+    placed = along.join(stage(starts, "starts"), ["_tree", "_part"])
+    return placed.withColumn("pos", F.col("_at") + F.col("before")).drop("_part", "_at", "_row", "before")
+
+
 def pieces(data: bytes, separators: bytes = b" \t\n\r\x0b\x0c", size: int = PIECE_BYTES) -> Iterator[bytes]:
     """Consecutive pieces of about ``size`` bytes that end at a separator, so that no word is cut."""
     at, end = 0, len(data)
