@@ -44,8 +44,8 @@ BUCKETS = 10_000
 SEED = 7
 LEAST_WORDS = 20
 PERCENT = 25  # of the documents of LEAST_WORDS words and more
-LINES = 1 << 16  # different lines a task holds before it hands them on
-LINE_BYTES = 32 << 20
+LINES = 1 << 14  # different lines a task holds before it hands them on
+LINE_BYTES = 4 << 20
 WORDS = 1 << 17  # of lines whose features are counted at once
 
 KEEP_LINES = WORD_BYTES[:10] + b"\n" + WORD_BYTES[11:]
