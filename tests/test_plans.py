@@ -36,7 +36,7 @@ def usage(spark, tmp_path):
 
 def test_samples_are_shuffled_once(usage):
     plan = final(M.track_sessions(usage))
-    wide = re.findall(r"[+:]- Exchange hashpartitioning\(session_id#\d+L, chunk#\d+L", plan)
+    wide = re.findall(r"[+:]- Exchange hashpartitioning\(session_id#\d+L, _no_session_id#\d+, chunk#\d+L", plan)
     scans = re.findall(r"FileScan parquet", plan)
     assert plan.count("ReusedExchange") >= 1
     assert len(scans) == 1

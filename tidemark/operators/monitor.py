@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import usage as U
-from tidemark.operators.running import Sequence, placed, slot, with_running
+from tidemark.operators.running import Sequence, named, placed, slot, unplaced, with_running
 
 SESSION = Sequence(keys=("session_id",), order=("t_us", "event_id"))
 SLOT_US = 600_000_000
@@ -35,10 +35,21 @@ def reset_reason(prev: str, cur: str = "", idle_seconds: int = fixed.IDLE_SECOND
         when {p} > 0 and {c} > 0 and {c} < {p} * {drop} then 'drop' end""")
 
 
-def track_sessions(usage: DataFrame, idle_seconds: int = fixed.IDLE_SECONDS, slot_us: int = SLOT_US) -> DataFrame:
+def session_state(tracked: DataFrame, *keys: str) -> DataFrame:
+    """What later samples need of a session: its last sample, its epoch and the highest tier in it (``top``)."""
+    end = F.struct("event_id", *SAMPLE, "epoch", F.greatest("last_bucket", "tier").alias("top"))
+    last = F.max_by(end, F.struct("t_us", "event_id"))
+    return tracked.groupBy(*keys).agg(last.alias("_end")).select(*keys, "_end.*")
+
+
+def track_sessions(
+    usage: DataFrame, idle_seconds: int = fixed.IDLE_SECONDS, slot_us: int = SLOT_US, carried: DataFrame | None = None
+) -> DataFrame:
     """The whole state machine, one output row per sample that has a time.
 
-    Samples without a session are one session of their own.
+    Samples without a session are one session of their own. ``carried`` is the
+    ``session_state`` that the samples follow: one more row per session before
+    its slots.
 
     Adds previous sample, reset reason, epoch, last step and last bucket before
     the sample, ``notice``, ``pending`` (thresholds passed since the last one
@@ -62,6 +73,13 @@ def track_sessions(usage: DataFrame, idle_seconds: int = fixed.IDLE_SECONDS, slo
         F.max_by(F.struct(*SAMPLE), seq.position()).alias("last"),
         F.max(F.struct("_local", "tier")).alias("end"),
     )
+    if carried is not None:
+        sample = F.struct(*SAMPLE)
+        start = named(carried, *seq.keys).select(
+            *seq.parts, F.lit(-(1 << 63)).alias("chunk"), sample.alias("first"), sample.alias("last"),
+            F.struct(F.col("epoch").alias("_local"), F.col("top").alias("tier")).alias("end"),
+        )
+        ends = ends.unionByName(start)
     chunks = seq.chunks()
     ends = ends.withColumn("prev", F.lag("last").over(chunks))
     ends = ends.withColumn("_at_first", reset_reason("prev.", "first.", idle_seconds).isNotNull().cast("bigint"))
@@ -96,12 +114,12 @@ def track_sessions(usage: DataFrame, idle_seconds: int = fixed.IDLE_SECONDS, slo
         "last_step": F.expr("case when reset_reason is null then coalesce(_prev_step, 0) else 0 end"),
         "notice": F.expr("step > case when reset_reason is null then coalesce(_prev_step, 0) else 0 end"),
         "pending": F.expr(f"filter(array({tiers}), b -> b > last_bucket and b <= tier)"),
-    }).drop("_here", "_change", "_local", "_top", "_before", "_tier_before", "_epoch_before", "_prev", "_prev_step", "chunk")
+    }).drop("_here", "_change", "_local", "_top", "_before", "_tier_before", "_epoch_before", "_prev", "_prev_step", "chunk", *seq.flags)
 
 
 def untimed(usage: DataFrame) -> DataFrame:
     """Samples without a time: they have no place in any session and are left out of ``track_sessions``."""
-    return usage.filter(F.col("t_us").isNull())
+    return unplaced(usage, "t_us")
 
 
 def step_notices(tracked: DataFrame) -> DataFrame:

@@ -27,15 +27,24 @@ class Sequence:
     order: tuple[str, ...]
     chunk: str = "chunk"
 
+    @property
+    def flags(self) -> list[str]:
+        return [flag(k) for k in self.keys]
+
+    @property
+    def parts(self) -> list[str]:
+        """What tells keys apart: a key that is null has a flag, whatever stands in for it."""
+        return [*self.keys, *self.flags]
+
     @property
     def cut(self) -> list[str]:
-        return [*self.keys, self.chunk]
+        return [*self.parts, self.chunk]
 
     def rows(self, *also: str):
         return Window.partitionBy(*self.cut, *also).orderBy(*self.order)
 
     def chunks(self, *also: str):
-        return Window.partitionBy(*self.keys, *also).orderBy(self.chunk)
+        return Window.partitionBy(*self.parts, *also).orderBy(self.chunk)
 
     def position(self) -> Column:
         return F.struct(*self.order)
@@ -46,15 +55,21 @@ def slot(t_us: str, width_us: int) -> Column:
     return F.expr(f"{t_us} div {width_us}")
 
 
+def flag(key: str) -> str:
+    """The column that is true where the key is null."""
+    return f"_no_{key}"
+
+
 def named(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows without a key share one default key: a name for text, -1 for numbers."""
+    """Rows without a key share one: a name for text, -1 for numbers, and a flag that keeps it apart from a real one."""
     kinds = {c: df.schema[c].dataType for c in keys}
     fill = {c: F.lit(fixed.NO_KEY) if isinstance(k, T.StringType) else F.lit(-1).cast(k) for c, k in kinds.items()}
-    return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
+    marked = df.withColumns({flag(c): F.col(c).isNull() for c in keys})
+    return marked.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
 
 
 def placed(df: DataFrame, seq: Sequence) -> DataFrame:
-    """Rows with a place in their key's order; the others are the caller's ``unplaced`` rows.
+    """Rows with a place in their key's order; the others are what ``unplaced`` gives.
 
     Said once here, the condition is the same wherever the rows are read, which
     lets one shuffle serve the rows and their chunk summary.
@@ -62,6 +77,14 @@ def placed(df: DataFrame, seq: Sequence) -> DataFrame:
     return named(df, *seq.keys).filter(F.col(seq.chunk).isNotNull())
 
 
+def unplaced(df: DataFrame, *order: str) -> DataFrame:
+    """Rows that lack a part of their order: they have no place and are left out of running values."""
+    lacking = F.lit(False)
+    for c in order:
+        lacking = lacking | F.col(c).isNull()
+    return df.filter(lacking)
+
+
 def with_previous(df: DataFrame, seq: Sequence, columns: list[str], name: str = "prev") -> DataFrame:
     """Add struct ``name``: ``columns`` of the previous row of the key, null on its first row.
 
@@ -76,7 +99,7 @@ def with_previous(df: DataFrame, seq: Sequence, columns: list[str], name: str =
         df.withColumn("_here", F.lag(value).over(seq.rows()))
         .join(before, seq.cut)
         .withColumn(name, F.coalesce("_here", "_before"))
-        .drop("_here", "_before")
+        .drop("_here", "_before", *seq.flags)
     )
 
 
@@ -107,5 +130,5 @@ def with_running(
     else:
         both = F.greatest("_here", "_before")
     return (
-        df.withColumn("_here", here).join(before, seq.cut).withColumn(name, both).drop("_here", "_before")
+        df.withColumn("_here", here).join(before, seq.cut).withColumn(name, both).drop("_here", "_before", *seq.flags)
     )

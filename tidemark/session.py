@@ -59,8 +59,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that costly columns are made once."""
+def stage(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that costly columns are made once.
+
+    ``spark`` is the session that reads it, where it is not the one that wrote it.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = (spark or df.sparkSession).read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables whose last reader has run; what was derived from them must be written already."""
+    for df in tables:
+        spark, path = df.sparkSession, df._staged
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark import fixed
 from tidemark.functions import usage as U
 from tidemark.operators import monitor as M
-from tidemark.operators.running import named
+from tidemark.operators.running import flag, named
 from tidemark.sources import snapshot as N
 from tidemark.sources import status as T
 
@@ -91,11 +91,11 @@ def monitor_stream(usage: DataFrame, idle_seconds: int = fixed.IDLE_SECONDS, lat
         yield out
 
     samples = named(usage.filter("prompt_tokens != 0 and t_us is not null"), name).select(
-        name, "event_id", "t_us", "prompt_tokens", "max_context", F.timestamp_micros("t_us").alias("ts")
+        name, flag(name), "event_id", "t_us", "prompt_tokens", "max_context", F.timestamp_micros("t_us").alias("ts")
     )
     return (
         samples.withWatermark("ts", f"{late_seconds} seconds")
-        .groupBy(name)
+        .groupBy(name, flag(name))
         .applyInPandasWithState(step, f"{name} {kind}, {OUTPUT}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 

@@ -4,68 +4,83 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import fixed
 from tidemark.functions import blocks as B
 from tidemark.functions import redact as R
 from tidemark.operators import rehydrate as H
 from tidemark.operators import usage as S
 from tidemark.plans.distill_run import distill
-from tidemark.session import scratch_path, stage
+from tidemark.session import scratch_path
 from tidemark.sources import snapshot as N
 from tidemark.sources import status as T
 from tidemark.streaming import monitor as M
+from tidemark.streaming import sessions as W
 from tidemark.streaming.distill import increment_sink, latest_members, latest_skeletons, latest_source_map
 from workloads import fixtures as X
 from workloads import sqlparts as P
 from workloads import usage as U
 
-SLICE_ROWS = 5_000_000
-LEAST_SLICES = 3
+SLICE_US = 2_500_000_000  # what arrives between two triggers
+DELAYED = 7  # every so many samples come one slice late
+SAMPLE = "session_id BIGINT, event_id BIGINT, t_us BIGINT, prompt_tokens BIGINT, max_context BIGINT"
 
 
-def _stream_session(spark):
-    """A session of its own for the stream: one state partition per core is enough."""
+def _arrivals(spark, sf_dir, delayed):
+    """A folder with one file per slice of time, in the order of their modification times."""
+    samples = S.with_limit(S.normalize_usage(X.usage_payloads(spark, sf_dir)))
+    late = F.when(F.col("event_id") % DELAYED == 0, 1).otherwise(0) if delayed else F.lit(0)
+    rows = samples.select(*[c.split()[0] for c in SAMPLE.split(", ")], (F.expr(f"t_us div {SLICE_US}") + late).alias("slice"))
+    landing = scratch_path(spark, "landing")
+    rows.repartition("slice").write.partitionBy("slice").parquet(landing)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(landing).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(path(f"{landing}/slice=*")):  # one per slice
+        at = int(folder.getPath().getName().split("=")[1])
+        for f in fs.globStatus(path(f"{folder.getPath().toString()}/*.parquet")):
+            fs.setTimes(f.getPath(), (X.EPOCH_US + at * 3_600_000_000) // 1000, -1)
+    return landing
+
+
+def _run(spark, sf_dir, *sinks, delayed=False):
+    """One stream over the slices, a micro-batch each."""
+    tables = W.SessionTables(spark, scratch_path(spark, "sessions"))
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    cores, usual = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own.conf.set("spark.sql.shuffle.partitions", min(cores, usual))
-    return own
+    stream = (
+        own.readStream.schema(SAMPLE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
+        .parquet(_arrivals(spark, sf_dir, delayed))
+    )
+    q = (
+        stream.writeStream.foreachBatch(W.session_sink(tables, *sinks))
+        .option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return tables
 
 
-def _run(spark, sf_dir, write):
-    """Deliver the samples in time slices; each slice is one run of the stream from its checkpoint.
+def stream_monitor(spark, sf_dir):
+    """Samples of which some come late, merged: the result of the batch form."""
+    tables = _run(spark, sf_dir, delayed=True)
+    tables.merge_late()
+    return tables.result().select("session_id", "event_id", "ratio", "step", "last_step", "last_bucket", "fired_bucket", "notice")
 
-    ``write(stream)`` gives the writer of the monitored stream. Slices are cut at
-    quantiles of the time, so every sample is in one; their number grows with the
-    table, so that a micro-batch stays bounded.
-    """
-    n_rows = X.table(spark, sf_dir, "events").count()
-    slices = max(LEAST_SLICES, -(-n_rows // SLICE_ROWS))
-    landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "progress")
-    samples = S.with_limit(S.normalize_usage(X.usage_payloads(spark, sf_dir)))
-    staged = stage(samples.select("session_id", "event_id", "t_us", "prompt_tokens", "max_context"), "samples")
-    cuts = sorted(set(staged.approxQuantile("t_us", [i / slices for i in range(1, slices)], 0.01)))
-    number = F.lit(0)
-    for cut in cuts:
-        number = number + F.when(F.col("t_us") > cut, 1).otherwise(0)
-    schema = "session_id BIGINT, event_id BIGINT, t_us BIGINT, prompt_tokens BIGINT, max_context BIGINT"
-    own = _stream_session(spark)
-    for i in range(len(cuts) + 1):
-        staged.filter(number == i).write.mode("append").parquet(landing)
-        stream = M.monitor_stream(own.readStream.schema(schema).parquet(landing))
-        q = write(stream).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        q.awaitTermination()
 
+def late_samples(spark, sf_dir):
+    """Samples that could not be appended, with the batch they came in."""
+    late = _run(spark, sf_dir, delayed=True).arrived("late")
+    return late.select("session_id", "event_id", "t_us", "prompt_tokens", "batch_id")
 
-def stream_monitor(spark, sf_dir):
-    out = scratch_path(spark, "monitored")
-    _run(spark, sf_dir, lambda s: s.writeStream.format("parquet").option("path", out))
-    got = spark.read.parquet(out)
-    return got.select("session_id", "event_id", "ratio", "step", "last_step", "last_bucket", "fired_bucket", "notice")
+
+def expired_sessions(spark, sf_dir):
+    """The end of each quiet spell, with the last state before it."""
+    tables = _run(spark, sf_dir, delayed=True)
+    tables.merge_late()
+    return tables.result("expired").select("session_id", "t_us", "prompt_tokens", "expired_us")
 
 
 def stream_status(spark, sf_dir):
     root = scratch_path(spark, "status")
-    _run(spark, sf_dir, lambda s: s.writeStream.foreachBatch(M.status_sink(root)))
+    _run(spark, sf_dir, M.status_sink(root))
     return T.read_status(spark, root)
 
 
@@ -75,7 +90,7 @@ def stream_distill(spark, sf_dir):
     def run():
         return distill(X.source_files(spark, sf_dir), B.PAGE_KINDS, literal=R.LITERAL)
 
-    _run(spark, sf_dir, lambda s: s.writeStream.foreachBatch(M.distill_on_trigger(run, root)))
+    _run(spark, sf_dir, M.distill_on_trigger(run, root))
     found = N.read_snapshot(spark, root)
     return found.members.select("path")
 
@@ -92,7 +107,7 @@ def stream_increments(spark, sf_dir):
     return cut.join(held, "path").select("path", "symbol", "snapshot_id", F.md5("block").alias("digest"), "n_texts")
 
 
-QUERIES = [stream_monitor, stream_status, stream_distill, stream_increments]
+QUERIES = [late_samples, expired_sessions, stream_monitor, stream_status, stream_distill, stream_increments]
 
 SQL = {
     "stream_monitor": f"""with {U._STATE}
@@ -101,6 +116,21 @@ select session_id, event_id, ratio, step, last_step, last_bucket, fired_bucket,
     "stream_distill": """select 'src/page_' || page_id || '.' || ['py','js','ts','tsx'][page_id % 5 + 1] as path
 from pages where page_id % 5 < 4""",
 }
+_ARRIVED = f"""{U._STATE},
+arr as (select *, t_us // {SLICE_US} + case when event_id % {DELAYED} = 0 then 1 else 0 end as slice from smpl),
+pos as (select *, cast(t_us as hugeint) * 1000000000000 + event_id as place from arr),
+num as (select slice, dense_rank() over (order by slice) - 1 as batch_id from (
+          select distinct (epoch_us(ts) - 1704067200000000) // 288 // {SLICE_US} + case when event_id % {DELAYED} = 0 then 1 else 0 end as slice from events)),
+had as (select pos.*, max(place) over (partition by session_id order by slice range between unbounded preceding and 1 preceding) as last_place,
+               max(t_us) over (partition by session_id order by slice range between unbounded preceding and 1 preceding) as last_t,
+               max(t_us) over (order by slice range between unbounded preceding and 1 preceding) as newest from pos)"""
+_QUIET = (fixed.IDLE_SECONDS + W.LATE_SECONDS) * 1_000_000
+SQL["late_samples"] = f"""with {_ARRIVED}
+select session_id, event_id, t_us, prompt_tokens, batch_id from had join num using (slice)
+where case when last_t + {_QUIET} >= newest then place <= last_place else t_us < newest - {W.LATE_SECONDS * 1_000_000} end"""
+SQL["expired_sessions"] = f"""with {U._STATE},
+nxt as (select *, lead(t_us) over (partition by session_id order by t_us, event_id) as next_t, max(t_us) over () as newest from smpl)
+select session_id, t_us, prompt_tokens, t_us + {_QUIET} as expired_us from nxt where coalesce(next_t, newest) - t_us > {_QUIET}"""
 SQL["stream_increments"] = f"""with {P.FILES},
 f as (select page_id, path, regexp_extract_all(text, '{P.PAGE_BLOCKS}') as blocks from files where ext <> 'md')
 select path, lower(regexp_extract(blocks[u.i], '^<([A-Za-z]+)', 1)) || '_' || (u.i - 1) as symbol,
