@@ -110,3 +110,36 @@ def test_strings_of_all_forms(spark):
     df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, t string")
     got = {r.i: r.t for r in df.select("i", R.redact(F.col("t"), pattern=R.CODE_LITERAL).alias("t")).collect()}
     assert [got[i] for i in range(len(rows))] == [b for _, b in rows]
+
+
+GONE = '"[REDACTED]"'
+
+
+@pytest.mark.parametrize("ext, text, want", [
+    ("py", "# it's the password = 'hunter2'\nx = 1\n", f"# it's the password = {GONE}\nx = 1\n"),
+    ("py", "x = 1  # use `a\ny = 2  # and `b\n", None),
+    ("py", "password = (  # it's\n    'v')\nname = 'it'  # isn't\n", None),
+    ("py", "password = \\\n  # it's\n  # here\n  'v'\n", None),
+    ("py", "password = # it's\n  'v'\n", f"password = # it's\n  {GONE}\n"),
+    ("py", "s = \"\"\"# no comment's\"\"\"; token = 'v'\n", f"s = \"\"\"# no comment's\"\"\"; token = {GONE}\n"),
+    ("js", "// use ` here\nfunction token() { return 1 }\n// and ` there\n", None),
+    ("js", "/* don't */ const password = /* it's */ // \"\n 'v';\n", f"/* don't */ const password = /* it's */ // \"\n {GONE};\n"),
+    ("js", "const u = \"http://x/?q='\"; token = `a\n'b'`;\n", f"const u = \"http://x/?q='\"; token = {GONE};\n"),
+    ("ts", "if (/['\"`]/.test(x)) { secret = 'v' } // it's\n", f"if (/['\"`]/.test(x)) {{ secret = {GONE} }} // it's\n"),
+    ("tsx", "return /token='x'/.test(a / b / 'c')\n", None),
+    ("js", "/* api_key: \"k\" it's */ a = 'b'\n", f"/* api_key: {GONE} it's */ a = 'b'\n"),
+    ("md", "it's the password = 'hunter2', isn't it\n", f"it's the password = {GONE}, isn't it\n"),
+    ("md", 'say "my token" and it\'s gone', f"say {GONE} and it's gone"),
+    ("md", None, None),
+    ("py", "", None),
+])
+def test_comments_and_literals_by_language(spark, ext, text, want):
+    df = spark.createDataFrame([(ext, text)], "ext string, text string")
+    got = df.select(R.redact_code(F.col("text"), F.col("ext")).alias("t")).first().t
+    assert got == (text if want is None else want)
+
+
+def test_long_code_is_redacted_in_linear_time(spark):
+    parts = ["x = 'abc'  # it's\n" * 60_000, "/* a * b **" + " x" * 400_000 + "*/ let s = 'x'\n" + "let a = /x/; b = 'q'\n" * 30_000]
+    df = spark.createDataFrame(list(zip(["py", "js"], parts)), "ext string, text string")
+    assert [r.t for r in df.select(R.redact_code(F.col("text"), F.col("ext")).alias("t")).collect()] == parts

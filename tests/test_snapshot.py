@@ -9,6 +9,7 @@ from tidemark.plans.distill_run import distill
 from tidemark.sources import report as W
 from tidemark.sources import snapshot as N
 from tidemark.sources.files import scan_files
+from tidemark.streaming import distill as D
 from tidemark.streaming.distill import distill_new_files, latest_members
 
 BIG = "x = 'not small'\n" * 100
@@ -73,7 +74,7 @@ def test_run_write_read_prune(spark, tree, tmp_path):
     N.write_snapshot(kept, root, "two", commit_sha="c1", ts="2024-01-02 00:00:00")
     assert N.read_snapshot(spark, root).snapshot_id == "two"
     assert N.read_snapshot(spark, root, "one").skeletons.count() == 2
-    kept.skeletons.write.parquet(f"{root}/skeletons/snapshot_id=three")
+    kept.skeletons.write.parquet(f"{root}/skeletons/snapshot_id=three/attempt=x")
     assert N.read_snapshot(spark, root).snapshot_id == "two"
 
     gate = N.restore_size(snap.skeletons).first()
@@ -151,3 +152,64 @@ def test_new_files_become_increments(spark, tree, tmp_path):
     second = {r.path: r.snapshot_id for r in latest_members(spark, root).collect()}
     assert set(second) == set(first) | {"new.py"}
     assert second["new.py"] > first["a.py"] == second["a.py"]
+
+
+def test_a_snapshot_is_swapped_in_one_step(spark, tree, tmp_path):
+    root, files = str(tmp_path / "snap"), scan_files(spark, str(tree))
+    N.write_snapshot(distill(files.filter("ext = 'py'")), root, "one", ts="2024-01-01")
+    old = N.read_snapshot(spark, root, "one")
+    N.write_snapshot(distill(files.filter("ext = 'js'")), root, "one", ts="2024-01-01")
+    assert {r.path for r in old.members.collect()} == {"a.py", "lib/big.py"}  # a reader that began before
+    assert {r.path for r in N.read_snapshot(spark, root, "one").members.collect()} == {"lib/b.js"}
+    assert N.read_meta(spark, root).count() == 1
+    # an attempt that died before its meta row is not seen, and goes with the superseded one
+    old.members.write.parquet(f"{root}/members/snapshot_id=one/attempt=dead")
+    assert N.drop_attempts(spark, root) == 4
+    assert {r.path for r in N.read_snapshot(spark, root).members.collect()} == {"lib/b.js"}
+
+
+def test_oversize_files_are_marked_in_the_snapshot(spark, tree):
+    got = {r.path: (r.units, r.oversize) for r in distill(scan_files(spark, str(tree)), limit=50).members.collect()}
+    assert got["a.py"] == (8, False)
+    assert got["lib/big.py"][1] and got["lib/big.py"][0] > 50
+
+
+def test_increments_compact_with_tombstones(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    at = {
+        0: {"a.py": "def f():\n    return 1\n", "b.py": "b = 1\n", "c.py": BIG},
+        2: {"a.py": "def f():\n    return 2\n", "b.py": "b = 1\n", "d.py": "d = 1\n"},
+        4: {"a.py": "def f():\n    return 2\n", "b.py": "b = 1\n", "d.py": "d = 1\n"},
+    }
+    listed = []
+
+    def listing(batch):
+        listed.append(batch)
+        return spark.createDataFrame([(p, "py", t, len(t)) for p, t in at[batch].items()], "path string, ext string, text string, n_bytes long")
+
+    runs = D.DeltaRuns(spark, root, listing)
+    idle = spark.createDataFrame([(1, None)], "session_id long, fired_bucket int")
+    fired = spark.createDataFrame([(1, 30), (1, None)], "session_id long, fired_bucket int")
+    for batch, rows in enumerate([fired, idle, fired, idle, fired]):
+        runs.sink(rows, batch)
+        runs.sink(rows, batch)  # a repeated batch does no work
+    assert listed == [0, 2, 4]
+    assert sorted(map(tuple, runs.runs().collect()), key=lambda r: r[3]) == [(1, 3, 0, 0), (0, 0, 0, 1), (1, 2, 1, 2), (0, 0, 0, 3), (1, 0, 0, 4)]
+    got = sorted((r.batch_id, r.path, r.gone) for r in runs.distilled().collect())
+    assert got == [(0, "a.py", False), (0, "b.py", False), (0, "c.py", False), (2, "a.py", False), (2, "c.py", True), (2, "d.py", False)]
+    assert sorted(r.snapshot_id for r in N.read_meta(spark, root).collect()) == ["part-000000000000", "part-000000000002"]
+
+    def state():
+        members = sorted((r.path, r.key) for r in latest_members(spark, root).collect())
+        return members, sorted((r.path, r.symbol, r.file_size) for r in D.latest_source_map(spark, root).collect()), sorted(
+            r.text for r in D.latest_skeletons(spark, root).collect()
+        )
+
+    before = state()
+    assert [p for p, _ in before[0]] == ["a.py", "b.py", "d.py"]
+    name = D.compact(spark, root)
+    assert state() == before
+    assert [r.snapshot_id for r in N.read_meta(spark, root).collect()] == [name]
+    assert D.compact(spark, root) == name
+    whole = N.read_snapshot(spark, root)
+    assert sorted(r.path for r in whole.members.collect()) == ["a.py", "b.py", "d.py"]

@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import snapshot as N
 from tidemark.sources import status as T
 from tidemark.streaming import monitor as M
 
@@ -42,7 +41,7 @@ def test_late_and_expired(spark, tmp_path):
     assert dropped == 1
 
 
-def test_status_and_trigger_sinks_can_repeat_a_batch(spark, tmp_path):
+def test_status_sink_can_repeat_a_batch(spark, tmp_path):
     root = str(tmp_path / "status")
     df = spark.createDataFrame(
         [("a", 1, 1, 300, 1000), ("b", 2, 2, 100, 1000)], SCHEMA
@@ -59,16 +58,6 @@ def test_status_and_trigger_sinks_can_repeat_a_batch(spark, tmp_path):
     asked = spark.createDataFrame([("a",), ("x",)], "session_id string")
     assert {r.session_id: r.status for r in T.status_of(asked, T.read_status(spark, root, kind="STRING")).collect()}["x"] == "[GCS: --]"
 
-    runs = []
-    empty = N.Snapshot(*[spark.createDataFrame([], s) for s in N.SCHEMAS.values()])
-    trigger = M.distill_on_trigger(lambda: runs.append(1) or empty, str(tmp_path / "snap"))
-    trigger(later, 1)
-    assert not runs
-    trigger(df, 2)
-    trigger(df, 2)
-    assert len(runs) == 2
-    assert [r.snapshot_id for r in N.read_meta(spark, str(tmp_path / "snap")).collect()] == ["batch-000000000002"]
-
 
 @pytest.mark.parametrize("fold_every", [1, 3, 100])
 def test_status_versions(spark, tmp_path, fold_every):

@@ -26,10 +26,20 @@ def _quoted(q: str, lines: bool) -> str:
     return rf"{q}{plain}*+(?:{odd}{plain}*+)*+{q}"
 
 
+_TRIPLE = [_quoted('"' * 3, True), _quoted("'" * 3, True)]
+_PLAIN = [_quoted('"', False), _quoted("'", False)]
+_TICK = _quoted("`", True)
+_PREFIX = r"""(?:(?<!\w)[bBfFrRuU]{1,2}(?=["']))?+"""
 # an optional prefix, then triple quotes before single ones
-CODE_LITERAL = r"""(?s)(?:(?<!\w)[bBfFrRuU]{1,2}(?=["']))?+(?:""" + "|".join(
-    [_quoted('"' * 3, True), _quoted("'" * 3, True), _quoted('"', False), _quoted("'", False), _quoted("`", True)]
-) + ")"
+CODE_LITERAL = rf"(?s){_PREFIX}(?:" + "|".join([*_TRIPLE, *_PLAIN, _TICK]) + ")"
+# comments are tokens too, so that a quote in one opens nothing; so are the regular expressions of the brace languages
+PY_TOKENS = rf"(?s)#[^\n]*+|{_PREFIX}(?:" + "|".join([*_TRIPLE, *_PLAIN]) + ")"
+_REGEX = r"(?<=[=(,:\[!&|?{};\n]|[=(,:\[!&|?{};] |return )/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/"
+BRACE_TOKENS = r"(?s)//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/|" + "|".join([_REGEX, *_PLAIN, _TICK])
+CODE_TOKENS = {"py": PY_TOKENS, "js": BRACE_TOKENS, "ts": BRACE_TOKENS, "tsx": BRACE_TOKENS}
+COMMENT = r"\A(?:#|//|/\*)"
+# a closed pair in a comment or in plain text: the name of a secret, the sign, a quoted value on the same line
+CLOSED_PAIR = rf"({fixed.SECRET_KEYWORDS}[\w.-]*[\"'`]?\s*[:=]\s*)(?:\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`)"
 # a name, an optional type, the sign
 ASSIGNED = fixed.SECRET_KEYWORDS + r"[\w.-]*\s*(?::[^=\n]*)?[:=]\s*\z"
 PAIR = r"\A\s*[:=]\s*\z"
@@ -56,6 +66,43 @@ def rewrite_literals(text: Column, judge: Callable[[Column, Column, Column], Col
     return let(text, lambda t: let(literals(t, pattern), lambda found: rewritten(t, found)))
 
 
+def rewrite_code(text: Column, judge: Callable[[Column, Column, Column], Column], pattern: str) -> Column:
+    """``rewrite_literals`` for tokens of code, comments among them.
+
+    A comment loses the values of closed pairs and else stays as it is. Comments
+    (up to three) between a literal and what it is assigned to are looked through.
+    """
+
+    def rewritten(t: Column, found: Column, gaps: Column) -> Column:
+        def at(tokens: Column, i: Column) -> Column:
+            return F.when(i >= 0, F.get(tokens, i))
+
+        def context(i: Column) -> tuple[Column, Column]:
+            """The text before token i back to the last literal, and that literal."""
+            gap, prev = at(gaps, i), at(found, i - 1)
+            for k in (1, 2, 3):
+                through = prev.rlike(COMMENT)
+                gap = F.when(through, F.concat(at(gaps, i - k), gap)).otherwise(gap)
+                prev = F.when(through, at(found, i - k - 1)).otherwise(prev)
+            return gap, prev
+
+        def piece(lit: Column, i: Column) -> Column:
+            gap, prev = context(i)
+            # a regular expression is code
+            new = F.when(lit.rlike(COMMENT), redact_pairs(lit)).when(~lit.startswith("/"), judge(lit, gap, prev))
+            return F.concat(F.get(gaps, i), F.coalesce(new, lit))
+
+        whole = F.concat(F.array_join(F.transform(found, piece), ""), F.element_at(gaps, -1))
+        return F.when(F.size(found) > 0, whole).otherwise(t)
+
+    return let(text, lambda t: let(literals(t, pattern), lambda found: let(F.split(t, pattern, -1), lambda gaps: rewritten(t, found, gaps))))
+
+
+def redact_pairs(text: Column) -> Column:
+    """Quoted values of secrets' names in text that is no code: comments, notes."""
+    return F.regexp_replace(text, CLOSED_PAIR, "$1" + fixed.REDACTED.replace("$", r"\$"))
+
+
 def is_secret(lit: Column) -> Column:
     return lit.rlike(fixed.SECRET_KEYWORDS) | lit.rlike(fixed.SECRET_HEADER)
 
@@ -124,9 +171,28 @@ def redact(
 ) -> Column:
     """All rules: keys first, then one pass over the literals."""
 
+    return rewrite_literals(redact_private_keys(text, whole_block), _all_rules(min_chars, limit), pattern)
+
+
+def _all_rules(min_chars: int, limit: float) -> Callable[[Column, Column, Column], Column]:
     def judge(lit: Column, gap: Column, prev: Column) -> Column:
         return F.when(is_secret(lit) | is_assigned(gap, prev), F.lit(fixed.REDACTED)).when(
             is_random(lit, min_chars, limit), F.lit(fixed.REDACTED_ENTROPY)
         )
 
-    return rewrite_literals(redact_private_keys(text, whole_block), judge, pattern)
+    return judge
+
+
+def redact_code(
+    text: Column, ext: Column, tokens: dict[str, str] = CODE_TOKENS, min_chars: int = fixed.ENTROPY_MIN_CHARS,
+    limit: float = fixed.ENTROPY_LIMIT, whole_block: bool = True,
+) -> Column:
+    """All rules by the language of a file; other files are text with double-quoted literals and closed pairs."""
+    judge, safe = _all_rules(min_chars, limit), redact_private_keys(text, whole_block)
+    groups: dict[str, list[str]] = {}
+    for e, pattern in tokens.items():
+        groups.setdefault(pattern, []).append(e)
+    out = F
+    for pattern, exts in groups.items():
+        out = out.when(ext.isin(*exts), rewrite_code(safe, judge, pattern))
+    return out.otherwise(redact_pairs(rewrite_literals(safe, judge)))

@@ -14,6 +14,11 @@ from tidemark.functions import blocks as B
 from tidemark.functions import redact as R
 
 Kinds = dict[str, B.BlockKind]
+Literal = str | dict[str, str]
+
+
+def redacted(text: Column, ext: Column, literal: Literal) -> Column:
+    return R.redact(text, pattern=literal) if isinstance(literal, str) else R.redact_code(text, ext, literal)
 
 
 def resolved(path: Column) -> Column:
@@ -78,10 +83,12 @@ def hot_symbols(lookups: DataFrame, keys: tuple[str, ...], threshold: int = fixe
     return lookup_counts(lookups, keys).filter(F.col("n_lookups") >= threshold)
 
 
-def block_replacements(blocks: DataFrame, counts: DataFrame, hot: int = fixed.HOT_LOOKUPS) -> DataFrame:
+def block_replacements(
+    blocks: DataFrame, counts: DataFrame, hot: int = fixed.HOT_LOOKUPS, literal: Literal = R.LITERAL
+) -> DataFrame:
     """What stands in for each block: first lines of a hot one, else the placeholder with its hint."""
     df = blocks.join(counts, ["path", "symbol"], "left").withColumn("n_lookups", F.coalesce("n_lookups", F.lit(0)))
-    kept = B.first_lines(R.redact(F.col("body")))
+    kept = B.first_lines(redacted(F.col("body"), F.col("ext"), literal))
     plain = F.concat(B.placeholder(F.col("ext")), B.hint(F.col("n_lookups"), hot))
     return df.withColumn("hot", F.col("n_lookups") >= hot).withColumn(
         "replacement", F.when(F.col("hot"), kept).otherwise(plain)
@@ -93,12 +100,13 @@ def skeletons(
     kinds: Kinds = B.CODE_KINDS,
     limit: int = fixed.UNIT_LIMIT,
     counts: DataFrame | None = None,
-    literal: str = R.CODE_LITERAL,
+    literal: Literal = R.CODE_TOKENS,
     hot: int = fixed.HOT_LOOKUPS,
 ) -> DataFrame:
     """Redact, then elide: (path, ext, n_bytes, skeleton, units, oversize).
 
-    Files of other extensions pass through redacted. ``counts`` are lookups per
+    ``literal`` is the tokens of each extension, or one pattern of literals for all
+    files. Files of other extensions pass through redacted. ``counts`` are lookups per
     (path, symbol); they reach a file as one small map of its own blocks.
     """
     df = with_units(files, kinds, limit)
@@ -110,7 +118,7 @@ def skeletons(
             .agg(F.map_from_entries(F.collect_list(F.struct("symbol", "n_lookups"))).alias("_counts"))
         )
         df = df.join(maps, "path", "left")
-    df = df.withColumn("_safe", R.redact(F.col("text"), pattern=literal))
+    df = df.withColumn("_safe", redacted(F.col("text"), F.col("ext"), literal))
     df = df.withColumn("_pieces", _pieces(kinds, F.col("_safe")))
 
     def replacement(p: Column) -> Column:

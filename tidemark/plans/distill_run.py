@@ -17,10 +17,10 @@ from tidemark.session import stage
 
 @dataclass
 class Distilled:
-    """``skeletons`` (key, text, n_bytes), ``members`` (path, key, pos, entry_bytes), ``source_map``, ``sizes``, ``rejects``.
+    """``skeletons`` (key, text, n_bytes), ``members`` (path, key, pos, entry_bytes, units, oversize), ``source_map``, ``sizes``, ``rejects``.
 
-    ``sizes`` names the oversize files, whose text is a summary; ``rejects`` are
-    files outside the root, if one was given.
+    Of an oversize file the text is a summary; ``rejects`` are files outside the
+    root, if one was given.
     """
 
     skeletons: DataFrame
@@ -35,7 +35,7 @@ def distill(
     kinds: D.Kinds = B.CODE_KINDS,
     limit: int = fixed.UNIT_LIMIT,
     counts: DataFrame | None = None,
-    literal: str = R.CODE_LITERAL,
+    literal: D.Literal = R.CODE_TOKENS,
     small_bytes: int = fixed.SMALL_BYTES,
     shard: str = "",
     root: str | None = None,
@@ -60,10 +60,12 @@ def distill(
     is_small = F.col("skeleton_bytes") < small_bytes
     small, large = sk.filter(is_small), sk.filter(~is_small)
 
-    entries = small.select(F.lit(shard).alias("shard"), "path", "entry_bytes")
+    entries = small.select(F.lit(shard).alias("shard"), "path", "entry_bytes", "units", "oversize")
     numbered = P.with_positions(entries, "path")
-    packed = P.pack_next_fit(numbered).join(numbered.select("shard", "ord", "path"), ["shard", "ord"])
-    packed = stage(packed.select("path", "shard", "bucket", "pos", "entry_bytes"), "packed")
+    packed = P.pack_next_fit(numbered.select("shard", "ord", "entry_bytes")).join(
+        numbered.select("shard", "ord", "path", "units", "oversize"), ["shard", "ord"]
+    )
+    packed = stage(packed.select("path", "shard", "bucket", "pos", "entry_bytes", "units", "oversize"), "packed")
     buckets = P.bucket_texts(packed.join(small.select("path", F.col("skeleton").alias("text")), "path"))
 
     key = P.bucket_key(F.col("shard"), F.col("bucket"))
@@ -72,9 +74,9 @@ def distill(
         B.aligned_size(F.col("skeleton_bytes")).alias("n_bytes"),
     ).unionByName(buckets.select(key.alias("key"), "text", "n_bytes"))
     members = large.select(
-        "path", F.col("path").alias("key"), F.lit(0).cast("bigint").alias("pos"), "entry_bytes"
+        "path", F.col("path").alias("key"), F.lit(0).cast("bigint").alias("pos"), "entry_bytes", "units", "oversize"
     ).unionByName(
-        packed.select("path", key.alias("key"), "pos", "entry_bytes")
+        packed.select("path", key.alias("key"), "pos", "entry_bytes", "units", "oversize")
     )
     sizes = sk.select("path", "n_bytes", "skeleton_bytes", "units", "oversize")
     return Distilled(skeletons, members, D.source_map(files, kinds, limit), sizes, rejects)

@@ -1,13 +1,16 @@
 """Versioned snapshots as Parquet tables.
 
-Each table of a snapshot is one folder ``<table>/snapshot_id=<id>``; the row in
-``meta`` is written last. Readers take ids from ``meta`` only, so a run that dies
-midway is never seen, and a repeated run with the same id overwrites its own
-folders.
+Each attempt to write a snapshot has folders of its own,
+``<table>/snapshot_id=<id>/attempt=<name>``, and a row in ``meta`` that is written
+last and makes it visible. The newest committed attempt of an id is the snapshot:
+writing an id again swaps it in one step, a run that dies midway is never seen,
+and a reader that began before goes on with the files it knows.
+``drop_attempts`` deletes what no row in ``meta`` names any more.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +21,11 @@ from tidemark import fixed
 
 SCHEMAS = {
     "skeletons": "key STRING, text STRING, n_bytes BIGINT",
-    "members": "path STRING, key STRING, pos BIGINT, entry_bytes BIGINT",
+    "members": "path STRING, key STRING, pos BIGINT, entry_bytes BIGINT, units BIGINT, oversize BOOLEAN",
     "source_map": "path STRING, pos INT, symbol STRING, type STRING, original_start BIGINT, original_end BIGINT, file_size BIGINT",
 }
-META = "snapshot_id STRING, version STRING, ts TIMESTAMP, commit_sha STRING, project_root STRING"
+PLACE = "snapshot_id STRING, attempt STRING"
+META = f"{PLACE}, version STRING, ts TIMESTAMP, commit_sha STRING, project_root STRING, committed BIGINT"
 
 
 @dataclass
@@ -33,29 +37,30 @@ class Snapshot:
     snapshot_id: str | None = None
 
 
-def _folder(root: str, table: str, snapshot_id: str) -> str:
-    return f"{root}/{table}/snapshot_id={snapshot_id}"
+def _folder(root: str, table: str, snapshot_id: str, attempt: str) -> str:
+    return f"{root}/{table}/snapshot_id={snapshot_id}/attempt={attempt}"
 
 
 def write_snapshot(
     snapshot, root: str, snapshot_id: str, version: str = "1", commit_sha: str = "none", project_root: str = "", ts=None
 ) -> None:
-    """Write the tables, then the meta row that makes them visible."""
+    """Write the tables of a new attempt, then the meta row that makes it the snapshot of its id."""
+    attempt = uuid.uuid4().hex
     for table, schema in SCHEMAS.items():
         df: DataFrame = getattr(snapshot, table)
         names = [f.split()[0] for f in schema.split(", ")]
-        df.select(*names).write.mode("overwrite").parquet(_folder(root, table, snapshot_id))
+        df.select(*names).write.parquet(_folder(root, table, snapshot_id, attempt))
     spark = snapshot.skeletons.sparkSession
+    last = _attempts(spark, root).filter(F.col("snapshot_id") == snapshot_id).agg(F.max("committed")).first()[0]
     at = F.current_timestamp() if ts is None else F.lit(ts).cast("timestamp")
     meta = spark.range(1).select(
         F.lit(version).alias("version"), at.alias("ts"), F.lit(commit_sha).alias("commit_sha"),
-        F.lit(project_root).alias("project_root"),
+        F.lit(project_root).alias("project_root"), F.lit(1 if last is None else last + 1).cast("bigint").alias("committed"),
     )
-    meta.coalesce(1).write.mode("overwrite").parquet(_folder(root, "meta", snapshot_id))
+    meta.coalesce(1).write.parquet(_folder(root, "meta", snapshot_id, attempt))
 
 
-def read_meta(spark: SparkSession, root: str) -> DataFrame:
-    """One row per committed snapshot."""
+def _attempts(spark: SparkSession, root: str) -> DataFrame:
     try:
         return spark.read.schema(META).parquet(f"{root}/meta")
     except AnalysisException as e:
@@ -64,15 +69,42 @@ def read_meta(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], META)
 
 
+def read_meta(spark: SparkSession, root: str) -> DataFrame:
+    """One row per committed snapshot: its newest attempt."""
+    rows = _attempts(spark, root)
+    newest = rows.groupBy("snapshot_id").agg(F.max_by(F.struct(*rows.columns), F.struct("committed", "attempt")).alias("m"))
+    return newest.select("m.*")
+
+
+def drop_attempts(spark: SparkSession, root: str, snapshots: list[str] | None = None) -> int:
+    """Delete the folders of attempts that are not a snapshot's newest; gives how many went.
+
+    Their rows in ``meta`` go first, so no reader begins on them. ``snapshots`` are
+    ids that go altogether. No writer may be at work.
+    """
+    keep = {(r["snapshot_id"], r["attempt"]) for r in read_meta(spark, root).select("snapshot_id", "attempt").collect()}  # one row per snapshot
+    keep = {k for k in keep if k[0] not in (snapshots or ())}
+    path, gone = spark._jvm.org.apache.hadoop.fs.Path, 0
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for table in ("meta", *SCHEMAS):
+        for entry in fs.globStatus(path(f"{root}/{table}/snapshot_id=*/attempt=*")) or []:
+            at = entry.getPath()
+            name = (at.getParent().getName().removeprefix("snapshot_id="), at.getName().removeprefix("attempt="))
+            if name not in keep:
+                fs.delete(at, True)
+                gone += table != "meta"
+    return gone
+
+
 def read_snapshot(spark: SparkSession, root: str, snapshot_id: str | None = None) -> Snapshot:
     """The named or the latest committed snapshot; empty tables when there is none."""
     meta = read_meta(spark, root)
     if snapshot_id is not None:
         meta = meta.filter(F.col("snapshot_id") == snapshot_id)
-    last = meta.agg(F.max_by(F.struct("snapshot_id", "commit_sha"), F.struct("ts", "snapshot_id")).alias("m")).first()["m"]
+    last = meta.agg(F.max_by(F.struct("snapshot_id", "attempt", "commit_sha"), F.struct("ts", "snapshot_id")).alias("m")).first()["m"]
     if last is None:
         return Snapshot(*[spark.createDataFrame([], s) for s in SCHEMAS.values()])
-    tables = [spark.read.schema(s).parquet(_folder(root, t, last["snapshot_id"])) for t, s in SCHEMAS.items()]
+    tables = [spark.read.schema(s).parquet(_folder(root, t, last["snapshot_id"], last["attempt"])) for t, s in SCHEMAS.items()]
     return Snapshot(*tables, commit_sha=last["commit_sha"], snapshot_id=last["snapshot_id"])
 
 

@@ -18,9 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark import fixed
 from tidemark.functions import usage as U
-from tidemark.operators import monitor as M
 from tidemark.operators.running import flag, named
-from tidemark.sources import snapshot as N
 from tidemark.sources import status as T
 
 OUTPUT = (
@@ -113,17 +111,3 @@ def status_sink(root: str):
         T.write_status(status_rows(batch), root, batch_id)
 
     return write
-
-
-def distill_on_trigger(run, root: str, **stamp):
-    """For ``foreachBatch``: when a batch has fired a threshold, write the snapshot ``run()`` makes.
-
-    The snapshot is named by the batch, so a repeated batch writes it again.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # a full count: a batch that is read in part would not save its state
-        if M.tier_triggers(batch).count() > 0:
-            N.write_snapshot(run(), root, f"batch-{batch_id:012d}", **stamp)
-
-    return write

@@ -39,7 +39,7 @@ def _schemas(kind: str) -> dict[str, str]:
     sample = f"{KEY} {kind}, event_id BIGINT, t_us BIGINT, prompt_tokens BIGINT, max_context BIGINT"
     derived = "ratio DOUBLE, step BIGINT, tier INT, last_step BIGINT, last_bucket INT, fired_bucket INT, notice BOOLEAN"
     return {
-        "samples": f"{sample}, unnamed BOOLEAN, {derived}",
+        "samples": f"{sample}, unnamed BOOLEAN, {derived}, prev_t_us BIGINT, prev_tokens BIGINT, epoch BIGINT",
         "late": sample,
         "untimed": sample,
         "expired": f"{KEY} {kind}, unnamed BOOLEAN, t_us BIGINT, prompt_tokens BIGINT, expired_us BIGINT",
@@ -137,7 +137,7 @@ class SessionTables:
         arrived = stage(batch.filter("prompt_tokens != 0").select(*RAW), "arrived", self.spark)
         untimed = arrived.filter("t_us is null")
         before, newest = last and last["batch_id"], last["max_t_us"] if last else None
-        state = stage(self._state(before), "state")
+        state = self._state(before)
         key = [KEY, flag(KEY)]
         known = named(state, KEY).select(*key, F.struct("t_us", "event_id").alias("_last"))
         timed = named(arrived.filter("t_us is not null"), KEY).join(known, key, "left")
@@ -146,16 +146,16 @@ class SessionTables:
         judged = timed.withColumn(KEY, F.when(~F.col(flag(KEY)), F.col(KEY))).withColumn("late", is_late).select(*RAW, "late")
         judged = stage(judged, "judged")
         late, on_time = judged.filter("late").drop("late"), judged.filter("not late").drop("late")
-        tracked = stage(self._track(on_time, state), "tracked")
+        samples = self._columns("samples")
+        L.write(self._track(on_time, state).select(*samples), self.root, "samples", batch_id)
+        tracked = L.read_all(self.spark, self.root, "samples", self.schemas["samples"]).filter(F.col("batch_id") == batch_id).select(*samples)
         counts = judged.agg(F.max("t_us"), F.count_if(~F.col("late")), F.count_if("late")).first()
         newest = max((t for t in (newest, counts[0]) if t is not None), default=None)
 
-        samples = tracked.select(*self._columns("samples"))
         fresh = self._ends(tracked)
         gone = named(fresh.select(KEY), KEY).select(*key)
         rest = named(state, KEY).join(gone, key, "left_anti").withColumn(KEY, F.when(~F.col(flag(KEY)), F.col(KEY))).select(*fresh.columns)
         ends = stage(fresh.unionByName(rest), "ends")
-        L.write(samples, self.root, "samples", batch_id)
         L.write(late, self.root, "late", batch_id)
         L.write(untimed, self.root, "untimed", batch_id)
         L.write(self._went_quiet(tracked).unionByName(self._timed_out(ends.filter(self._over(newest)))), self.root, "expired", batch_id)
@@ -163,7 +163,7 @@ class SessionTables:
         for sink in sinks:
             sink(tracked, batch_id)
         L.commit(self.spark, self.root, batch_id, COMMIT, newest, counts[1], counts[2])
-        release(arrived, state, judged, tracked, ends)
+        release(arrived, judged, ends)
         if before is not None:
             L.forget(self.spark, self.root, "state", before)
 

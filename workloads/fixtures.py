@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import blocks as B
 from tidemark.operators.running import Sequence, slot, with_running
+from tidemark.session import scratch_path
 
 EPOCH_US = 1704067200000000
 SQUEEZE = 288
@@ -83,6 +86,33 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).filter(B.supported(F.col("ext")))
 
 
+def write_tree(rows: DataFrame, folder: str) -> None:
+    """Rows (path, text) as files of these names below a folder; a line end is added to each text."""
+    spark = rows.sparkSession
+    landing = scratch_path(spark, "tree")
+    rows.filter("text is not null").write.partitionBy("path").text(landing)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(landing).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.globStatus(path(f"{landing}/path=*/part-*")):
+        name = unquote(part.getPath().getParent().getName().removeprefix("path="))
+        target = path(f"{folder}/{name}")
+        fs.mkdirs(target.getParent())
+        fs.rename(part.getPath(), target)
+
+
+BAD_BYTES = b"ok \xff\xfe end\n"
+
+
+def write_bad_bytes(spark: SparkSession, folder: str) -> None:
+    """A file per extension whose bytes are no UTF-8."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for ext in EXTENSIONS:
+        out = fs.create(path(f"{folder}/bad/b.{ext}"))
+        out.write(bytearray(BAD_BYTES))
+        out.close()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents; every tenth one carries a private key and a quoted password note."""
     note = F.concat(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import fixed
 from tidemark.functions import blocks as B
 from tidemark.functions import redact as R
 from tidemark.operators import distill as D
@@ -170,19 +171,28 @@ def report_written(spark, sf_dir):
 
 
 def scan_files(spark, sf_dir):
-    """Pages written one per file and read back; a line end is added to each."""
+    """Pages as files of their names, a tenth below a skipped folder, and files with bad bytes, read back."""
     folder = scratch_path(spark, "pages")
-    pages = X.table(spark, sf_dir, "pages").select("page_id", "html")
-    pages.filter("page_id % 10 <> 0").write.partitionBy("page_id").text(f"{folder}/src.d")
-    pages.filter("page_id % 10 = 0").write.partitionBy("page_id").text(f"{folder}/node_modules")
-    found = scan(spark, folder, ("txt",))
-    # the writer names folders by column; the file's own name is not fixed
-    path = F.regexp_replace("path", "[^/]*$", "")
-    return found.select(path.alias("path"), "ext", "n_bytes", F.md5("text").alias("digest"))
+    pages = X.files(spark, sf_dir)
+    below = F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("lib/node_modules/"), "path")).otherwise(F.col("path"))
+    X.write_tree(pages.select(below.alias("path"), "text"), folder)
+    X.write_bad_bytes(spark, folder)
+    return scan(spark, folder).select("path", "ext", "n_bytes", F.md5("text").alias("digest"))
+
+
+def snapshot_rewritten(spark, sf_dir):
+    """Members of a snapshot before and after its id is written again, both read after that."""
+    root, files = scratch_path(spark, "snapshots"), X.source_files(spark, sf_dir)
+    out = []
+    for k, name in enumerate(("old", "new")):
+        run = distill(files.filter(f"page_id % 3 >= {k}"), B.PAGE_KINDS, literal=R.LITERAL, small_bytes=SMALL_BYTES)
+        N.write_snapshot(run, root, "run-1", ts="2024-01-01")
+        out.append(N.read_snapshot(spark, root, "run-1").members.select("path", F.lit(name).alias("seen")))
+    return out[0].unionByName(out[1])
 
 
 QUERIES = [
-    report_written, scan_files, pack_members, pack_all_members, bucket_build, snapshot_union, snapshot_members, snapshot_roundtrip, prune_snapshot,
+    report_written, scan_files, snapshot_rewritten, pack_members, pack_all_members, bucket_build, snapshot_union, snapshot_members, snapshot_roundtrip, prune_snapshot,
     prune_other_commit, restore_gate, rehydrate_blocks, rehydrate_full, is_skeletonized, edit_prompts, candidate_files,
     match_intents, file_sizes, size_totals, top_savings, compression_ratio,
 ]
@@ -237,8 +247,10 @@ f as (select shard, bucket, n_members, {P.padded("raw")} as text from t)
 select shard, bucket, n_members, strlen(text) as n_bytes, strlen(text) // 4096 as n_blocks, md5(text) as digest from f""",
     "snapshot_union": f"with recursive {_SNAPSHOT} select key, strlen(text) as n_bytes, md5(text) as digest from snap",
     "snapshot_members": f"""with recursive {_SNAPSHOT}
-select path, key, pos, entry_bytes from mem
-union all select path, path, 0, strlen({P.entry("path", "ext", "skeleton")}) from src where strlen(skeleton) >= {SMALL_BYTES}""",
+select path, key, pos, entry_bytes, units, units > {fixed.UNIT_LIMIT} as oversize
+from (select path, key, pos, entry_bytes from mem
+      union all select path, path, 0, strlen({P.entry("path", "ext", "skeleton")}) from src where strlen(skeleton) >= {SMALL_BYTES})
+join (select path, len(regexp_extract_all(text, '{B.PAGE_BLOCKS.units}')) as units from files) using (path)""",
     "snapshot_roundtrip": f"with recursive {_SNAPSHOT} select key, strlen(text) as n_bytes, md5(text) as digest from snap",
     "prune_snapshot": f"""with recursive {_SNAPSHOT},
 listing as (select path from files where ext <> 'md' and page_id % 7 <> 0)
@@ -286,8 +298,12 @@ from siz where n_bytes > 0 order by saving desc, path limit 30""",
 select path, n_bytes as original, distilled, n_bytes - distilled as saving,
   (n_bytes - distilled)::double / n_bytes::double * 100 as saving_pct
 from siz where n_bytes > 0 order by saving desc, path limit 30""",
-    "scan_files": """select 'src.d/page_id=' || page_id || '/' as path, 'txt' as ext, strlen(html) + 1 as n_bytes,
-  md5(html || chr(10)) as digest from pages where page_id % 10 <> 0""",
+    "scan_files": f"""with {P.FILES}
+select path, ext, n_bytes + 1 as n_bytes, md5(text || chr(10)) as digest from files where ext <> 'md' and page_id % 10 <> 0
+union all select 'bad/b.' || e, e, {len(X.BAD_BYTES)}, md5('ok ' || chr(65533) || chr(65533) || ' end' || chr(10)) from (select unnest(['py', 'js', 'ts', 'tsx']) as e)""",
+    "snapshot_rewritten": f"""with {P.FILES}
+select path, 'old' as seen from files where ext <> 'md'
+union all select path, 'new' from files where ext <> 'md' and page_id % 3 >= 1""",
     "compression_ratio": f"""with {_SIZES}
 select path, n_bytes, distilled, case when n_bytes = 0 then 1.0::double else distilled::double / n_bytes::double end as ratio from siz""",
 }

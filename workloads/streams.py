@@ -9,13 +9,13 @@ from tidemark.functions import blocks as B
 from tidemark.functions import redact as R
 from tidemark.operators import rehydrate as H
 from tidemark.operators import usage as S
-from tidemark.plans.distill_run import distill
 from tidemark.session import scratch_path
 from tidemark.sources import snapshot as N
 from tidemark.sources import status as T
+from tidemark.sources.files import scan_files
+from tidemark.streaming import distill as D
 from tidemark.streaming import monitor as M
 from tidemark.streaming import sessions as W
-from tidemark.streaming.distill import increment_sink, latest_members, latest_skeletons, latest_source_map
 from workloads import fixtures as X
 from workloads import sqlparts as P
 from workloads import usage as U
@@ -84,37 +84,62 @@ def stream_status(spark, sf_dir):
     return T.read_status(spark, root)
 
 
+def _version(batch: str) -> str:
+    """Which form a page has when a batch fires: some change every time, some every second or third."""
+    return f"({batch} + page_id) div (1 + page_id % 3)"
+
+
+def _listing(spark, sf_dir):
+    """Files as they are at a batch: their page and its version; a few are gone from batch 2 on."""
+
+    def files(batch_id):
+        text = F.concat("text", F.lit("<!-- v"), F.expr(_version(str(batch_id))).cast("string"), F.lit(" -->"))
+        rows = X.source_files(spark, sf_dir).filter(F.lit(batch_id < 2) | (F.col("page_id") % 11 != 10))
+        return rows.withColumn("text", text).withColumn("n_bytes", B.size(F.col("text")))
+
+    return files
+
+
+def _triggered(spark, sf_dir):
+    runs = D.DeltaRuns(spark, scratch_path(spark, "snapshots"), _listing(spark, sf_dir), B.PAGE_KINDS, R.LITERAL)
+    _run(spark, sf_dir, runs.sink)
+    return runs
+
+
 def stream_distill(spark, sf_dir):
-    root = scratch_path(spark, "snapshots")
+    """The batches that fired a threshold and the files each of them distilled or found gone."""
+    return _triggered(spark, sf_dir).distilled().select("batch_id", "path", "gone")
 
-    def run():
-        return distill(X.source_files(spark, sf_dir), B.PAGE_KINDS, literal=R.LITERAL)
 
-    _run(spark, sf_dir, M.distill_on_trigger(run, root))
-    found = N.read_snapshot(spark, root)
-    return found.members.select("path")
+def compacted_increments(spark, sf_dir):
+    """The increments of these runs folded into one snapshot: its blocks, cut from the files as they are at last."""
+    runs = _triggered(spark, sf_dir)
+    name = D.compact(spark, runs.root)
+    last = runs.runs().filter("n_fired > 0").agg(F.max("batch_id")).first()[0]
+    whole = N.read_snapshot(spark, runs.root, name)
+    cut = H.rehydrate_blocks(whole.source_map.select("path", "symbol"), whole.source_map, runs.listing(last))
+    held = whole.skeletons.join(whole.members, "key").groupBy("path").agg(F.count("*").alias("n_texts"))
+    return cut.join(held, "path").select("path", "symbol", F.md5("block").alias("digest"), "n_texts")
 
 
 def stream_increments(spark, sf_dir):
-    """Two increments of files, some delivered again; blocks of either part are found and cut from the files."""
-    root, files = scratch_path(spark, "increments"), X.source_files(spark, sf_dir)
-    sink = increment_sink(root, B.PAGE_KINDS)
-    sink(files.filter("page_id % 2 = 0"), 0)
-    sink(files.filter("page_id % 2 = 1 or page_id % 10 = 0"), 1)
-    spans = latest_source_map(spark, root)
-    cut = H.rehydrate_blocks(spans.select("path", "symbol", "snapshot_id"), spans, files)
-    held = latest_skeletons(spark, root).join(latest_members(spark, root), ["key", "snapshot_id"]).groupBy("path").agg(F.count("*").alias("n_texts"))
+    """Files that appear in two steps, distilled as they come; blocks of either part are found and cut from the files."""
+    root, folder, ck, files = *(scratch_path(spark, x) for x in ("increments", "tree", "progress")), X.source_files(spark, sf_dir)
+    for part in (0, 1):
+        X.write_tree(files.filter(f"page_id % 2 = {part}").select("path", "text"), folder)
+        D.distill_new_files(spark, folder, root, ck, kinds=B.PAGE_KINDS, literal=R.LITERAL).awaitTermination()
+    spans = D.latest_source_map(spark, root)
+    cut = H.rehydrate_blocks(spans.select("path", "symbol", "snapshot_id"), spans, scan_files(spark, folder))
+    held = D.latest_skeletons(spark, root).join(D.latest_members(spark, root), ["key", "snapshot_id"]).groupBy("path").agg(F.count("*").alias("n_texts"))
     return cut.join(held, "path").select("path", "symbol", "snapshot_id", F.md5("block").alias("digest"), "n_texts")
 
 
-QUERIES = [late_samples, expired_sessions, stream_monitor, stream_status, stream_distill, stream_increments]
+QUERIES = [compacted_increments, late_samples, expired_sessions, stream_monitor, stream_status, stream_distill, stream_increments]
 
 SQL = {
     "stream_monitor": f"""with {U._STATE}
 select session_id, event_id, ratio, step, last_step, last_bucket, fired_bucket, step > last_step as notice from trg""",
     "stream_status": U.SQL["latest_status"],
-    "stream_distill": """select 'src/page_' || page_id || '.' || ['py','js','ts','tsx'][page_id % 5 + 1] as path
-from pages where page_id % 5 < 4""",
 }
 _ARRIVED = f"""{U._STATE},
 arr as (select *, t_us // {SLICE_US} + case when event_id % {DELAYED} = 0 then 1 else 0 end as slice from smpl),
@@ -131,9 +156,22 @@ where case when last_t + {_QUIET} >= newest then place <= last_place else t_us <
 SQL["expired_sessions"] = f"""with {U._STATE},
 nxt as (select *, lead(t_us) over (partition by session_id order by t_us, event_id) as next_t, max(t_us) over () as newest from smpl)
 select session_id, t_us, prompt_tokens, t_us + {_QUIET} as expired_us from nxt where coalesce(next_t, newest) - t_us > {_QUIET}"""
+_VERSION = _version("{b}").replace("div", "//")
+_RUNS = f"""{U._STATE}, {P.FILES},
+num as (select slice, dense_rank() over (order by slice) - 1 as b from (
+          select distinct (epoch_us(ts) - 1704067200000000) // 288 // {SLICE_US} as slice from events)),
+run as (select b, lag(b) over (order by b) as p, max(b) over () as z from num where slice in (select t_us // {SLICE_US} from trg where fired_bucket is not null)),
+has as (select b, p, z, page_id, path, text, b < 2 or page_id % 11 <> 10 as here, p is not null and (p < 2 or page_id % 11 <> 10) as was,
+               {_VERSION.replace("{b}", "b")} as v, {_VERSION.replace("{b}", "p")} as w from run, files where ext <> 'md')"""
+SQL["stream_distill"] = f"""with {_RUNS}
+select b as batch_id, path, not here as gone from has where here and not (was and v = w) or was and not here"""
+SQL["compacted_increments"] = f"""with {_RUNS},
+f as (select path, regexp_extract_all(text, '{P.PAGE_BLOCKS}') as blocks from has where b = z and here)
+select path, lower(regexp_extract(blocks[u.i], '^<([A-Za-z]+)', 1)) || '_' || (u.i - 1) as symbol, md5(blocks[u.i]) as digest, cast(1 as bigint) as n_texts
+from f, lateral (select unnest(range(1, len(blocks) + 1)) as i) u"""
 SQL["stream_increments"] = f"""with {P.FILES},
 f as (select page_id, path, regexp_extract_all(text, '{P.PAGE_BLOCKS}') as blocks from files where ext <> 'md')
 select path, lower(regexp_extract(blocks[u.i], '^<([A-Za-z]+)', 1)) || '_' || (u.i - 1) as symbol,
-       case when page_id % 2 = 1 or page_id % 10 = 0 then 'part-000000000001' else 'part-000000000000' end as snapshot_id,
+       case when page_id % 2 = 1 then 'part-000000000001' else 'part-000000000000' end as snapshot_id,
        md5(blocks[u.i]) as digest, cast(1 as bigint) as n_texts
 from f, lateral (select unnest(range(1, len(blocks) + 1)) as i) u"""
