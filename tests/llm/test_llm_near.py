@@ -145,6 +145,34 @@ def test_one_of_each_links_every_similarity_from_the_threshold_on(spark):
     assert {r["doc_id"] for r in N.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == want
 
 
+def test_large_keys_meet_in_blocks(spark):
+    """One passage fills most of the prefix of many unlike texts; all pairs that are alike are found, each once."""
+    rng = random.Random(3)
+    met = [(1, i, 50, rng.randrange(3), i // 2 if i < 40 else i, 10_000) for i in range(10_000)] + [(2, i, 50, 0, i, 3) for i in range(3)]
+    df = spark.createDataFrame(met, "key bigint, node bigint, n int, at int, root bigint, k bigint")
+    some = df.filter("node < 60")
+    got = [(r[0], r[1], r[2]) for r in N._all_pairs(some).select("x.key", "x.node", "y.node").collect()]
+    want = [(1, a, b) for a in range(60) for b in range(a) if not (a < 40 and b < 40 and a // 2 == b // 2)] + [(2, a, b) for a in range(3) for b in range(a)]
+    assert sorted(got) == sorted(want)
+
+
+def test_spreads_leave_no_link_out(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(300):
+        base = rng.integers(0, 2**64, int(rng.integers(1, 400)), dtype=np.uint64)
+        other = base.copy()
+        at = rng.random(len(base)) < rng.choice([0.02, 0.1, 0.2, 0.6])
+        other[at] = rng.integers(0, 2**64, at.sum(), dtype=np.uint64)
+        spread = [np.bincount((x >> np.uint64(56)).astype(int), minlength=256).astype("<u2").tobytes() for x in (base, other)]
+        same = len(np.intersect1d(base, other))
+        rows.append((k, 1000 + k, len(base), len(other), bytearray(spread[0]), bytearray(spread[1]), bool(9 * same >= 4 * (len(base) + len(other)))))
+    df = spark.createDataFrame(rows, "a bigint, b bigint, n int, m int, p binary, q binary, linked boolean")
+    kept = {r["a"] for r in N.can_share(df, (4, 5)).collect()}
+    assert {r[0] for r in rows if r[-1]} <= kept
+    assert len(kept) < 250
+
+
 def test_likeness():
     a, b = ("".join(f"w{i} " for i in range(n, n + 300)) for n in (0, 20))
     sketch = np.stack([np.frombuffer(N.sketch_text(t, 5)[1], np.uint8) for t in (a, b)])

@@ -23,7 +23,8 @@ radius, which would link unlike texts by itself.
 
 The pipeline's stage asks for a similarity of 0.8 instead, whatever the
 fingerprints: candidates are the sets that share a shingle of their prefixes,
-which no similar pair can lack, and the sets themselves decide.
+which no similar pair can lack, and whose sizes and spreads allow it; the sets
+themselves decide.
 
 The stars are joined to components by alternating large-star and small-star
 rounds on tables. No fingerprint or link but the sample reaches the driver.
@@ -39,6 +40,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -48,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces, row_key, small_batches
-from tidemark.session import stage
+from tidemark.session import free_shuffles, release, stage
 
 SHINGLE = 4
 SEED = 42
@@ -61,6 +63,9 @@ MOST_SHARDS = 16_384  # of one segment
 CELL_ROWS = 262_144  # points of a block of a shard that no vantage point splits
 LEAF = 384
 WIDE, SIMILAR = 5, (4, 5)  # words of a shingle and least similarity of the pipeline's stage
+FEW = 100_000  # sets whose names are broadcast to where the texts lie: 10 MB at most; more are joined
+BLOCK = 4_096  # nodes of a key that meet in one task of the last round
+MOST_COUNTED = 65_535  # shingles of one first byte that a spread can tell
 STARS = 3  # rounds that compare with one node of a key, before all pairs
 COUNTED, BUCKETS = 4_096, 1 << 20  # documents and counters of the order of shingles: 8 MB
 COMPARED = 1 << 21  # distances held at once
@@ -373,29 +378,34 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def with_prefixes(texts: DataFrame, width: int, like: tuple[int, int]) -> DataFrame:
-    """(id, h, node, n, prefix) per (id, h, text): the hash of the shingle set, its size, and its first shingles.
+    """(id, h, hash, n, prefix, spread) per (id, h, text): the hash of the shingle set, its size, its first shingles, its spread.
 
     In one order of all shingles, rarest first, two sets of n and m shingles that
     share ``like`` of their union share one of the first n - ceil(like * n) + 1
-    and m - ceil(like * m) + 1: a link is never missed.
+    and m - ceil(like * m) + 1: a link is never missed. The spread counts the
+    shingles by their first byte; two sets share no more of a byte than the one
+    has that has less.
     """
     shared, kind = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, width)), texts.schema["id"].dataType
     up, down = like
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, size, first = [], [], []
+            node, size, first, spread = [], [], [], []
             for t in b.column(2).to_pylist():
                 own = shingle_set(t, width)
                 by = np.lexsort((own, shared.value[(own % BUCKETS).astype(np.int64)]))
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 size.append(len(own))
                 first.append(own[by[:len(own) + (-up * len(own)) // down + 1]].view(np.int64) if len(own) else own.view(np.int64))
+                counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256)
+                spread.append(np.minimum(counts, MOST_COUNTED).astype("<u2").tobytes())
             node = np.array(node, np.uint64).view(np.int64)
-            columns = [b.column(0), b.column(1), pa.array(node), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "node", "n", "prefix"])
+            columns = [pa.array(node), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(spread, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "h", "hash", "n", "prefix", "spread"])
 
-    return texts.select("id", "h", "text").mapInArrow(run, f"id {kind.simpleString()}, h bigint, node bigint, n int, prefix array<bigint>")
+    schema = f"id {kind.simpleString()}, h bigint, hash bigint, n int, prefix array<bigint>, spread binary"
+    return texts.select("id", "h", "text").mapInArrow(run, schema)
 
 
 def with_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -416,7 +426,75 @@ def _can_link(x: str, y: str, like: tuple[int, int]) -> Column:
     return share * (up + down) >= F.lit(up) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
-def alike_roots(entries: DataFrame, sets: DataFrame, like: tuple[int, int], stars: int = STARS) -> DataFrame:
+def can_share(pairs: DataFrame, like: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of (a, b, n, m, p, q) whose sizes and spreads allow ``like``; none that has it is left out."""
+    up, down = like
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, 256) for i in (4, 5))
+            least = np.minimum(p, q)
+            most = least.sum(1, dtype=np.int64)
+            full = (least == MOST_COUNTED).any(1)  # a count that may be larger
+            keep = pa.array(full | (most * (up + down) >= up * (n + m)))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    return pairs.select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a bigint, b bigint")
+
+
+class Alike:
+    """Sets of shingles (node, least, n, spread) of texts (id, h, text) and those of them that are made."""
+
+    def __init__(self, points: DataFrame, texts: DataFrame, width: int, like: tuple[int, int]):
+        self.points, self.texts, self.width, self.like = points, texts, width, like
+        self.sets: list[DataFrame] = []
+
+    def _made(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.sets)
+
+    def _make(self, nodes: DataFrame) -> None:
+        """Make the sets of nodes that have none yet, where the texts lie if the nodes are few."""
+        for known in self.sets:
+            nodes = nodes.join(known, "node", "left_anti")
+        keys = self.points.join(nodes, "node").select("node", row_key(F.col("least.id"), F.col("least.h")).alias("_key"))
+        keys = stage(keys, "keys")
+        few = F.broadcast(keys) if keys.count() <= FEW else keys  # 100 bytes a row at most
+        own = self.texts.withColumn("_key", row_key(F.col("id"), F.col("h"))).join(few, "_key").select("node", "text")
+        self.sets.append(stage(with_sets(own, self.width).dropDuplicates(["node"]), "sets"))
+        release(keys)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that share ``like`` of their union, exactly."""
+        up, down = self.like
+        first, second = (
+            self.points.select(F.col("node").alias(x), F.col("n").alias(size), F.col("spread").alias(spread)) for x, size, spread in (("a", "n", "p"), ("b", "m", "q"))
+        )
+        near = stage(can_share(pairs.join(first, "a").join(second, "b"), self.like), "near")
+        self._make(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        p, q = (self._made().select(F.col("node").alias(x), F.col("shingles").alias(y)) for x, y in (("a", "p"), ("b", "q")))
+        both = near.join(p, "a").join(q, "b").withColumn("same", F.size(F.array_intersect("p", "q")))
+        out = stage(both.filter(F.col("same") * (up + down) >= F.lit(up) * (F.size("p") + F.size("q"))).select("a", "b"), "links")
+        release(near)
+        free_shuffles(out.sparkSession)
+        return out
+
+    def done(self) -> None:
+        release(*self.sets)
+
+
+def _all_pairs(met: DataFrame) -> DataFrame:
+    """Pairs of nodes of a key that are not in one group; the nodes of a large key meet block by block."""
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    cells = met.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "at", "root")
+    x, y = cells.alias("x"), cells.alias("y")
+    cell = (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    once = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.own") != F.col("y.own"))
+    return x.join(y, cell & once & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
+
+
+def alike_roots(entries: DataFrame, sets: Alike, stars: int = STARS) -> DataFrame:
     """(a, root) of the nodes linked by a similarity of ``like`` or more, but the roots.
 
     ``entries`` (key, node, n, at) are the places of shingles in prefixes. In
@@ -425,53 +503,62 @@ def alike_roots(entries: DataFrame, sets: DataFrame, like: tuple[int, int], star
     been compared is not compared again, and a large group of like texts is
     settled by stars, not by its pairs.
     """
-    up, down = like
     spark = entries.sparkSession
-    links = tested = spark.createDataFrame([], "a bigint, b bigint")
+    links, tested = [], []
     roots = spark.createDataFrame([], "a bigint, root bigint")
     for k in range(stars + 1):
-        rows = entries.join(roots, entries["node"] == roots["a"], "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+        places = entries.select("key", "node", "n", "at")
+        rows = places.join(roots, places["node"] == roots["a"], "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
         open_ = rows.groupBy("key").agg(
-            F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "n", "at", "root")).alias("c")
-        ).filter("x <> y").select("key", "c")
-        met = rows.join(open_, "key").select("key", "node", "n", "at", "root", "c")
-        met = stage(met, "open-keys")
+            F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "n", "at", "root")).alias("c"),
+            F.count("*").alias("k"),
+        ).filter("x <> y").select("key", "c", "k")
+        met = stage(rows.join(open_, "key").select("key", "node", "n", "at", "root", "c", "k"), "open-keys")
+        release(entries)
+        entries = met
         if met.isEmpty():
             break
-        entries = met.select("key", "node", "n", "at")
-        x = met.drop("c").alias("x")
         if k < stars:
             y = met.select("key", F.struct("node", "n", "at", "root").alias("x"), F.col("c").alias("y")).filter("x.root <> y.root")
         else:
-            y = x.join(met.drop("c").alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
-        pairs = y.filter(_can_link("x", "y", like)).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("p", "q")))
-        found = stage(both.filter(F.col("same") * (up + down) >= F.lit(up) * (F.size("p") + F.size("q"))).select("a", "b"), "links")
-        links = links.union(found)
-        roots = components(links)
+            y = _all_pairs(met)
+        pairs = y.filter(_can_link("x", "y", sets.like)).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        tested.append(stage(pairs, "pairs"))
+        links.append(sets.links(tested[-1]))
+        roots = components(reduce(DataFrame.union, links))
+    release(entries, *tested, *links)
     return roots
 
 
 def alike(docs: DataFrame, id_col: str, text_col: str, width: int, like: tuple[int, int]) -> DataFrame:
-    """(node, least, root) per set of shingles; least is its first document, groups share the root."""
-    small_batches(docs.sparkSession)
+    """(node, least, root) per set of shingles; least is its first document, groups share the root.
+
+    Only shingles that two sets have in their prefixes are kept, and only sets that
+    some other may be like are made; what has been read for the last time is
+    deleted on the way.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    rows = stage(with_prefixes(texts, width, like), "prefixes")
-    points = stage(rows.groupBy("node").agg(first_document().alias("least")), "points")
-    entries = rows.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    entries = stage(entries, "entries")
+    found = with_prefixes(texts, width, like).groupBy("hash").agg(
+        first_document().alias("least"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("spread").alias("spread")
+    )
+    whole = stage(found.withColumn("node", F.monotonically_increasing_id()), "points")  # small numbers take little room in a shuffle
+    free_shuffles(spark)
+    entries = whole.select("node", "n", F.posexplode("prefix").alias("at", "key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     entries = stage(entries.join(shared, "key").select("key", "node", "n", "at"), "shared")
-    met = points.join(entries.select("node").distinct(), "node", "left_semi")
-    named = met.select("node", row_key(F.col("least.id"), F.col("least.h")).alias("_key"))
-    own = texts.withColumn("_key", row_key(F.col("id"), F.col("h"))).join(named, "_key").select("node", "text")
-    sets = stage(with_sets(own, width).dropDuplicates(["node"]), "sets")
-    roots = alike_roots(entries, sets, like)
-    named = points.join(roots, points["node"] == roots["a"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    return stage(named, "named")
+    points = stage(whole.select("node", "least", "n", "spread"), "sizes")
+    release(whole)
+    free_shuffles(spark)
+    sets = Alike(points, texts, width, like)
+    roots = alike_roots(entries, sets)
+    named = stage(points.join(roots, points["node"] == roots["a"], "left").select("node", "least", F.coalesce("root", "node").alias("root")), "named")
+    sets.done()
+    release(points)
+    return named
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDE, like: tuple[int, int] = SIMILAR) -> DataFrame:
