@@ -1,13 +1,29 @@
-"""Changed notes and a BM25 index over them."""
+"""Changed notes and a BM25 index over them.
+
+An index is a table of blocks: up to ``BLOCK`` postings of one term, from the
+largest impact to the smallest, with the largest of the block beside them. The
+impact is what a posting adds to a score, but for the term's weight. A search
+reads the few best blocks of its terms, which gives a score that the k best reach
+at least. A document of a block whose largest impact, with the best of all other
+terms, stays below that score is not among them, so only the other blocks are
+read; the condition is a filter on the blocks' own columns, which the files'
+statistics answer.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.binding import let
-from tidemark.session import stage
+from tidemark.session import release, stage
 
+BLOCK = 128
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -29,13 +45,13 @@ def tokens(text: Column) -> Column:
 def postings(docs: DataFrame, key: str = "doc_id", only: list[str] | None = None) -> DataFrame:
     """(term, key, tf, length): occurrences of a term in a document of ``length`` terms.
 
-    Terms are counted inside the row, so nothing is shuffled. With ``only``, other
-    terms are dropped before.
+    Words of a document lie together, so counting them is nearly done before the
+    shuffle. With ``only``, other terms are dropped before.
     """
     words = docs.select(key, tokens(F.col("text")).alias("_words"))
     kept = F.col("_words") if only is None else F.filter("_words", lambda w: w.isin(*only))
-    words = words.select(key, F.size("_words").cast("bigint").alias("length"), F.explode(counted(kept)).alias("_t"))
-    return words.select("_t.term", key, "length", "_t.tf")
+    words = words.select(key, F.size("_words").cast("bigint").alias("length"), F.explode(kept).alias("term"))
+    return words.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
 def counted(words: Column) -> Column:
@@ -94,9 +110,87 @@ def query_terms(query: str) -> list[str]:
     return sorted(set("".join(c if c.isalnum() else " " for c in query.lower()).split()))
 
 
-def write_index(post: DataFrame, stats: DataFrame, folder: str, partitions: int | None = None) -> None:
-    """Write the index sorted by term, so that a search skips row groups of other terms."""
-    by = [F.col("term")]
-    ranged = post.repartitionByRange(partitions, *by) if partitions else post.repartitionByRange(*by)
-    ranged.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (term, key, length, tf, impact), sorted by term and falling impact."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        codes = b.column(0).dictionary_encode().indices.to_numpy()
+        start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        of = np.repeat(start, np.diff(np.r_[start, len(codes)]))
+        first = np.flatnonzero((np.arange(len(codes)) - of) % BLOCK == 0)
+        ends = np.r_[first, len(codes)].astype(np.int32)
+        rows = pa.array(first)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), b.column(i)) for i in (1, 2, 3)]
+        n = pa.array(np.diff(ends).astype(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(rows), b.column(4).take(rows), n, *lists], names=["term", "largest", "n", "keys", "lengths", "tfs"]
+        )
+
+
+def write_index(docs: DataFrame, folder: str, key: str = "doc_id", partitions: int | None = None) -> None:
+    """Blocks sorted by term, and one row of statistics; texts are cut into words once."""
+    post = stage(postings(docs, key), "postings")
+    n_docs, total = docs.count(), post.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    mean = total / n_docs if n_docs else 0.0
+    stats = docs.sparkSession.createDataFrame([(n_docs, mean)], "n_docs bigint, mean_length double")
+    by = [F.col("term"), F.desc("impact"), F.col(key)]
+    rows = post.select("term", key, "length", "tf", impact(F.lit(mean)).alias("impact"))
+    dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"term string, largest double, n bigint, keys array<{kind}>, lengths array<bigint>, tfs array<bigint>"
+    dealt.sortWithinPartitions(*by).mapInArrow(_pack, T.StructType.fromDDL(schema)).write.mode("overwrite").parquet(f"{folder}/blocks")
     stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+    release(post)
+
+
+def impact(mean: Column) -> Column:
+    """What a posting (tf, length) adds to a score for each unit of its term's weight."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+
+
+def _read(blocks: DataFrame, least: dict[str, float]) -> DataFrame:
+    """The postings of blocks whose largest impact is that of their term or more."""
+    wanted = F.lit(False)
+    for term, floor in least.items():
+        wanted = wanted | ((F.col("term") == term) & (F.col("largest") >= F.lit(floor)))
+    rows = blocks.filter(wanted).select("term", F.explode(F.arrays_zip("keys", "lengths", "tfs")).alias("p"))
+    return rows.select("term", F.col("p.keys").alias("key"), F.col("p.lengths").alias("length"), F.col("p.tfs").alias("tf"))
+
+
+def _scores(rows: DataFrame, idf: dict[str, float], mean: float) -> DataFrame:
+    weight = F.lit(0.0)
+    for term, w in idf.items():
+        weight = F.when(F.col("term") == term, F.lit(w)).otherwise(weight)
+    return rows.groupBy("key").agg(F.sum(weight * impact(F.lit(mean))).alias("score"))
+
+
+def search_plan(spark: SparkSession, folder: str, query: str, k: int = 10) -> tuple[dict[str, float], dict[str, float], float]:
+    """Weight of each query term, the least largest impact of the blocks to read, and the mean length.
+
+    Reads the blocks' terms, largest impacts and sizes, and the best blocks of each term.
+    """
+    blocks = spark.read.parquet(f"{folder}/blocks").filter(F.col("term").isin(*query_terms(query)))
+    stats = spark.read.parquet(f"{folder}/stats").first()
+    n_docs, mean = stats["n_docs"], stats["mean_length"]
+    heads = blocks.select("term", "largest", "n")
+    per = heads.groupBy("term").agg(F.sum("n").alias("df"), F.max("largest").alias("most"))
+    per = per.withColumn("idf", F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    terms = {r["term"]: r for r in per.collect()}  # one row per query term
+    idf = {t: r["idf"] for t, r in terms.items()}
+    best = Window.partitionBy("term").orderBy(F.desc("largest"))
+    seeds = max(2, -(-2 * k // BLOCK))  # blocks of a term that are sure to be read
+    top = heads.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= seeds).groupBy("term").agg(F.min("largest").alias("m"))
+    first = _scores(_read(blocks, {r["term"]: r["m"] for r in top.collect()}), idf, mean)
+    reached = [r["score"] for r in first.orderBy(F.desc("score")).limit(k).collect()]
+    bar = reached[-1] - 1e-6 if len(reached) == k else float("-inf")  # scores are compared when rounded
+    bound = {t: idf[t] * r["most"] for t, r in terms.items()}
+    others = {t: sum(bound.values()) - bound[t] for t in bound}
+    return idf, {t: max(0.0, (bar - others[t]) / idf[t] * (1 - 1e-12)) for t in terms}, mean
+
+
+def search_index(spark: SparkSession, folder: str, query: str, k: int = 10, key: str = "doc_id") -> DataFrame:
+    """The ``k`` best documents for a query text: those of ``search``, from the blocks that can hold them."""
+    idf, least, mean = search_plan(spark, folder, query, k)
+    found = _scores(_read(spark.read.parquet(f"{folder}/blocks"), least), idf, mean).withColumnRenamed("key", key)
+    return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), key).limit(k)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 
+FEW = 1_000  # paths that become a list
+
 
 def edit_intent(prompt: Column) -> Column:
     return prompt.rlike(fixed.EDIT_VERBS)
@@ -17,18 +19,34 @@ def candidate_files(prompt: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(prompt, F.lit(fixed.CANDIDATE_FILE), F.lit(0)))
 
 
-def rehydrate_blocks(requests: DataFrame, source_map: DataFrame, files: DataFrame) -> DataFrame:
+def only_asked(files: DataFrame, paths: DataFrame, few: int = FEW) -> DataFrame:
+    """The files of ``paths`` (path, distinct).
+
+    Up to ``few`` paths become a list, so that the file listing, or the statistics
+    of the files' table, leave the others unopened; more are a semi-join, which
+    keeps their contents out of the shuffle where the paths are small enough to
+    be broadcast.
+    """
+    names = [r["path"] for r in paths.limit(few + 1).collect()]
+    if len(names) <= few:
+        return files.filter(F.col("path").isin(*names)) if names else files.filter("false")
+    return files.join(paths, "path", "left_semi")
+
+
+def rehydrate_blocks(requests: DataFrame, source_map: DataFrame, files: DataFrame, few: int = FEW) -> DataFrame:
     """Add ``block`` to requests (path, symbol, ...): the bytes of the first block of that name.
 
     Null when there is no such block or file, or when the file's size has changed.
     ``files`` is (path, content or text, n_bytes); a ``sha2`` column on both
     sides is compared as well. Each requested block is cut once; the requests,
-    which may all name one block, then join the cut blocks.
+    which may all name one block, then join the cut blocks. Files in which no
+    block is asked for are not opened where the list of those is short.
     """
     wanted = requests.select("path", "symbol").distinct()
     checks = [c for c in ("sha2",) if c in source_map.columns and c in files.columns]
     first = F.min(F.struct("pos", "original_start", "original_end", "file_size", *checks)).alias("m")
     spans = source_map.join(wanted, ["path", "symbol"], "left_semi").groupBy("path", "symbol").agg(first)
+    files = only_asked(files, spans.select("path").distinct(), few)
     content = F.col("content") if "content" in files.columns else F.col("text").cast("binary")
     sources = files.select("path", content.alias("content"), "n_bytes", *checks)
     same = (F.col("m.file_size") == 0) | (F.col("n_bytes") == F.col("m.file_size"))
@@ -42,9 +60,10 @@ def rehydrate_blocks(requests: DataFrame, source_map: DataFrame, files: DataFram
     return requests.join(blocks, ["path", "symbol"], "left")
 
 
-def rehydrate_full(requests: DataFrame, files: DataFrame) -> DataFrame:
+def rehydrate_full(requests: DataFrame, files: DataFrame, few: int = FEW) -> DataFrame:
     """Add the whole ``text`` of each requested path; null when there is no file."""
-    return requests.join(files.select("path", "text"), "path", "left")
+    asked = only_asked(files, requests.select("path").filter("path is not null").distinct(), few)
+    return requests.join(asked.select("path", "text"), "path", "left")
 
 
 def is_skeletonized(paths: DataFrame, members: DataFrame) -> DataFrame:

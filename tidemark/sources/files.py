@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -24,12 +24,12 @@ def qualified(spark: SparkSession, root: str) -> str:
 SKIPPED = "/(" + "|".join(x.replace(".", r"\.") for x in fixed.SKIPPED_FOLDERS) + ")/"
 
 
-def _listed(raw: DataFrame, root: str) -> DataFrame:
-    """Files outside the skipped folders below the root; the condition is on the file's metadata, so others are not opened."""
+def _below(raw: DataFrame, root: str) -> Column:
+    """The file's path below the root, from its metadata: conditions on it are answered by the listing, others are not opened."""
     base = raw.sparkSession._jvm.org.apache.hadoop.fs.Path(qualified(raw.sparkSession, root)).toUri().getRawPath().rstrip("/")
     path = F.regexp_replace("_metadata.file_path", "^[^:/]+:(//[^/]*)?", "")  # encoded as the base is
-    below = F.when(F.startswith(path, F.lit(base + "/")), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
-    return raw.filter(~below.rlike(SKIPPED))
+    below = F.when(F.startswith(path, F.lit(base + "/")), F.substring(path, len(base) + 2, 1 << 30)).otherwise(path)
+    return F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B")))
 
 
 def file_rows(raw: DataFrame, root: str) -> DataFrame:
@@ -37,16 +37,10 @@ def file_rows(raw: DataFrame, root: str) -> DataFrame:
 
     Bytes that are no UTF-8 become replacement characters.
     """
-    base = qualified(raw.sparkSession, root).rstrip("/") + "/"
-    below = F.expr(f"substring(path, {len(base) + 1})")
-    path = F.when(F.startswith("path", F.lit(base)), below).otherwise(F.col("path"))
-    return (
-        raw.select(path.alias("path"), F.col("length").alias("n_bytes"), "content")
-        .filter(~F.concat(F.lit("/"), "path").rlike(SKIPPED))
-        .select(
-            "path", B.extension(F.col("path")).alias("ext"),
-            F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "n_bytes", "content",
-        )
+    path = _below(raw, root)
+    rows = raw.filter(~F.concat(F.lit("/"), path).rlike(SKIPPED)).select(path.alias("path"), F.col("length").alias("n_bytes"), "content")
+    return rows.select(
+        "path", B.extension(F.col("path")).alias("ext"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "n_bytes", "content"
     )
 
 
@@ -56,7 +50,7 @@ def scan_files(spark: SparkSession, root: str, exts: tuple[str, ...] = fixed.SOU
     Files without bytes are not listed by Spark's file sources.
     """
     raw = spark.read.format("binaryFile").options(**_options(exts)).load(root)
-    return file_rows(_listed(raw, root), root)
+    return file_rows(raw, root)
 
 
 def stream_files(spark: SparkSession, root: str, exts: tuple[str, ...] = fixed.SOURCE_EXTENSIONS, per_trigger: int = 10_000) -> DataFrame:

@@ -10,7 +10,7 @@ from tidemark.operators import distill as D
 from tidemark.operators import handoff as O
 from tidemark.operators import index as I
 from tidemark.operators import rehydrate as H
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, stage
 from workloads import fixtures as X
 from workloads import sqlparts as P
 from workloads.snapshots import _PROMPTS
@@ -66,7 +66,7 @@ def bm25_index(spark, sf_dir):
 
 def bm25_terms(spark, sf_dir):
     docs = X.table(spark, sf_dir, "documents")
-    got = I.term_weights(I.postings(docs), I.corpus_stats(docs))
+    got = I.term_weights(stage(I.postings(docs), "postings"), I.corpus_stats(docs))
     return got.withColumn("idf", F.round("idf", 6))
 
 
@@ -77,8 +77,8 @@ def bm25_topk(spark, sf_dir):
 def bm25_search_index(spark, sf_dir):
     """The same search over an index that is written first."""
     docs, folder = X.table(spark, sf_dir, "documents"), scratch_path(spark, "index")
-    I.write_index(I.postings(docs), I.corpus_stats(docs), folder)
-    return I.search(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), QUESTION)
+    I.write_index(docs, folder)
+    return I.search_index(spark, folder, QUESTION)
 
 
 QUERIES = [last_turns, manifest_layer, active_source, handoff_layers, changed_docs, bm25_index, bm25_terms, bm25_topk, bm25_search_index]

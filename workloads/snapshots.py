@@ -170,6 +170,12 @@ def report_written(spark, sf_dir):
     return spark.read.parquet(f"{folder}/top")
 
 
+def report_text(spark, sf_dir):
+    """The report's lines; at most the top files and ten more."""
+    text = W.write_report(S.file_sizes(_sizes(spark, sf_dir)), scratch_path(spark, "report"))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "pos bigint, line string")
+
+
 def scan_files(spark, sf_dir):
     """Pages as files of their names, a tenth below a skipped folder, and files with bad bytes, read back."""
     folder = scratch_path(spark, "pages")
@@ -192,7 +198,7 @@ def snapshot_rewritten(spark, sf_dir):
 
 
 QUERIES = [
-    report_written, scan_files, snapshot_rewritten, pack_members, pack_all_members, bucket_build, snapshot_union, snapshot_members, snapshot_roundtrip, prune_snapshot,
+    report_written, report_text, scan_files, snapshot_rewritten, pack_members, pack_all_members, bucket_build, snapshot_union, snapshot_members, snapshot_roundtrip, prune_snapshot,
     prune_other_commit, restore_gate, rehydrate_blocks, rehydrate_full, is_skeletonized, edit_prompts, candidate_files,
     match_intents, file_sizes, size_totals, top_savings, compression_ratio,
 ]
@@ -298,6 +304,16 @@ from siz where n_bytes > 0 order by saving desc, path limit 30""",
 select path, n_bytes as original, distilled, n_bytes - distilled as saving,
   (n_bytes - distilled)::double / n_bytes::double * 100 as saving_pct
 from siz where n_bytes > 0 order by saving desc, path limit 30""",
+    "report_text": f"""with {_SIZES},
+s as (select path, n_bytes as o, distilled as d, n_bytes - distilled as v, (n_bytes - distilled)::double / n_bytes::double * 100 as p from siz where n_bytes > 0),
+t as (select count(*) as n, sum(o)::bigint as o, sum(d)::bigint as d, sum(v)::bigint as v, sum(v)::double / sum(o)::double * 100 as p from s),
+b as (select *, row_number() over (order by v desc, path) as r from s),
+h as (select unnest(['# Sizes after distillation', '', '| files | bytes before | bytes after | bytes saved | saved |', '|-:|-:|-:|-:|-:|',
+        (select format('| {{:,}} | {{:,}} | {{:,}} | {{:,}} | {{:.1f}} % |', n, o, d, v, p) from t), '',
+        (select 'The ' || least(n, 30) || ' files that save most:' from t), '', '| path | before | after | saved | saved |', '|-|-:|-:|-:|-:|']) as line,
+      unnest(range(10)) as pos)
+select pos, line from h
+union all select r + 9, format('| {{}} | {{:,}} | {{:,}} | {{:,}} | {{:.1f}} % |', path, o, d, v, p) from b where r <= 30""",
     "scan_files": f"""with {P.FILES}
 select path, ext, n_bytes + 1 as n_bytes, md5(text || chr(10)) as digest from files where ext <> 'md' and page_id % 10 <> 0
 union all select 'bad/b.' || e, e, {len(X.BAD_BYTES)}, md5('ok ' || chr(65533) || chr(65533) || ' end' || chr(10)) from (select unnest(['py', 'js', 'ts', 'tsx']) as e)""",

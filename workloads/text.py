@@ -123,6 +123,14 @@ def lookup_tiers(spark, sf_dir):
     return L.lookup_tiers(X.lookups(spark, sf_dir)).select("key", "event_id", "n_lookups", "tier")
 
 
+def lookups_placed(spark, sf_dir):
+    """Lookups of which some have no time: those with a place in their key's order, and the others."""
+    some = X.lookups(spark, sf_dir).withColumn("t_us", F.expr("if(event_id % 97 = 0, null, t_us)"))
+    placed = L.lookup_tiers(some).select("key", "event_id", "n_lookups", "tier")
+    rest = L.untimed_lookups(some).select("key", "event_id", F.lit(None).cast("bigint").alias("n_lookups"), F.lit(None).cast("string").alias("tier"))
+    return placed.unionByName(rest)
+
+
 def hot_kept_blocks(spark, sf_dir):
     blocks = D.block_texts(X.source_files(spark, sf_dir), B.PAGE_KINDS)
     got = D.block_replacements(blocks, D.lookup_counts(X.block_lookups(spark, sf_dir)))
@@ -137,7 +145,7 @@ def hinted_skeletons(spark, sf_dir):
 
 QUERIES = [
     redact_literals, redact_assigned, redact_keys, token_entropy, redact_entropy, redact_all, block_spans, elide_blocks,
-    skeleton_files, aligned_sizes, oversize_guard, contained_files, contained_paths, small_and_large, hot_symbols, lookup_tiers,
+    skeleton_files, aligned_sizes, oversize_guard, contained_files, contained_paths, small_and_large, hot_symbols, lookup_tiers, lookups_placed,
     hot_kept_blocks, hinted_skeletons,
 ]
 
@@ -214,6 +222,10 @@ from documents group by 1, 2""",
     "lookup_tiers": f"""with {_LOOKUPS},
 r as (select key, event_id, row_number() over (partition by key order by ts, event_id) as n_lookups from lk)
 select key, event_id, n_lookups, case when n_lookups = 1 then 'L2' else 'L1' end as tier from r""",
+    "lookups_placed": f"""with {_LOOKUPS},
+r as (select key, event_id, row_number() over (partition by key order by ts, event_id) as n_lookups from lk where event_id % 97 <> 0)
+select key, event_id, n_lookups, case when n_lookups = 1 then 'L2' else 'L1' end as tier from r
+union all select key, event_id, null, null from lk where event_id % 97 = 0""",
     "hot_kept_blocks": f"""with {P.FILES}, {_CUT}, {_COUNTS},
 j as (select named.path, ext, pos, named.symbol, block as text, coalesce(n_lookups, 0) as n from named
       left join cnt on cnt.path = named.path and cnt.symbol = named.symbol),
