@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tidemark.llm import decontamination as D
@@ -89,3 +90,33 @@ def test_run_gives_the_last_stage(spark, stages):
     sf_dir, out = stages
     got = P.pipeline(spark, sf_dir)
     assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in out[-1][2].collect())
+
+
+OURS = (
+    "_key _good _text _label_id _unit _nth _n _copy _row _h _t _g _s size h node least n hash prefix spread root key at block copies times nth "
+    "log_weight noisy kept p_good n_words hits items longest longest_at longest_item shard slot id fp label_id good"
+).split()
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_pass_on_columns_of_any_name(spark, stages, at):
+    sf_dir, out = stages
+    _, before, after = out[at]
+    base = ["doc_id", "text", "lang", "source", "n_chars"]
+    known = set(before.columns)
+    wide = before.select(*base, *[F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in OURS if c not in known])
+    got = P.STAGES[at][1](spark, wide, sf_dir)
+    replaced = {"shard", "slot"} if at == 4 else {"n_words", "hits", "items", "longest", "longest_at", "longest_item"} if at == 2 else set()
+    assert set(OURS) - replaced <= set(got.columns)
+    rows = got.collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in after.collect())
+    assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in OURS if c not in replaced)
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_of_odd_rows(spark, edge_docs, no_docs, at):
+    fn = P.STAGES[at][1]
+    docs = edge_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    got = fn(spark, docs, "/root/testdata/sf0.001")
+    assert got.columns[:5] == docs.columns and got.count() <= docs.count() * 3
+    assert fn(spark, no_docs, "/root/testdata/sf0.001").count() == 0

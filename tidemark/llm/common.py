@@ -47,6 +47,14 @@ def replace_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+ROW = "_given_row"
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all given ones as a single struct, so that no name of ours clashes with one of them."""
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(names)], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+
+
 def row_key(*cols: Column) -> Column:
     """One string that is never null and tells apart different values, nulls included."""
     return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.base64(c.cast("string").cast("binary"))), F.lit("~")) for c in cols])

@@ -16,8 +16,8 @@ Benchmark items are broadcast in blocks of at most ``BLOCK_BYTES``; each block i
 one pass in the same stage, and passes add up per document. Long texts are cut
 into overlapping shards, so memory is bounded by the shard and the row.
 
-Defined results: null or wordless text has no words and no hits; a null item has
-no window; equal items count by their ids; repeated rows are repeated; empty
+Defined results: null or wordless text has no words and no hits; an item
+without text has no window, one without id is found but not named; equal items count by their ids; repeated rows are repeated; empty
 tables give no hits; further columns are passed on or ignored, those named like
 a result are replaced.
 """
@@ -66,7 +66,7 @@ class Suffixes:
     lengths: np.ndarray  # its words
     windows: np.ndarray  # words of the window that begins there, 0 if none does
     item: np.ndarray
-    names: list[str]
+    names: list[str | None]
 
     @classmethod
     def of(cls, items: list[tuple[str, str | None]], window: int) -> Suffixes:
@@ -232,7 +232,8 @@ def search_texts(texts: list[str | None], s: Suffixes, size: int = SHARD_WORDS)
             d, at, _ = shard[k]
             out[d]["hits"].append((int(a - starts[k] + at), int(b - starts[k] + at)))
         for k, i in np.unique(np.stack([np.searchsorted(starts, place, side="right") - 1, item]), axis=1).T:
-            out[shard[k][0]]["items"].add(s.names[i])
+            if s.names[i] is not None:
+                out[shard[k][0]]["items"].add(s.names[i])
         # each part keeps the longest of all its matches, of equal ones the first
         part = np.searchsorted(starts, where, side="right") - 1
         by = np.lexsort((suffix, where, -length, part))
@@ -299,7 +300,7 @@ def find_matches(
     texts = texts.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(blocks)))
     df = docs
     for k in range(blocks):
-        items = [(r["name"] or "", r["text"]) for r in texts.filter(F.col("block") == k).collect()]  # about block_bytes
+        items = [(r["name"], r["text"]) for r in texts.filter(F.col("block") == k).collect()]  # about block_bytes
         block = spark.sparkContext.broadcast(Suffixes.of(items, window))
         last = k == blocks - 1
         kept = carry if last else docs.columns

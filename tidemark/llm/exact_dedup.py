@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, replace_columns, row_key
+from tidemark.llm.common import ROW, lower_ascii, packed, row_key
 from tidemark.session import stage
 
 CANDIDATES = 1000  # rows of the broadcast table, about 150 bytes each
@@ -62,7 +62,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows that stay, with all their columns."""
     kept = find_duplicates(docs, id_col, text_col, **limits).filter("kept")
     keys = kept.select(row_key(F.col("id"), F.col("digest")).alias("_key"))
-    wide = docs.withColumn("_key", row_key(F.col(id_col), text_digest(F.col(text_col))))
+    wide = packed(docs, id_col, text_col).select(row_key(F.col(id_col), text_digest(F.col(text_col))).alias("_key"), ROW)
     once = Window.partitionBy("_key").orderBy("_key")
     out = wide.join(keys, "_key", "left_semi").withColumn("_nth", F.row_number().over(once)).filter("_nth = 1")
-    return replace_columns(out, "_key", "_nth")
+    return out.select(f"{ROW}.*")

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import replace_columns, row_key, running, uniform
+from tidemark.llm.common import ROW, packed, row_key, running, uniform
 from tidemark.session import stage
 
 WEIGHTS = (5, 2, 1)
@@ -167,8 +167,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     units = mix(docs, **options).select(row_key(F.col("id"), F.col("h"), F.col("source")).alias("_key"), "copies", "times")
     units = units.select("_key", F.struct("copies", "times").alias("_unit")).filter("_unit.times > 0")
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    wide = docs.withColumn("_key", row_key(F.col(id_col), hashed, F.col(source_col))).join(units, "_key")
+    wide = packed(docs, id_col, text_col, source_col).withColumn("_key", row_key(F.col(id_col), hashed, F.col(source_col)))
+    wide = wide.select("_key", ROW).join(units, "_key")
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
     wide = wide.withColumn("_nth", nth).withColumn("_n", F.expr("_unit.times div _unit.copies + if(_nth <= _unit.times % _unit.copies, 1, 0)"))
     wide = wide.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return replace_columns(wide, "_key", "_unit", "_nth", "_n", "_copy")
+    return wide.select(f"{ROW}.*")

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, row_key, small_batches
+from tidemark.llm.common import ROW, packed, pieces, row_key, small_batches
 from tidemark.session import free_shuffles, release, stage
 
 SHINGLE = 4
@@ -570,6 +570,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = alike(docs, id_col, text_col, width, like)
     first = named.groupBy("root").agg(F.min("least").alias("first"))
     keys = first.select(row_key(F.col("first.id"), F.col("first.h")).alias("_key"))
-    wide = docs.withColumn("_key", row_key(F.col(id_col), F.xxhash64(text_col)))
+    wide = packed(docs, id_col, text_col).select(row_key(F.col(id_col), F.xxhash64(text_col)).alias("_key"), ROW)
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return wide.join(keys, "_key", "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_key", "_nth")
+    return wide.join(keys, "_key", "left_semi").withColumn("_nth", nth).filter("_nth = 1").select(f"{ROW}.*")

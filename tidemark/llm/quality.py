@@ -22,7 +22,7 @@ Defined results: null text is empty; a text without n-grams has log weight 0;
 rows without id take their noise from the text; equal rows stay or go together,
 so k may be passed by rows that tie with the last; with no good label the
 weights are all equal and everything is kept; an empty table gives an empty
-result; columns named like a result are replaced.
+result; further columns are passed on by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import pieces, replace_columns, small_batches, uniform
+from tidemark.llm.common import ROW, packed, pieces, small_batches, uniform
 from tidemark.session import stage
 
 BUCKETS = 1 << 16
@@ -160,7 +160,7 @@ class Resampler:
         small_batches(spark)
         self.known = labels_of(labels, "quality")
         self.id_col, self.text_col = id_col, text_col
-        marked = self._marked(docs)
+        marked = self._marked(docs.select(id_col, text_col))
         counts = np.zeros((2, 2 * buckets), np.int64)
         for bucket, raw, good in _counts(marked.select("_text", F.col("_good") == 1), buckets).collect():  # 2 * buckets rows at most
             counts[:, bucket] = raw, good
@@ -210,8 +210,8 @@ class Resampler:
 
     def drawn(self, docs: DataFrame) -> DataFrame:
         """The documents that are kept, with all their columns; they are weighed again where they lie."""
-        docs = replace_columns(docs, "log_weight", "_key", "_good", "_text", "_label_id")
-        return self._weighed(self._marked(docs), [*docs.columns, "_key"]).filter(self.kept()).drop("_key", "log_weight")
+        rows = self._marked(packed(docs, self.id_col, self.text_col))
+        return self._weighed(rows, [ROW, "_key"]).filter(self.kept()).select(f"{ROW}.*")
 
 
 def kth_largest(values: DataFrame, k: int, bins: int = BINS) -> float | None:

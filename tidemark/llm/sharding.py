@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import replace_columns, row_key, uniform
+from tidemark.llm.common import ROW, packed, replace_columns, row_key, uniform
 from tidemark.session import stage
 
 SHARDS = 16
@@ -125,5 +125,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
 
     got = assign_shards(docs, shards, id_col, text_col)
     got = numbered(got.select(row_key(F.col("id"), F.col("h")).alias("_key"), "shard", "slot"))
-    wide = replace_columns(docs, "shard", "slot").withColumn("_key", row_key(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
-    return numbered(wide).join(got, "_row").drop("_row")
+    wide = packed(replace_columns(docs, "shard", "slot"), id_col, text_col)
+    wide = wide.select(row_key(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("_key"), ROW)
+    return numbered(wide).join(got, "_row").select(f"{ROW}.*", "shard", "slot")
