@@ -111,12 +111,12 @@ def spans(pieces: Column) -> Column:
     )
 
 
-def rebuild(pieces: Column, replacement) -> Column:
-    """The text with each block body replaced by ``replacement(piece)``."""
+def rebuild(pieces: Column, replacement, kept=lambda text: text) -> Column:
+    """The text with each block body replaced by ``replacement(piece)``, and ``kept`` of what is before it."""
     return F.array_join(
         F.transform(
             pieces,
-            lambda p: F.concat(p["gap"], F.when(p["body"].isNotNull(), F.concat(p["head"], replacement(p))).otherwise(F.lit(""))),
+            lambda p: F.when(p["body"].isNotNull(), F.concat(kept(F.concat(p["gap"], p["head"])), replacement(p))).otherwise(kept(p["gap"])),
         ),
         "",
     )

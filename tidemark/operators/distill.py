@@ -61,8 +61,12 @@ def _pieces(kinds: Kinds, text: Column) -> Column:
 def source_map(files: DataFrame, kinds: Kinds = B.CODE_KINDS, limit: int = fixed.UNIT_LIMIT) -> DataFrame:
     """One row per elided block of the original text; none for oversize or other files."""
     df = with_units(files, kinds, limit)
-    df = df.select("path", F.col("n_bytes").alias("file_size"), _pieces(kinds, F.col("text")).alias("_pieces"))
-    df = df.select("path", "file_size", F.posexplode(B.spans(F.col("_pieces"))).alias("pos", "_span"))
+    return span_rows(df.select("path", "n_bytes", B.spans(_pieces(kinds, F.col("text"))).alias("spans")))
+
+
+def span_rows(cut_files: DataFrame) -> DataFrame:
+    """One row per span of (path, n_bytes, spans)."""
+    df = cut_files.select("path", F.col("n_bytes").alias("file_size"), F.posexplode("spans").alias("pos", "_span"))
     return df.select("path", "pos", "_span.*", "file_size")
 
 
@@ -95,7 +99,7 @@ def block_replacements(
     )
 
 
-def skeletons(
+def cut(
     files: DataFrame,
     kinds: Kinds = B.CODE_KINDS,
     limit: int = fixed.UNIT_LIMIT,
@@ -103,37 +107,44 @@ def skeletons(
     literal: Literal = R.CODE_TOKENS,
     hot: int = fixed.HOT_LOOKUPS,
 ) -> DataFrame:
-    """Redact, then elide: (path, ext, n_bytes, skeleton, units, oversize).
-
-    ``literal`` is the tokens of each extension, or one pattern of literals for all
-    files. Files of other extensions pass through redacted. ``counts`` are lookups per
-    (path, symbol); they reach a file as one small map of its own blocks.
+    """Elide and redact: (path, ext, n_bytes, skeleton, units, oversize, spans).
+
+    A text is cut once. ``spans`` are its blocks' places in the original, and the
+    skeleton is made of the same pieces, so both hold the same blocks; what is kept
+    of a piece is redacted by itself, what is elided need not be. ``literal`` is
+    the tokens of each extension, or one pattern of literals for all files. Files of
+    other extensions pass through redacted. ``counts`` are lookups per (path,
+    symbol); they reach a file as one map.
     """
     df = with_units(files, kinds, limit)
     if counts is not None:
-        own = source_map(files, kinds, limit).select("path", "symbol")
         maps = (
-            counts.join(own, ["path", "symbol"], "left_semi")
+            counts.join(files.select("path"), "path", "left_semi")
             .groupBy("path")
             .agg(F.map_from_entries(F.collect_list(F.struct("symbol", "n_lookups"))).alias("_counts"))
         )
         df = df.join(maps, "path", "left")
-    df = df.withColumn("_safe", redacted(F.col("text"), F.col("ext"), literal))
-    df = df.withColumn("_pieces", _pieces(kinds, F.col("_safe")))
+    df = df.withColumn("_pieces", _pieces(kinds, F.col("text")))
+    safe = lambda text: redacted(text, F.col("ext"), literal)
 
     def replacement(p: Column) -> Column:
         plain = B.placeholder(F.col("ext"))
         if counts is None:
             return plain
         n = F.coalesce(F.try_element_at(F.col("_counts"), p["symbol"]), F.lit(0))
-        return F.when(n >= hot, B.first_lines(p["body"])).otherwise(F.concat(plain, B.hint(n, hot)))
+        return F.when(n >= hot, B.first_lines(safe(p["body"]))).otherwise(F.concat(plain, B.hint(n, hot)))
 
     text = (
         F.when(F.col("oversize"), B.oversize_summary(F.col("path"), F.col("units"), F.col("n_bytes"), limit))
-        .when(F.col("_pieces").isNotNull(), B.rebuild(F.col("_pieces"), replacement))
-        .otherwise(F.col("_safe"))
+        .when(F.col("_pieces").isNotNull(), B.rebuild(F.col("_pieces"), replacement, safe))
+        .otherwise(safe(F.col("text")))
     )
-    return df.select("path", "ext", "n_bytes", text.alias("skeleton"), "units", "oversize")
+    return df.select("path", "ext", "n_bytes", text.alias("skeleton"), "units", "oversize", B.spans(F.col("_pieces")).alias("spans"))
+
+
+def skeletons(files: DataFrame, *args, **options) -> DataFrame:
+    """(path, ext, n_bytes, skeleton, units, oversize) of ``cut``."""
+    return cut(files, *args, **options).drop("spans")
 
 
 def split_small(skeletons: DataFrame, limit: int = fixed.SMALL_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -42,17 +42,18 @@ def distill(
 ) -> Distilled:
     """Large skeletons keep their own key; small ones are packed in path order.
 
-    Skeletons are written once with their byte counts; packing then reads paths
-    and counts only, and its result is written once too, so small texts are
+    A file is cut once: skeletons are written with their byte counts and the spans of
+    their blocks, which give the source map. Packing reads paths and counts
+    only, and its result is written once too, so small texts are
     shuffled to their places and to their buckets and no further. ``shard``
     becomes part of the bucket keys. With ``root``, files outside it are rejected.
     """
     rejects = None
     if root is not None:
         files, rejects = D.inside_root(files, root)
-    sk = D.skeletons(files, kinds, limit, counts, literal)
+    sk = D.cut(files, kinds, limit, counts, literal)
     sk = sk.select(
-        "path", "ext", "n_bytes", "skeleton", "units", "oversize",
+        "path", "ext", "n_bytes", "skeleton", "units", "oversize", "spans",
         B.size(F.col("skeleton")).alias("skeleton_bytes"),
         B.size(P.entry_text(F.col("path"), F.col("skeleton"))).alias("entry_bytes"),
     )
@@ -79,4 +80,4 @@ def distill(
         packed.select("path", key.alias("key"), "pos", "entry_bytes", "units", "oversize")
     )
     sizes = sk.select("path", "n_bytes", "skeleton_bytes", "units", "oversize")
-    return Distilled(skeletons, members, D.source_map(files, kinds, limit), sizes, rejects)
+    return Distilled(skeletons, members, D.span_rows(sk), sizes, rejects)
