@@ -226,4 +226,33 @@ def test_scanners_are_linear(name, part):
         return time.perf_counter() - start
 
     assert seconds(20_000) < 2
-    assert seconds(40_000) < 2.5 * max(seconds(20_000), 0.2)
+    # the best of a few runs: other work on the machine only adds
+    least = lambda n: min(seconds(n) for _ in range(4))
+    assert least(40_000) < 2.5 * max(least(20_000), 0.2)
+
+
+PROBES = [
+    ("a.js", "// use ` here\nfunction token() { return 'it' }\n// and ` there\nlet password = /* it's */ 'hunter2';\n"),
+    ("b.py", "# it's the password = 'hunter2'\nx = 1  # `a\ndef f(a):\n    # don't\n    token = 'hunter2'\n    return a\n\ny = 2  # `b\n"),
+    ("c.ts", "const secret = 'hunter2'; class A { m() { return /['\"]/ } }\n// it's\nfunction g() { return `${1}` }\n"),
+]
+
+
+def test_skeletons_and_spans_hold_the_same_blocks(spark):
+    files = spark.createDataFrame([(p, p.split(".")[1], t, len(t.encode())) for p, t in PROBES], "path string, ext string, text string, n_bytes long")
+    spans = {}
+    for r in D.source_map(files).collect():
+        spans.setdefault(r.path, []).append((r.original_start, r.original_end))
+    made = {r.path: r for r in D.cut(files).collect()}
+    for path, text in PROBES:
+        assert [(s.original_start, s.original_end) for s in made[path].spans] == sorted(spans[path])
+        skeleton, at, data = made[path].skeleton, 0, text.encode()
+        assert "hunter2" not in skeleton
+        mark = " pass" if path.endswith("py") else " ..."
+        assert skeleton.replace("password", "").count(mark) == len(spans[path])
+        # what is between the blocks is in the skeleton, but for the secret values
+        for a, b in [*sorted(spans[path]), (len(data), len(data))]:
+            kept = data[at:a].decode().replace("'hunter2'", '"[REDACTED]"')
+            assert kept in skeleton
+            at = b
+    assert "function token()" in made["a.js"].skeleton and "x = 1  # `a" in made["b.py"].skeleton

@@ -66,7 +66,10 @@ def test_status_versions(spark, tmp_path, fold_every):
         rows = spark.createDataFrame([(v % 4, v, v, f"s{v}")], "session_id long, t_us long, event_id long, status string")
         T.write_status(rows, root, v, fold_every)
     assert {r.session_id: r.status for r in T.read_status(spark, root).collect()} == {0: "s4", 1: "s5", 2: "s6", 3: "s3"}
-    assert T.read_status(spark, root, before=2).count() == 2
+    kept = sorted(int(p.name[1:]) for p in (tmp_path / "s" / "status").iterdir() if p.name.startswith("v"))
+    assert kept == {1: [5, 6], 3: [3, 4, 5, 6], 100: list(range(7))}[fold_every]
+    T.write_status(rows, root, 6, fold_every)  # the last batch again
+    assert {r.session_id: r.status for r in T.read_status(spark, root).collect()} == {0: "s4", 1: "s5", 2: "s6", 3: "s3"}
 
 
 def test_payload_files_as_a_stream(spark, tmp_path):

@@ -2,7 +2,8 @@
 
 A version holds the sessions of one batch; every ``fold_every``-th one is a base
 that holds all sessions. The row in ``versions`` is written last, so a version
-is seen as a whole or not at all, and a repeated batch overwrites its own.
+is seen as a whole or not at all, and a repeated batch overwrites its own. A base
+makes the versions before the last base superfluous; they are deleted.
 """
 
 from __future__ import annotations
@@ -54,12 +55,27 @@ def write_status(rows: DataFrame, root: str, version: int, fold_every: int = FOL
     spark = rows.sparkSession
     kind = rows.schema["session_id"].dataType.simpleString()
     rows = rows.select("session_id", "t_us", "event_id", "status")
-    base = version % fold_every == 0
+    base, before = version % fold_every == 0, []
     if base:
+        before = _versions(spark, root, version)
         rows = rows.unionByName(read_status(spark, root, before=version, kind=kind))
     _latest(rows).write.mode("overwrite").parquet(f"{root}/status/v{version}")
     done = spark.range(1).select(F.lit(base).alias("base")).coalesce(1)
     done.write.mode("overwrite").parquet(f"{root}/versions/version={version}")
+    if before:
+        _forget(spark, root, before[0])
+
+
+def _forget(spark: SparkSession, root: str, before: int) -> None:
+    """Delete the versions below ``before``; their rows in ``versions`` first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder, name in ((f"{root}/versions", "version="), (f"{root}/status", "v")):
+        for entry in fs.listStatus(path(folder)):
+            at = entry.getPath()
+            number = at.getName().removeprefix(name)
+            if number.isdigit() and int(number) < before:
+                fs.delete(at, True)
 
 
 def start_sessions(sessions: DataFrame) -> DataFrame:
