@@ -497,23 +497,26 @@ def _all_pairs(met: DataFrame) -> DataFrame:
 def alike_roots(entries: DataFrame, sets: Alike, stars: int = STARS) -> DataFrame:
     """(a, root) of the nodes linked by a similarity of ``like`` or more, but the roots.
 
-    ``entries`` (key, node, n, at) are the places of shingles in prefixes. In
-    each of the first rounds the nodes of a key are compared with one of them;
-    the last compares all that share a key and are not in one group yet. What has
-    been compared is not compared again, and a large group of like texts is
-    settled by stars, not by its pairs.
+    ``entries`` (key, node, n, at, degree) are the places of shingles in prefixes.
+    In each of the first rounds the nodes of a key are compared with one of them:
+    first the one that meets most others over all its keys, which in a group of
+    edited copies is the least edited and like most of them, then the one of the
+    smallest group left. The last round compares all that share a key and are not
+    in one group yet. What has been compared is not compared again, and a large
+    group of like texts is settled by stars, not by its pairs.
     """
     spark = entries.sparkSession
     links, tested = [], []
     roots = spark.createDataFrame([], "a bigint, root bigint")
     for k in range(stars + 1):
-        places = entries.select("key", "node", "n", "at")
-        rows = places.join(roots, places["node"] == roots["a"], "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-        open_ = rows.groupBy("key").agg(
-            F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "n", "at", "root")).alias("c"),
-            F.count("*").alias("k"),
-        ).filter("x <> y").select("key", "c", "k")
-        met = stage(rows.join(open_, "key").select("key", "node", "n", "at", "root", "c", "k"), "open-keys")
+        places = entries.select("key", "node", "n", "at", "degree")
+        rows = places.join(roots, places["node"] == roots["a"], "left").select(*places.columns, F.coalesce("root", "node").alias("root"))
+        best = F.max(F.struct("degree", F.xxhash64("node", F.lit(k)).alias("by"), "node", "n", "at", "root"))
+        groups = rows.groupBy("key", "root").agg(F.count("*").alias("size"), best.alias("best"))
+        centre = F.min(F.struct("size", "root", "best"))["best"] if k else F.max("best")
+        open_ = groups.groupBy("key").agg(F.sum("size").alias("k"), F.count("*").alias("groups"), centre.alias("c"))
+        open_ = open_.filter("groups > 1").select("key", "k", "c")
+        met = stage(rows.join(open_, "key").select(*places.columns, "root", "c", "k"), "open-keys")
         release(entries)
         entries = met
         if met.isEmpty():
@@ -523,8 +526,8 @@ def alike_roots(entries: DataFrame, sets: Alike, stars: int = STARS) -> DataFram
         else:
             y = _all_pairs(met)
         pairs = y.filter(_can_link("x", "y", sets.like)).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
         tested.append(stage(pairs, "pairs"))
         links.append(sets.links(tested[-1]))
         roots = components(reduce(DataFrame.union, links))
@@ -548,8 +551,11 @@ def alike(docs: DataFrame, id_col: str, text_col: str, width: int, like: tuple[i
     whole = stage(found.withColumn("node", F.monotonically_increasing_id()), "points")  # small numbers take little room in a shuffle
     free_shuffles(spark)
     entries = whole.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    entries = stage(entries.join(shared, "key").select("key", "node", "n", "at"), "shared")
+    shared = entries.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
+    met = stage(entries.join(shared, "key").select("key", "node", "n", "at", "k"), "shared")
+    degrees = met.groupBy("node").agg(F.sum("k").alias("degree"))
+    entries = stage(met.drop("k").join(degrees, "node"), "places")
+    release(met)
     points = stage(whole.select("node", "least", "n", "spread"), "sizes")
     release(whole)
     free_shuffles(spark)
