@@ -151,7 +151,7 @@ def test_files_that_nobody_asks_for_are_not_opened(spark, tmp_path):
         if i != 3:  # a file that is opened now fails the query
             (tmp_path / f"a b+{i}.py").unlink()
     got = {(r.path, r.symbol): r.block for r in H.rehydrate_blocks(asked, spans, files).collect()}
-    assert got == {("a b+3.py", "f"): "return 3\n", ("a b+4.py", "g"): None, ("none.py", "f"): None}
+    assert got == {("a b+3.py", "f"): "return 3", ("a b+4.py", "g"): None, ("none.py", "f"): None}
     many = H.rehydrate_blocks(asked, spans, files, few=0)
     assert "Semi" in initial(many)
 
