@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -170,7 +171,7 @@ def test_block_max_search_is_exact():
         order = order[scores[order] > 0]
         assert list(near) == list(order) and np.allclose(cosine, scores[order])
         visited += blocks
-    assert visited < 100 * len(index.block_max[0])  # some blocks were skipped
+    assert visited < 100 * index.n_blocks  # some blocks were skipped
 
 
 def test_toxicity_on_held_out_labels(spark, sf_dir):
@@ -181,6 +182,74 @@ def test_toxicity_on_held_out_labels(spark, sf_dir):
     assert sum(a == b for a, b in seen) / len(seen) > 0.93
 
 
+def test_toxicity_against_brute_force(spark, edge_docs, edge_labels):
+    """Scores and evidence from the texts alone: all terms of the examples, dense vectors, every example compared."""
+    rows = edge_docs.select("doc_id", "text").collect()
+    labels = {}
+    for r in edge_labels.collect():
+        if r["doc_id"] is not None and r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            labels[r["doc_id"]] = max(labels.get(r["doc_id"], 0), r["toxic"])
+    text_of = {r["doc_id"]: r["text"] for r in rows if r["doc_id"] in labels}
+    ids = sorted(text_of)
+    toxic = np.array([labels[i] for i in ids])
+    sets = [X.text_terms(text_of[i]) for i in ids]
+    seen = Counter(t for s in sets for t in s)
+    bad = Counter(t for s, y in zip(sets, toxic) for t in s if y)
+    often = [t for t in seen if seen[t] >= X.SEEN]
+    bar, n1, n = 2 * math.log(len(often)) + X.MARGIN, int(toxic.sum()), len(ids)
+
+    def told(t):
+        cells = [(bad[t], seen[t] * n1), (seen[t] - bad[t], seen[t] * (n - n1)), (n1 - bad[t], (n - seen[t]) * n1), (n - n1 - seen[t] + bad[t], (n - seen[t]) * (n - n1))]
+        return min(2 * sum(o * math.log(o * n / e) for o, e in cells if o > 0) / bar, 1) if seen[t] >= X.SEEN else 0
+
+    plain = [t for t in seen if b"#" not in t and not t.startswith(b"^")]
+    chosen = sorted(plain + [t for t in often if t not in plain and told(t) >= 1])
+    sets = [X.text_terms(r["text"]) for r in rows]
+    df = Counter(t for s in sets for t in s)
+    idf = np.array([(math.log((1 + len(rows)) / (1 + df[t])) + 1) * (X.FLOOR + (1 - X.FLOOR) * told(t) ** 2) for t in chosen])
+
+    def dense(text):
+        own = Counter(t for w in words(text) for t in X.terms(w.encode()))
+        tf = np.array([own[t] if b"#" not in t else float(own[t.split(b"#")[0]] >= int(t.split(b"#")[1])) for t in chosen])
+        w = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * idf
+        return w / (np.sqrt((w * w).sum()) or 1)
+
+    examples = np.stack([dense(text_of[i]) for i in ids])
+    got = sorted(X.score_toxicity(edge_docs, edge_labels).collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["score"]))
+    assert len(got) == len(rows)
+    texts = {r["doc_id"]: r["text"] for r in rows if r["doc_id"] is not None}
+    label = {str(i): y for i, y in labels.items()}
+    for r in got:
+        if r["id"] is None:
+            continue
+        cosine = np.sort(examples @ dense(texts[r["id"]]))[::-1][:X.K]
+        assert np.allclose([e["cosine"] for e in r["evidence"]], cosine[cosine > 0])
+        assert all(e["toxic"] == label[e["id"]] for e in r["evidence"])
+        own = next((e for e in r["evidence"] if e["id"] == str(r["id"])), None)
+        assert r["id"] not in text_of or not texts[r["id"]] or own is None or abs(own["cosine"] - 1) < 1e-9
+    votes = {}
+    for r in got:  # the score is one rising curve of the vote
+        if r["evidence"]:
+            w = [e["cosine"] / max(1 - e["cosine"], 0.05) for e in r["evidence"]]
+            votes[sum(x * e["toxic"] for x, e in zip(w, r["evidence"])) / sum(w)] = r["score"]
+    scores = [votes[v] for v in sorted(votes)]
+    assert scores == sorted(scores) or scores == sorted(scores, reverse=True)
+
+
+def test_copy_of_an_example_without_telling_words_is_found(spark):
+    rng = random.Random(4)
+    body = lambda: " ".join(f"w{rng.randint(0, 400)}" for _ in range(40))
+    texts = {i: body() for i in range(200)}
+    ids = [i for i in texts if zlib.crc32(str(i).encode()) % 5]
+    copied = ids[0]
+    docs = spark.createDataFrame([*texts.items(), (1000, texts[copied]), (1001, ""), (1002, "zzz")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i == copied)) for i in texts], "doc_id bigint, toxic int")
+    got = {r["id"]: r for r in X.score_toxicity(docs, labels).collect()}
+    best = got[1000]["evidence"][0]
+    assert best["id"] == str(copied) and abs(best["cosine"] - 1) < 1e-9 and best["toxic"] == 1
+    assert got[1001]["evidence"] == [] == got[1002]["evidence"]
+
+
 def test_toxicity_edges(edge_docs, edge_labels, no_docs, no_labels):
     assert X.score_toxicity(edge_docs, edge_labels).count() == edge_docs.count()
     assert X.score_toxicity(no_docs, edge_labels).count() == 0
@@ -189,7 +258,7 @@ def test_toxicity_edges(edge_docs, edge_labels, no_docs, no_labels):
 
 def test_terms_of_words_and_repeats():
     v = X.Vocabulary([b"idiot", b"^idio", b"idiot#2", b"clown#3"])
-    assert v.counts("Idiot, idiotic! IDIOT") == {0: 2, 1: 3, 2: 1}
+    assert v.counts("Idiot, idiotic! IDIOT") == {0: 2, 1: 3, 2: 1} and v.counts("idiotic other") == {1: 1}
     assert v.counts("clown clown") == {} and v.counts("clown clown%%% clown") == {3: 1} and v.counts(None) == {}
 
 

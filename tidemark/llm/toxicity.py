@@ -1,25 +1,29 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled documents, toxic and other. Words and
-beginnings of words that tell the two apart make the vocabulary (likelihood ratio
-over the sample, above what the best of so many terms would reach by chance); their document frequencies are counted over all documents. Each
-text becomes a TF-IDF vector over these terms, and its ``K`` nearest examples by cosine are found
-exactly in an inverted index whose postings are cut into blocks of examples,
-each with its largest weight per word. The query's bound of a block is the sum
-of its weights times these maxima; blocks are visited from the largest bound on,
-and the rest are skipped once the bound is below the K-th best cosine.
+Examples are a bounded sample of labelled documents, toxic and other. Every word
+of theirs is a term, and so are beginnings of words and marks of repetition that
+tell the classes apart; document frequencies are counted over all documents. A
+term weighs its inverse document frequency times how far it tells the classes
+apart (likelihood ratio over the examples, against what the best of so many terms
+would reach by chance; ``FLOOR`` if not at all). Each text becomes a TF-IDF vector
+over these terms, and its ``K`` nearest examples by cosine are found exactly in an
+inverted index whose postings are cut into blocks of examples, each with its
+largest weight per term. The query's bound of a block is the sum of its weights
+times these maxima; blocks are visited from the largest bound on, and the rest
+are skipped once the bound is below the K-th best cosine.
 
 The neighbours vote by closeness. A logistic curve fitted on the votes that the
 examples get from each other turns votes into chances; texts with no term of the
-vocabulary have no neighbours and get the share of toxic ones among such
-examples. Sampling of examples is by class, so votes are weighed back to the
-classes' true shares.
-
-Defined results: null and empty texts have no words; labels that disagree count
-as toxic; null labels and ids teach nothing; ties among neighbours go to the
-example that comes first; repeated rows are repeated; without labels of both
-kinds every score is the share of toxic labels, 0 if there are none; an empty
-table gives an empty result.
+examples have no neighbours and get the share of toxic ones among such examples.
+Sampling of examples is by class, so votes are weighed back to the classes' true
+shares.
+
+Defined results: null and empty texts have no words; texts of any length are read
+whole, a megabyte at a time; labels that disagree count as toxic; of rows with
+one id the smallest text is the example; null labels and ids teach nothing; ties
+among neighbours go to the example that comes first; repeated rows are repeated;
+further columns are not read; without labels of both kinds every score is the
+share of toxic labels, 0 if there are none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +44,17 @@ from tidemark.llm.quality import fit_curve
 from tidemark.session import stage
 
 EXAMPLES = 3000  # of each class at most
-WORDS = 4096  # of the vocabulary at most
+DERIVED = 4096  # beginnings and marks at most, those that tell most
 MARGIN = 4.0
-SEEN = 3  # examples a term must be in
+SEEN = 3  # examples a term must be in to tell the classes apart
 K = 15
 BLOCK = 64
+FLOOR = 0.03  # weight of a term that tells nothing of the classes
 HELD_OUT = 5
 PREFIXES = (4, 5, 6, 7)  # bytes
 REMEMBERED = 200_000  # words
 TIMES = (1, 2, 3)
+FIRST_BLOCKS = 4  # visited at once, then twice as many each time
 
 
 def terms(word: bytes) -> list[bytes]:
@@ -71,45 +78,68 @@ def text_terms(text: str | None) -> set[bytes]:
 
 
 class Vocabulary:
-    """Numbers of the terms that count; remembers the terms of frequent words."""
+    """Numbers of the terms; remembers the terms of frequent words."""
 
     def __init__(self, chosen: list[bytes]):
-        self.size, self.known = len(chosen), {}
-        self.number: dict[bytes, list[tuple[int, int]]] = {}  # term -> (times, number)
+        self.size = len(chosen)
+        self.plain: dict[bytes, int] = {}  # word -> number
+        self.derived: dict[bytes, list[tuple[int, int]]] = {}  # beginning or repeated term -> (times, number)
+        self.known: dict[bytes, tuple[int, list[bytes]]] = {}
         for i, t in enumerate(chosen):
-            base, _, times = t.partition(b"#")
-            self.number.setdefault(base, []).append((int(times or 1), i))
+            base, mark, times = t.partition(b"#")
+            if mark or t.startswith(b"^"):
+                self.derived.setdefault(base, []).append((int(times or 1), i))
+            else:
+                self.plain[t] = i
 
     def __len__(self) -> int:
         return self.size
 
-    def of(self, word: bytes) -> list[bytes]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[word] = [t for t in terms(word) if t in self.number]
+    def of(self, word: bytes) -> tuple[int, list[bytes]]:
+        """The word's own number (-1: none) and the derived terms it counts for."""
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        found = self.known[word] = self.plain.get(word, -1), [t for t in terms(word) if t in self.derived]
         return found
 
     def counts(self, text: str | None) -> Counter:
         """How often each term is in a text: number of the term -> count."""
-        seen: Counter = Counter()
+        seen, derived, known = Counter(), Counter(), self.known
         for piece in pieces((text or "").encode().translate(WORD_BYTES), b" "):
             for word, n in Counter(piece.split()).items():
-                for t in self.of(word):
-                    seen[t] += n
-        return Counter({i: n if k == 1 else 1 for t, n in seen.items() for k, i in self.number[t] if n >= k})
+                number, more = known.get(word) or self.of(word)
+                if number >= 0:
+                    seen[number] += n
+                for t in more:
+                    derived[t] += n
+        for t, n in derived.items():
+            for times, i in self.derived[t]:
+                if n >= times:
+                    seen[i] = n if times == 1 else 1
+        return seen
+
+
+def spans(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all spans that start at ``at``, one span after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + sizes, sizes)
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of examples (unit TF-IDF vectors)."""
+    """Block-max inverted index of examples (unit TF-IDF vectors).
+
+    A cell is the postings of one term in one block; empty cells are not kept.
+    """
 
-    idf: np.ndarray
-    example: np.ndarray
+    idf: np.ndarray  # weight of a term
+    example: np.ndarray  # postings by term, then example
     weight: np.ndarray
-    block_at: np.ndarray  # first posting of word w in block b: block_at[w, b]
-    block_max: np.ndarray  # largest weight of word w in block b
+    cell_at: np.ndarray  # first posting of a cell
+    cell_block: np.ndarray
+    cell_max: np.ndarray  # largest weight in a cell
+    term_at: np.ndarray  # first cell of a term
+    n_blocks: int
     ids: np.ndarray
     toxic: np.ndarray
     prior: np.ndarray  # weight of an example of its class
@@ -127,36 +157,44 @@ class Index:
         example = np.repeat(np.arange(len(rows)), [len(w) for w, _ in rows])
         by = np.lexsort((example, word))
         word, weight, example = word[by], weight[by], example[by]
-        cell = word * n_blocks + example // block
-        block_at = np.searchsorted(cell, np.arange(len(idf) * n_blocks + 1))
-        block_max = np.zeros(len(idf) * n_blocks)
-        np.maximum.at(block_max, cell, weight)
-        at = np.arange(len(idf))[:, None] * n_blocks + np.arange(n_blocks + 1)[None, :]
-        return cls(idf, example, weight, block_at[at], block_max.reshape(len(idf), n_blocks), np.asarray(ids), toxic, prior, k=k, block=block)
+        cells, first = np.unique(word * n_blocks + example // block, return_index=True)
+        cell_max = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        term_at = np.searchsorted(cells // n_blocks, np.arange(len(idf) + 1))
+        return cls(
+            idf, example.astype(np.int32), weight, np.append(first, len(word)), (cells % n_blocks).astype(np.int32), cell_max, term_at, n_blocks,
+            np.asarray(ids), toxic, prior, k=k, block=block,
+        )
 
     def nearest(self, vector: Counter, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """The k examples with the largest cosine above 0, the cosines, and the blocks visited."""
         words, weights = unit_vector(vector, self.idf)
+        best, cosine, visited = np.zeros(0, np.int64), np.zeros(0), 0
         if not len(words):
-            return np.zeros(0, np.int64), np.zeros(0), 0
-        bound = weights @ self.block_max[words]
-        size, visited = self.block, 0
-        best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == self.k and bound[b] < cosine[-1] - 1e-12):
-                break
-            visited += 1
-            sums = np.zeros(size)
-            for w, x in zip(words, weights):
-                lo, hi = self.block_at[w, b], self.block_at[w, b + 1]
-                if lo < hi:
-                    sums[self.example[lo:hi] - b * size] += x * self.weight[lo:hi]
-            if skip // size == b and skip >= 0:
-                sums[skip % size] = 0
-            some = np.flatnonzero(sums > 0)
-            ids, cs = np.r_[best, some + b * size], np.r_[cosine, sums[some]]
+            return best, cosine, visited
+        n_cells = self.term_at[words + 1] - self.term_at[words]
+        cells, x = spans(self.term_at[words], n_cells), np.repeat(weights, n_cells)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, x * self.cell_max[cells], self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        place = np.full(self.n_blocks, self.n_blocks)
+        place[order] = np.arange(len(order))
+        at = place[block]
+        step = FIRST_BLOCKS
+        while visited < len(order) and not (len(best) == self.k and bound[order[visited]] < cosine[-1] - 1e-12):
+            mine = np.flatnonzero((at >= visited) & (at < visited + step))
+            first = self.cell_at[cells[mine]]
+            sizes = self.cell_at[cells[mine] + 1] - first
+            postings = spans(first, sizes)
+            sums = np.bincount(self.example[postings], np.repeat(x[mine], sizes) * self.weight[postings])
+            if 0 <= skip < len(sums):
+                sums[skip] = 0
+            some = np.flatnonzero(sums > (cosine[-1] - 1e-9 if len(best) == self.k else 0))
+            ids, cs = np.r_[best, some], np.r_[cosine, sums[some]]
             top = np.lexsort((ids, -np.round(cs, 12)))[:self.k]
             best, cosine = ids[top], cs[top]
+            visited = min(visited + step, len(order))
+            step *= 2
         return best, cosine, visited
 
     def vote(self, vector: Counter, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
@@ -167,9 +205,8 @@ class Index:
         w = cosine * self.prior[near] / np.maximum(1 - cosine, 0.05)
         return float((w * self.toxic[near]).sum() / w.sum()), near, cosine
 
-    def calibrate(self, vectors: list[Counter]) -> None:
+    def calibrate(self, votes: list[float | None]) -> None:
         """Fit the curve on votes that leave the example itself out."""
-        votes = [self.vote(v, skip=i)[0] for i, v in enumerate(vectors)]
         some = np.array([v is not None for v in votes], bool)
         repeats = np.maximum(np.round(self.prior / max(self.prior.min(initial=1.0), 1e-9)), 1).astype(int)
         if some.any():
@@ -188,12 +225,16 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(slope * vote + offset, -30, 30)))), near, cosine
 
 
-def unit_vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and weights of a TF-IDF vector of length 1."""
-    if not counts:
+def unit_vector(counts: Counter | tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and weights of a TF-IDF vector of length 1, from counts or from (terms, counts)."""
+    if isinstance(counts, Counter):
+        counts = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
+    words, times = counts
+    if not len(words):
         return np.zeros(0, np.int64), np.zeros(0)
-    words = np.array(sorted(counts), np.int64)
-    w = (1 + np.log(np.array([counts[i] for i in words], float))) * idf[words]
+    by = np.argsort(words)
+    words = words[by]
+    w = (1 + np.log(times[by])) * idf[words]
     return words, w / np.sqrt((w * w).sum())
 
 
@@ -210,25 +251,28 @@ def _examples(texts: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame
     order = F.xxhash64("id", F.lit("example"))
     picked = [known.filter(F.col("toxic") == c).orderBy(order, "id").limit(most) for c in (0, 1)]
     rows = texts.join(F.broadcast(picked[0].union(picked[1])), "id")  # 2 * most rows of two numbers
-    return stage(rows.dropDuplicates(["id"]), "examples"), sizes
+    return stage(rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("id", "text", "toxic"), "examples"), sizes
 
 
-def _vocabulary(examples: DataFrame, words: int, margin: float) -> list[bytes]:
-    """Terms whose presence goes with a class, by the likelihood ratio over the examples."""
+def _vocabulary(examples: DataFrame, derived: int, margin: float) -> tuple[list[bytes], np.ndarray]:
+    """All words of the examples and the derived terms that tell the classes apart, and the weight of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = text_terms(text)
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([toxic] * len(found), pa.int32())], names=["word", "toxic"])
+                found = list(text_terms(text))
+                plain = [not t.startswith(b"^") and b"#" not in t for t in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.binary()), pa.array([toxic] * len(found), pa.int32()), pa.array(plain, pa.bool_())], names=["word", "toxic", "plain"]
+                )
 
     sizes = {r[0]: r[1] for r in examples.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return []
-    seen = examples.select("text", "toxic").mapInArrow(run, "word binary, toxic int")
-    seen = seen.groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("n"))
-    seen = stage(seen.filter(F.col("n") >= SEEN), "terms")
+        return [], np.zeros(0)
+    seen = examples.select("text", "toxic").mapInArrow(run, "word binary, toxic int, plain boolean")
+    seen = seen.groupBy("word", "plain").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("n"))
+    seen = stage(seen.filter((F.col("n") >= SEEN) | F.col("plain")), "terms")
     share = n1 / (n0 + n1)
     a, b, n = F.col("a"), F.col("n") - F.col("a"), F.col("n")
 
@@ -237,59 +281,79 @@ def _vocabulary(examples: DataFrame, words: int, margin: float) -> list[bytes]:
 
     inside = part(a, n * share) + part(b, n * (1 - share))
     outside = part(n1 - a, (n0 + n1 - n) * share) + part(n0 - b, (n0 + n1 - n) * (1 - share))
-    least = 2 * math.log(max(seen.count(), 1)) + margin
-    good = seen.withColumn("g", 2 * (inside + outside)).filter(F.col("g") >= least)
-    return [bytes(r["word"]) for r in good.orderBy(F.desc("g"), "word").limit(words).collect()]
+    bar = 2 * math.log(max(seen.filter(n >= SEEN).count(), 1)) + margin
+    told = seen.withColumn("told", F.when(n >= SEEN, 2 * (inside + outside) / bar).otherwise(0.0)).select("word", "plain", "told")
+    best = told.filter(~F.col("plain") & (F.col("told") >= 1)).orderBy(F.desc("told"), "word").limit(derived)
+    got = told.filter("plain").union(best).orderBy("word").toArrow()  # as many rows as the examples have words
+    return got.column("word").to_pylist(), FLOOR + (1 - FLOOR) * np.clip(got.column("told").to_numpy(), 0, 1) ** 2
 
 
-def _document_frequency(texts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+def _document_frequency(texts: DataFrame, shared: Broadcast) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and all documents, counted over the whole table."""
+    size = len(shared.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(vocabulary) + 1, np.int64)
+        df = np.zeros(size + 1, np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
-                df[list(vocabulary.counts(text))] += 1
+                df[list(shared.value.counts(text))] += 1
             df[-1] += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["word", "n"])
-
-    rows = texts.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(vocabulary) + 1, np.int64)
-    for w, n in rows:
-        df[w] = n
+        met = np.flatnonzero(df)
+        for at in range(0, len(met), 10_000):
+            m = met[at:at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(df[m])], names=["word", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1, np.int64)
+    df[rows.column("word").to_numpy()] = rows.column("n").to_numpy()
     return df[:-1], int(df[-1])
 
 
+def _votes(docs: DataFrame, index: Index, vectors: list) -> list[float | None]:
+    """The vote on each example, itself left out, computed in tasks."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((index, vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, known = shared.value
+        for b in batches:
+            votes = [ix.vote(known[i], skip=i)[0] for i in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
+
+    return [r["vote"] for r in sorted(spark.range(len(vectors)).mapInArrow(run, "id bigint, vote double").collect())]
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES,
-    words: int = WORDS, margin: float = MARGIN, k: int = K,
+    derived: int = DERIVED, margin: float = MARGIN, k: int = K,
 ) -> tuple[Vocabulary, Index]:
-    """Vocabulary and calibrated index; what reaches the driver is bounded by examples and words."""
+    """Vocabulary and calibrated index; what reaches the driver is bounded by the examples' texts."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows, sizes = _examples(texts, labels, examples)
-    vocabulary = Vocabulary(_vocabulary(rows, words, margin))
-    df, n = _document_frequency(texts, vocabulary)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    chosen, told = _vocabulary(rows, derived, margin)
+    vocabulary = Vocabulary(chosen)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    df, n = _document_frequency(texts, shared)
+    idf = (np.log((1 + n) / (1 + df)) + 1) * told
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [vocabulary.counts(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
-                names=["id", "toxic", "words", "counts"],
-            )
+            counts = [shared.value.counts(t) for t in b.column(1).to_pylist()]
+            lists = [pa.array([list(f(c)) for c in counts], pa.list_(pa.int32())) for f in (Counter.keys, Counter.values)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], names=["id", "toxic", "words", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("id", "text", "toxic").mapInArrow(run, f"id {kind}, toxic int, words array<int>, counts array<int>")
-    got = sorted(got.collect(), key=lambda r: (sorted(r["words"]), str(r["id"])))  # like examples share blocks, so bounds are tight
-    toxic = np.array([r["toxic"] for r in got], np.int64)
+    got = rows.mapInArrow(run, f"id {kind}, toxic int, words array<int>, counts array<int>").toArrow()
+    vectors = [(w.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(float)) for w, c in zip(got.column("words"), got.column("counts"))]
+    ids, toxic = got.column("id").to_pylist(), got.column("toxic").to_numpy().astype(np.int64)
+    # like examples share blocks, so bounds are tight: those of the same heaviest terms
+    order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][np.lexsort((vectors[i][0], -idf[vectors[i][0]]))[:3]].tolist(), str(ids[i])))
+    vectors, ids, toxic = [vectors[i] for i in order], [ids[i] for i in order], toxic[order]
     share = {c: sizes.get(c, 0) / max(int((toxic == c).sum()), 1) for c in (0, 1)}
     prior = np.where(toxic == 1, share[1], share[0]).astype(float)
-    vectors = [Counter(dict(zip(r["words"], r["counts"]))) for r in got]
-    index = Index.build(vectors, idf, [r["id"] for r in got], toxic, prior, k)
-    index.calibrate(vectors)
-    vocabulary.known.clear()
+    index = Index.build(vectors, idf, ids, toxic, prior, k)
+    index.calibrate(_votes(docs, index, vectors))
     return vocabulary, index
 
 
