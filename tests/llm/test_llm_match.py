@@ -152,9 +152,11 @@ def test_quality_edges(edge_docs, edge_labels, no_docs, no_labels):
 
 def test_block_max_search_is_exact():
     rng = random.Random(6)
-    vectors = [Counter(rng.choices(range(30), k=rng.randint(0, 12))) for _ in range(300)]
+    vector = lambda most: tuple(np.array(x, np.int64) for x in zip(*Counter(rng.choices(spread, k=rng.randint(1, most))).items()))
+    none, spread = (np.zeros(0, np.int64),) * 2, [w for w in range(30) for _ in range(1 if w else 12)]
+    vectors = [vector(12) for _ in range(290)] + [none] * 10
     idf = np.array([1 + rng.random() * 3 for _ in range(30)])
-    index = X.Index.build(vectors, idf, list(range(300)), np.array([i % 2 for i in range(300)]), np.ones(300), k=7, block=16)
+    index = X.Index.build(vectors, idf, list(range(300)), np.array([i % 2 for i in range(300)]), np.ones(300), k=7, block=8)
 
     def dense(v):
         w = np.zeros(30)
@@ -164,10 +166,11 @@ def test_block_max_search_is_exact():
 
     all_ = np.stack([dense(v) for v in vectors])
     visited = 0
-    for v in [Counter(rng.choices(range(30), k=rng.randint(0, 9))) for _ in range(100)]:
-        near, cosine, blocks = index.nearest(v)
+    assert 0 < len(index.matrix) < 30
+    queries = [vector(9) for _ in range(95)] + [none] * 5
+    for v, (near, cosine, blocks) in zip(queries, index.search(queries)):
         scores = all_ @ dense(v)
-        order = np.lexsort((np.arange(300), -np.round(scores, 12)))[:7]
+        order = np.lexsort((np.arange(300), -np.round(scores, 10)))[:7]
         order = order[scores[order] > 0]
         assert list(near) == list(order) and np.allclose(cosine, scores[order])
         visited += blocks
@@ -223,10 +226,10 @@ def test_toxicity_against_brute_force(spark, edge_docs, edge_labels):
         if r["id"] is None:
             continue
         cosine = np.sort(examples @ dense(texts[r["id"]]))[::-1][:X.K]
-        assert np.allclose([e["cosine"] for e in r["evidence"]], cosine[cosine > 0])
+        assert np.allclose([e["cosine"] for e in r["evidence"]], cosine[cosine > 0], atol=1e-6)
         assert all(e["toxic"] == label[e["id"]] for e in r["evidence"])
         own = next((e for e in r["evidence"] if e["id"] == str(r["id"])), None)
-        assert r["id"] not in text_of or not texts[r["id"]] or own is None or abs(own["cosine"] - 1) < 1e-9
+        assert r["id"] not in text_of or not texts[r["id"]] or own is None or abs(own["cosine"] - 1) < 1e-6
     votes = {}
     for r in got:  # the score is one rising curve of the vote
         if r["evidence"]:
@@ -246,7 +249,7 @@ def test_copy_of_an_example_without_telling_words_is_found(spark):
     labels = spark.createDataFrame([(i, int(i == copied)) for i in texts], "doc_id bigint, toxic int")
     got = {r["id"]: r for r in X.score_toxicity(docs, labels).collect()}
     best = got[1000]["evidence"][0]
-    assert best["id"] == str(copied) and abs(best["cosine"] - 1) < 1e-9 and best["toxic"] == 1
+    assert best["id"] == str(copied) and abs(best["cosine"] - 1) < 1e-6 and best["toxic"] == 1
     assert got[1001]["evidence"] == [] == got[1002]["evidence"]
 
 
@@ -258,11 +261,12 @@ def test_toxicity_edges(edge_docs, edge_labels, no_docs, no_labels):
 
 def test_terms_of_words_and_repeats():
     v = X.Vocabulary([b"idiot", b"^idio", b"idiot#2", b"clown#3"])
-    assert v.counts("Idiot, idiotic! IDIOT") == {0: 2, 1: 3, 2: 1} and v.counts("idiotic other") == {1: 1}
-    assert v.counts("clown clown") == {} and v.counts("clown clown%%% clown") == {3: 1} and v.counts(None) == {}
+    counts = lambda text: dict(zip(*(x.tolist() for x in v.counts(text))))
+    assert counts("Idiot, idiotic! IDIOT") == {0: 2, 1: 3, 2: 1} and counts("idiotic other") == {1: 1}
+    assert counts("clown clown") == {} and counts("clown clown%%% clown") == {3: 1} and counts(None) == {}
 
 
 @pytest.mark.parametrize("text", [None, "", "  ", "a" * 300_000])
 def test_long_and_empty_words(text):
     assert len(list(Q.ngram_buckets(text))) <= 1
-    assert X.Vocabulary([b"x"]).counts(text) == {}
+    assert not len(X.Vocabulary([b"x"]).counts(text)[0])

@@ -32,6 +32,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,10 @@ BLOCK = 64
 FLOOR = 0.03  # weight of a term that tells nothing of the classes
 HELD_OUT = 5
 PREFIXES = (4, 5, 6, 7)  # bytes
-REMEMBERED = 200_000  # words
 TIMES = (1, 2, 3)
-FIRST_BLOCKS = 4  # visited at once, then twice as many each time
+FIRST_BLOCKS = 16  # visited at once, then twice as many each time
+OFTEN = 8  # a frequent term is in one of so many examples
+TOGETHER = 64  # texts whose frequent terms are multiplied at once
 
 
 def terms(word: bytes) -> list[bytes]:
@@ -78,45 +80,38 @@ def text_terms(text: str | None) -> set[bytes]:
 
 
 class Vocabulary:
-    """Numbers of the terms; remembers the terms of frequent words."""
+    """Numbers of the terms."""
 
     def __init__(self, chosen: list[bytes]):
         self.size = len(chosen)
         self.plain: dict[bytes, int] = {}  # word -> number
         self.derived: dict[bytes, list[tuple[int, int]]] = {}  # beginning or repeated term -> (times, number)
-        self.known: dict[bytes, tuple[int, list[bytes]]] = {}
         for i, t in enumerate(chosen):
             base, mark, times = t.partition(b"#")
             if mark or t.startswith(b"^"):
                 self.derived.setdefault(base, []).append((int(times or 1), i))
             else:
                 self.plain[t] = i
+        self.heads = {t[1:1 + PREFIXES[0]] for t in self.derived if t.startswith(b"^")}
 
     def __len__(self) -> int:
         return self.size
 
-    def of(self, word: bytes) -> tuple[int, list[bytes]]:
-        """The word's own number (-1: none) and the derived terms it counts for."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        found = self.known[word] = self.plain.get(word, -1), [t for t in terms(word) if t in self.derived]
-        return found
-
-    def counts(self, text: str | None) -> Counter:
-        """How often each term is in a text: number of the term -> count."""
-        seen, derived, known = Counter(), Counter(), self.known
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text, by number, and how often each is in it."""
+        found: Counter = Counter()
         for piece in pieces((text or "").encode().translate(WORD_BYTES), b" "):
-            for word, n in Counter(piece.split()).items():
-                number, more = known.get(word) or self.of(word)
-                if number >= 0:
-                    seen[number] += n
-                for t in more:
-                    derived[t] += n
-        for t, n in derived.items():
-            for times, i in self.derived[t]:
-                if n >= times:
-                    seen[i] = n if times == 1 else 1
-        return seen
+            found.update(piece.split())
+        words = np.fromiter(map(self.plain.get, found, repeat(-1)), np.int64, len(found))
+        times = np.fromiter(found.values(), np.int64, len(found))
+        some = words >= 0
+        derived: Counter = Counter()
+        for word in found:
+            if word[:PREFIXES[0]] in self.heads or word in self.derived:
+                for t in terms(word):
+                    derived[t] += found[word]
+        extra = {i: n if least == 1 else 1 for t, n in derived.items() for least, i in self.derived.get(t, ()) if n >= least}
+        return np.r_[words[some], np.array(list(extra), np.int64)], np.r_[times[some], np.array(list(extra.values()), np.int64)]
 
 
 def spans(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -130,6 +125,8 @@ class Index:
     """Block-max inverted index of examples (unit TF-IDF vectors).
 
     A cell is the postings of one term in one block; empty cells are not kept.
+    Terms that one in ``OFTEN`` examples holds or more stand in a matrix instead;
+    their part of the cosine is computed at once for some texts and all examples.
     """
 
     idf: np.ndarray  # weight of a term
@@ -140,16 +137,16 @@ class Index:
     cell_max: np.ndarray  # largest weight in a cell
     term_at: np.ndarray  # first cell of a term
     n_blocks: int
+    row: np.ndarray  # of a term in the matrix, -1 if it is not there
+    matrix: np.ndarray  # frequent terms by examples
     ids: np.ndarray
     toxic: np.ndarray
     prior: np.ndarray  # weight of an example of its class
-    curve: tuple[float, float] = (0.0, 0.0)
-    none: float = 0.0  # score of texts without neighbours
     k: int = K
     block: int = BLOCK
 
     @classmethod
-    def build(cls, vectors: list[Counter], idf: np.ndarray, ids, toxic: np.ndarray, prior: np.ndarray, k: int = K, block: int = BLOCK) -> Index:
+    def build(cls, vectors: list[tuple], idf: np.ndarray, ids, toxic: np.ndarray, prior: np.ndarray, k: int = K, block: int = BLOCK) -> Index:
         rows = [unit_vector(v, idf) for v in vectors]
         n_blocks = max(1, -(-len(rows) // block))
         word = np.concatenate([w for w, _ in rows] or [np.zeros(0, np.int64)])
@@ -157,85 +154,103 @@ class Index:
         example = np.repeat(np.arange(len(rows)), [len(w) for w, _ in rows])
         by = np.lexsort((example, word))
         word, weight, example = word[by], weight[by], example[by]
+        frequent = np.flatnonzero(np.bincount(word, minlength=len(idf)) * OFTEN >= max(len(rows), 1))
+        row = np.full(len(idf), -1, np.int32)
+        row[frequent] = np.arange(len(frequent))
+        matrix = np.zeros((len(frequent), len(rows)))
+        dense = row[word] >= 0
+        matrix[row[word[dense]], example[dense]] = weight[dense]
+        word, weight, example = word[~dense], weight[~dense], example[~dense]
         cells, first = np.unique(word * n_blocks + example // block, return_index=True)
         cell_max = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
         term_at = np.searchsorted(cells // n_blocks, np.arange(len(idf) + 1))
         return cls(
-            idf, example.astype(np.int32), weight, np.append(first, len(word)), (cells % n_blocks).astype(np.int32), cell_max, term_at, n_blocks,
+            idf, example.astype(np.int32), weight.astype(np.float32), np.append(first, len(word)).astype(np.int32), (cells % n_blocks).astype(np.int32), cell_max.astype(np.float32), term_at.astype(np.int32), n_blocks, row, matrix,
             np.asarray(ids), toxic, prior, k=k, block=block,
         )
 
-    def nearest(self, vector: Counter, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k examples with the largest cosine above 0, the cosines, and the blocks visited."""
-        words, weights = unit_vector(vector, self.idf)
+    def search(self, counts: list[tuple], skips: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """``nearest`` of each text, from (terms, counts)."""
+        for at in range(0, len(counts), TOGETHER):
+            vectors = [unit_vector(c, self.idf) for c in counts[at:at + TOGETHER]]
+            frequent = np.zeros((len(vectors), len(self.matrix)))
+            for i, (words, weights) in enumerate(vectors):
+                rows = self.row[words]
+                frequent[i, rows[rows >= 0]] = weights[rows >= 0]
+            for i, (v, known) in enumerate(zip(vectors, frequent @ self.matrix)):
+                yield self.nearest(*v, known, skips[at + i] if skips else -1)
+
+    def nearest(self, words: np.ndarray, weights: np.ndarray, known: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k examples with the largest cosine above 0, the cosines, and the blocks visited.
+
+        ``known`` is the frequent terms' part of the cosine with each example.
+        """
         best, cosine, visited = np.zeros(0, np.int64), np.zeros(0), 0
-        if not len(words):
+        if not len(words) or not len(known):
             return best, cosine, visited
+        rare = self.row[words] < 0
+        words, weights = words[rare], weights[rare]
         n_cells = self.term_at[words + 1] - self.term_at[words]
         cells, x = spans(self.term_at[words], n_cells), np.repeat(weights, n_cells)
         block = self.cell_block[cells]
-        bound = np.bincount(block, x * self.cell_max[cells], self.n_blocks)
+        bound = np.bincount(block, x * self.cell_max[cells], self.n_blocks) + np.maximum.reduceat(known, np.arange(0, len(known), self.block))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         place = np.full(self.n_blocks, self.n_blocks)
         place[order] = np.arange(len(order))
-        at = place[block]
+        at, at_example = place[block], np.repeat(place, self.block)[:len(known)]
         step = FIRST_BLOCKS
-        while visited < len(order) and not (len(best) == self.k and bound[order[visited]] < cosine[-1] - 1e-12):
+        while visited < len(order) and not (len(best) == self.k and bound[order[visited]] < cosine[-1] - 1e-6):
             mine = np.flatnonzero((at >= visited) & (at < visited + step))
             first = self.cell_at[cells[mine]]
             sizes = self.cell_at[cells[mine] + 1] - first
             postings = spans(first, sizes)
-            sums = np.bincount(self.example[postings], np.repeat(x[mine], sizes) * self.weight[postings])
-            if 0 <= skip < len(sums):
+            sums = np.bincount(self.example[postings], np.repeat(x[mine], sizes) * self.weight[postings], len(known)) + known
+            sums[(at_example < visited) | (at_example >= visited + step)] = 0
+            if skip >= 0:
                 sums[skip] = 0
             some = np.flatnonzero(sums > (cosine[-1] - 1e-9 if len(best) == self.k else 0))
+            if len(some) > 8 * self.k:  # no more than ties can be among the best
+                some = some[sums[some] >= np.partition(sums[some], -self.k)[-self.k] - 1e-9]
             ids, cs = np.r_[best, some], np.r_[cosine, sums[some]]
-            top = np.lexsort((ids, -np.round(cs, 12)))[:self.k]
+            top = np.lexsort((ids, -np.round(cs, 10)))[:self.k]
             best, cosine = ids[top], cs[top]
             visited = min(visited + step, len(order))
             step *= 2
         return best, cosine, visited
 
-    def vote(self, vector: Counter, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
+    def votes(self, counts: list[tuple], skips: list[int] | None = None) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
         """Share of toxic among the nearest by closeness and class share, and the neighbours; None without any."""
-        near, cosine, _ = self.nearest(vector, skip)
-        if not len(near):
-            return None, near, cosine
-        w = cosine * self.prior[near] / np.maximum(1 - cosine, 0.05)
-        return float((w * self.toxic[near]).sum() / w.sum()), near, cosine
-
-    def calibrate(self, votes: list[float | None]) -> None:
-        """Fit the curve on votes that leave the example itself out."""
-        some = np.array([v is not None for v in votes], bool)
-        repeats = np.maximum(np.round(self.prior / max(self.prior.min(initial=1.0), 1e-9)), 1).astype(int)
-        if some.any():
-            x, y, r = np.array([v for v in votes if v is not None]), self.toxic[some].astype(float), repeats[some]
-            self.curve = fit_curve(np.repeat(x, r), np.repeat(y, r))
-        rest = ~some
-        total = self.prior[rest].sum()
-        share = (self.prior * self.toxic).sum() / max(self.prior.sum(), 1e-9)
-        self.none = float((self.prior * self.toxic)[rest].sum() / total) if total else float(share)
-
-    def score(self, vector: Counter) -> tuple[float, np.ndarray, np.ndarray]:
-        vote, near, cosine = self.vote(vector)
-        if vote is None:
-            return self.none, near, cosine
-        slope, offset = self.curve
-        return float(1 / (1 + np.exp(-np.clip(slope * vote + offset, -30, 30)))), near, cosine
-
-
-def unit_vector(counts: Counter | tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and weights of a TF-IDF vector of length 1, from counts or from (terms, counts)."""
-    if isinstance(counts, Counter):
-        counts = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
+        for near, cosine, _ in self.search(counts, skips):
+            w = cosine * self.prior[near] / np.maximum(1 - cosine, 0.05)
+            yield (float((w * self.toxic[near]).sum() / w.sum()) if len(near) else None), near, cosine
+
+
+def calibrated(votes: list[float | None], toxic: np.ndarray, prior: np.ndarray) -> tuple[tuple[float, float], float]:
+    """The curve from votes to chances, and the score of texts without neighbours."""
+    curve = 0.0, 0.0
+    some = np.array([v is not None for v in votes], bool)
+    repeats = np.maximum(np.round(prior / max(prior.min(initial=1.0), 1e-9)), 1).astype(int)
+    if some.any():
+        x, y, r = np.array([v for v in votes if v is not None]), toxic[some].astype(float), repeats[some]
+        curve = fit_curve(np.repeat(x, r), np.repeat(y, r))
+    total = prior[~some].sum()
+    share = (prior * toxic).sum() / max(prior.sum(), 1e-9)
+    return curve, float((prior * toxic)[~some].sum() / total) if total else float(share)
+
+
+def chance(vote: float | None, curve: tuple[float, float], none: float) -> float:
+    return none if vote is None else float(1 / (1 + np.exp(-np.clip(curve[0] * vote + curve[1], -30, 30))))
+
+
+def unit_vector(counts: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms, ascending, and weights of a TF-IDF vector of length 1, from (terms, counts)."""
     words, times = counts
-    if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0)
+    w = (1 + np.log(times)) * idf[words]
     by = np.argsort(words)
-    words = words[by]
-    w = (1 + np.log(times[by])) * idf[words]
-    return words, w / np.sqrt((w * w).sum())
+    by = by[w[by] > 0]
+    w = w[by]
+    return words[by], w / np.sqrt((w * w).sum()) if len(w) else w
 
 
 def held_out(id_col, parts: int = HELD_OUT):
@@ -296,7 +311,7 @@ def _document_frequency(texts: DataFrame, shared: Broadcast) -> tuple[np.ndarray
         df = np.zeros(size + 1, np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
-                df[list(shared.value.counts(text))] += 1
+                df[shared.value.counts(text)[0]] += 1
             df[-1] += b.num_rows
         met = np.flatnonzero(df)
         for at in range(0, len(met), 10_000):
@@ -309,43 +324,43 @@ def _document_frequency(texts: DataFrame, shared: Broadcast) -> tuple[np.ndarray
     return df[:-1], int(df[-1])
 
 
-def _votes(docs: DataFrame, index: Index, vectors: list) -> list[float | None]:
+def _votes(rows: DataFrame, vocabulary: Broadcast, shared: Broadcast) -> list[float | None]:
     """The vote on each example, itself left out, computed in tasks."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((index, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, known = shared.value
+        index = shared.value
+        place = {v: i for i, v in enumerate(index.ids)}
         for b in batches:
-            votes = [ix.vote(known[i], skip=i)[0] for i in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
+            at = [place[v] for v in b.column(0).to_pylist()]
+            votes = [v for v, _, _ in index.votes([vocabulary.value.counts(t) for t in b.column(1).to_pylist()], at)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(votes, pa.float64())], names=["at", "vote"])
 
-    return [r["vote"] for r in sorted(spark.range(len(vectors)).mapInArrow(run, "id bigint, vote double").collect())]
+    got = rows.select("id", "text").repartition("id").mapInArrow(run, "at bigint, vote double").collect()
+    return [r["vote"] for r in sorted(got, key=lambda r: r["at"])]
 
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES,
     derived: int = DERIVED, margin: float = MARGIN, k: int = K,
-) -> tuple[Vocabulary, Index]:
-    """Vocabulary and calibrated index; what reaches the driver is bounded by the examples' texts."""
+) -> tuple[Broadcast, Broadcast, tuple[float, float], float]:
+    """Vocabulary, index, curve and the score of texts without neighbours; what reaches the driver is bounded by the examples' texts."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows, sizes = _examples(texts, labels, examples)
     chosen, told = _vocabulary(rows, derived, margin)
-    vocabulary = Vocabulary(chosen)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(chosen))
     df, n = _document_frequency(texts, shared)
     idf = (np.log((1 + n) / (1 + df)) + 1) * told
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts = [shared.value.counts(t) for t in b.column(1).to_pylist()]
-            lists = [pa.array([list(f(c)) for c in counts], pa.list_(pa.int32())) for f in (Counter.keys, Counter.values)]
+            lists = [pa.array([c[i] for c in counts], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], names=["id", "toxic", "words", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = rows.mapInArrow(run, f"id {kind}, toxic int, words array<int>, counts array<int>").toArrow()
-    vectors = [(w.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(float)) for w, c in zip(got.column("words"), got.column("counts"))]
+    vectors = [(w.values.to_numpy(), c.values.to_numpy()) for w, c in zip(got.column("words"), got.column("counts"))]
     ids, toxic = got.column("id").to_pylist(), got.column("toxic").to_numpy().astype(np.int64)
     # like examples share blocks, so bounds are tight: those of the same heaviest terms
     order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][np.lexsort((vectors[i][0], -idf[vectors[i][0]]))[:3]].tolist(), str(ids[i])))
@@ -353,25 +368,25 @@ def train(
     share = {c: sizes.get(c, 0) / max(int((toxic == c).sum()), 1) for c in (0, 1)}
     prior = np.where(toxic == 1, share[1], share[0]).astype(float)
     index = Index.build(vectors, idf, ids, toxic, prior, k)
-    index.calibrate(_votes(docs, index, vectors))
-    return vocabulary, index
+    index = docs.sparkSession.sparkContext.broadcast(index)
+    curve, none = calibrated(_votes(rows, shared, index), toxic, prior)
+    return shared, index, curve, none
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, score, evidence) per document; evidence lists the nearest examples: their ids, cosines and labels."""
-    vocabulary, index = train(docs, labels, id_col, text_col, **options)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, index))
+    vocabulary, index, curve, none = train(docs, labels, id_col, text_col, **options)
     kind = docs.schema[id_col].dataType
     entry = pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ix = shared.value
+        known, ix = vocabulary.value, index.value
+        names = [str(i) for i in ix.ids]
         for b in batches:
             scores, evidence = [], []
-            for text in b.column(1).to_pylist():
-                s, near, cosine = ix.score(known.counts(text))
-                scores.append(s)
-                evidence.append([{"id": str(ix.ids[i]), "cosine": float(c), "toxic": int(ix.toxic[i])} for i, c in zip(near, cosine)])
+            for vote, near, cosine in ix.votes([known.counts(t) for t in b.column(1).to_pylist()]):
+                scores.append(chance(vote, curve, none))
+                evidence.append([{"id": names[i], "cosine": c, "toxic": y} for i, c, y in zip(near, cosine.tolist(), ix.toxic[near].tolist())])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(entry))], names=["id", "score", "evidence"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
