@@ -75,6 +75,27 @@ def test_main_text_by_names():
     assert H.extract_text(None) == H.extract_text("") == H.extract_text("<p></p>") == ""
 
 
+def test_all_articles_of_a_page():
+    article = lambda n, attributes="": f"<article{attributes}><p>first {n}</p><p>more of {n}</p></article>"
+    assert H.extract_text(f"<body>{article('a')}<div>{article('bb')}</div></body>") == "first a\nmore of a\nfirst bb\nmore of bb"
+    inner = f"<article><p>out</p>{article('in')}<p>end</p></article>"
+    assert H.extract_text(inner) == "out\nfirst in\nmore of in\nend"
+    assert H.extract_text(f"{article('a')}<section class='related'>{article('teaser')}</section>") == "first a\nmore of a"
+    teased, comment = article("teaser", " class='promo'"), article("x", ' class="comment"')
+    assert H.extract_text(f"{article('a')}{teased}{comment}") == "first a\nmore of a"
+    assert H.extract_text(f"<section class='related'>{article('only')}</section>") == "first only\nmore of only"
+    posts = "<div class='post'><p>one and some more</p></div><div class='post'><p>two</p></div><div class='footer'>f</div>"
+    assert H.extract_text(f"<body>{posts}</body>") == "one and some more\ntwo"
+    assert H.extract_text("<article><p>a</p><label>kept</label><form><label>gone</label></form></article>") == "a\nkept"
+
+
+def test_deep_pages_take_time_in_proportion():
+    for tag in ("<div class='content'>", "<article>", "<main>"):
+        start = time.time()
+        assert H.extract_text(tag * 4000 + "<p>deep") == "deep"
+        assert time.time() - start < 1
+
+
 def test_wrappers_find_slots_optionals_repeats_and_template():
     page = lambda n, text, extra="": (
         f"<body><div>Welcome to our site</div><h2>Head {n}</h2>{extra}" + "".join(f"<p>{text} {i}</p>" for i in range(n)) + "<div>Made by us</div>"
