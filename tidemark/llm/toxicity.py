@@ -54,7 +54,7 @@ FLOOR = 0.03  # weight of a term that tells nothing of the classes
 HELD_OUT = 5
 PREFIXES = (4, 5, 6, 7)  # bytes
 TIMES = (1, 2, 3)
-FIRST_BLOCKS = 16  # visited at once, then twice as many each time
+FIRST_BLOCKS = 16  # visited at once, then all that can hold a better example
 OFTEN = 8  # a frequent term is in one of so many examples
 TOGETHER = 64  # texts whose frequent terms are multiplied at once
 
@@ -199,14 +199,18 @@ class Index:
         place = np.full(self.n_blocks, self.n_blocks)
         place[order] = np.arange(len(order))
         at, at_example = place[block], np.repeat(place, self.block)[:len(known)]
-        step = FIRST_BLOCKS
-        while visited < len(order) and not (len(best) == self.k and bound[order[visited]] < cosine[-1] - 1e-6):
-            mine = np.flatnonzero((at >= visited) & (at < visited + step))
+        stop = FIRST_BLOCKS
+        while visited < len(order):
+            if len(best) == self.k:  # what is left of the blocks that can hold a better one
+                stop = int(np.count_nonzero(bound[order] >= cosine[-1] - 1e-6))
+                if stop <= visited:
+                    break
+            mine = np.flatnonzero((at >= visited) & (at < stop))
             first = self.cell_at[cells[mine]]
             sizes = self.cell_at[cells[mine] + 1] - first
             postings = spans(first, sizes)
             sums = np.bincount(self.example[postings], np.repeat(x[mine], sizes) * self.weight[postings], len(known)) + known
-            sums[(at_example < visited) | (at_example >= visited + step)] = 0
+            sums[(at_example < visited) | (at_example >= stop)] = 0
             if skip >= 0:
                 sums[skip] = 0
             some = np.flatnonzero(sums > (cosine[-1] - 1e-9 if len(best) == self.k else 0))
@@ -215,8 +219,8 @@ class Index:
             ids, cs = np.r_[best, some], np.r_[cosine, sums[some]]
             top = np.lexsort((ids, -np.round(cs, 10)))[:self.k]
             best, cosine = ids[top], cs[top]
-            visited = min(visited + step, len(order))
-            step *= 2
+            visited = min(stop, len(order))
+            stop = 2 * visited
         return best, cosine, visited
 
     def votes(self, counts: list[tuple], skips: list[int] | None = None) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
