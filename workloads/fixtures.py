@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+from collections.abc import Iterator
+from itertools import groupby
 
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import blocks as B
 from tidemark.operators.running import Sequence, slot, with_running
-from tidemark.session import scratch_path
+from tidemark.sources.files import qualified
 
 EPOCH_US = 1704067200000000
 SQUEEZE = 288
@@ -87,17 +90,30 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_tree(rows: DataFrame, folder: str) -> None:
-    """Rows (path, text) as files of these names below a folder; a line end is added to each text."""
-    spark = rows.sparkSession
-    landing = scratch_path(spark, "tree")
-    rows.filter("text is not null").write.partitionBy("path").text(landing)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(landing).getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in fs.globStatus(path(f"{landing}/path=*/part-*")):
-        name = unquote(part.getPath().getParent().getName().removeprefix("path="))
-        target = path(f"{folder}/{name}")
-        fs.mkdirs(target.getParent())
-        fs.rename(part.getPath(), target)
+    """Rows (path, text) as files of these names below a folder; a line end is added to each text.
+
+    The tasks write the files where they lie; rows of one path are one file.
+    """
+    target = qualified(rows.sparkSession, folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = arrow_fs.FileSystem.from_uri(target)
+        made, n = set(), 0
+        texts = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for path, group in groupby(texts, lambda r: r[0]):
+            name = f"{root}/{path}"
+            above = name.rpartition("/")[0]
+            if above not in made:
+                fs.create_dir(above)
+                made.add(above)
+            with fs.open_output_stream(name) as out:
+                for _, text in group:
+                    out.write(f"{text}\n".encode())
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    lines = rows.filter("path is not null and text is not null").select("path", "text").repartition("path").sortWithinPartitions("path", "text")
+    lines.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
 BAD_BYTES = b"ok \xff\xfe end\n"
