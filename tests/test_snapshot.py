@@ -11,6 +11,8 @@ from tidemark.sources import snapshot as N
 from tidemark.sources.files import scan_files
 from tidemark.streaming import distill as D
 from tidemark.streaming.distill import distill_new_files, latest_members
+from workloads import fixtures as X
+from workloads import streams
 
 BIG = "x = 'not small'\n" * 100
 
@@ -213,3 +215,21 @@ def test_increments_compact_with_tombstones(spark, tmp_path):
     assert D.compact(spark, root) == name
     whole = N.read_snapshot(spark, root)
     assert sorted(r.path for r in whole.members.collect()) == ["a.py", "b.py", "d.py"]
+
+
+def test_files_delivered_again_count_by_their_last_delivery(spark, tmp_path):
+    folder, root, ck = (str(tmp_path / x) for x in ("in", "inc", "ck"))
+    rows = spark.createDataFrame([("a.py", "x = 1"), ("lib/b.py", "y = 1"), ("lib/b.py", "y = 2"), ("gone.py", None), (None, "z")], "path string, text string")
+    X.write_tree(rows, f"{folder}/0")
+    assert {r.path: r.text for r in scan_files(spark, f"{folder}/0").collect()} == {"a.py": "x = 1\n", "lib/b.py": "y = 1\ny = 2\n"}
+    assert not list((tmp_path / "in").rglob("part-*"))
+    distill_new_files(spark, folder, root, ck, deliveries=True).awaitTermination()
+    X.write_tree(rows.filter("path = 'a.py'"), f"{folder}/1")
+    distill_new_files(spark, folder, root, ck, deliveries=True).awaitTermination()
+    assert {r.path: r.snapshot_id for r in latest_members(spark, root).collect()} == {"a.py": D.part_name(1), "lib/b.py": D.part_name(0)}
+
+
+def test_increments_hold_what_is_delivered_again(spark, sf_dir):
+    got = {(int(r.path.split("_")[1].split(".")[0]), r.snapshot_id) for r in streams.stream_increments(spark, sf_dir).select("path", "snapshot_id").distinct().collect()}
+    assert {p for p, s in got if s == D.part_name(1)} == {p for p, _ in got if p % 2 or p % 10 == 0}
+    assert any(p % 10 == 0 for p, _ in got)

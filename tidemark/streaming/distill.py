@@ -53,11 +53,19 @@ def increment_sink(root: str, kinds=B.CODE_KINDS, spark: SparkSession | None = N
 
 def distill_new_files(
     spark: SparkSession, folder: str, root: str, checkpoint: str, per_trigger: int = 10_000, kinds=B.CODE_KINDS, literal=R.CODE_TOKENS,
-    exts: tuple[str, ...] = fixed.SOURCE_EXTENSIONS, **stamp,
+    exts: tuple[str, ...] = fixed.SOURCE_EXTENSIONS, deliveries: bool = False, **stamp,
 ):
-    """Distil all files not seen before, then stop."""
+    """Distil all files not seen before, then stop.
+
+    A stream sees each place of a file once. With ``deliveries`` files come in one
+    folder per delivery, whose name is no part of their path, so that a path can
+    come again.
+    """
+    files = stream_files(spark, folder, exts, per_trigger)
+    if deliveries:
+        files = files.withColumn("path", F.regexp_replace("path", "^[^/]*/", ""))
     return (
-        stream_files(spark, folder, exts, per_trigger)
+        files
         .writeStream.foreachBatch(increment_sink(root, kinds, spark, literal, **stamp))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -21,6 +21,7 @@ from workloads import sqlparts as P
 from workloads import usage as U
 
 SLICE_US = 2_500_000_000  # what arrives between two triggers
+ONE_BATCH = 2**31 - 1  # files of a trigger: a delivery is one increment, however large
 DELAYED = 7  # every so many samples come one slice late
 SAMPLE = "session_id BIGINT, event_id BIGINT, t_us BIGINT, prompt_tokens BIGINT, max_context BIGINT"
 
@@ -123,13 +124,16 @@ def compacted_increments(spark, sf_dir):
 
 
 def stream_increments(spark, sf_dir):
-    """Files that appear in two steps, distilled as they come; blocks of either part are found and cut from the files."""
+    """Files that are delivered in two steps, some again, distilled as they come; blocks of either part are found and cut from the files."""
     root, folder, ck, files = *(scratch_path(spark, x) for x in ("increments", "tree", "progress")), X.source_files(spark, sf_dir)
-    for part in (0, 1):
-        X.write_tree(files.filter(f"page_id % 2 = {part}").select("path", "text"), folder)
-        D.distill_new_files(spark, folder, root, ck, kinds=B.PAGE_KINDS, literal=R.LITERAL).awaitTermination()
+    deliveries = ["page_id % 2 = 0", "page_id % 2 = 1 or page_id % 10 = 0"]
+    for part, delivered in enumerate(deliveries):
+        X.write_tree(files.filter(delivered).select("path", "text"), f"{folder}/{part}")
+        D.distill_new_files(spark, folder, root, ck, per_trigger=ONE_BATCH, kinds=B.PAGE_KINDS, literal=R.LITERAL, deliveries=True).awaitTermination()
+    old, new = (scan_files(spark, f"{folder}/{part}") for part in range(len(deliveries)))
+    last = new.unionByName(old.join(new.select("path"), "path", "left_anti"))  # of a file delivered again the last one counts
     spans = D.latest_source_map(spark, root)
-    cut = H.rehydrate_blocks(spans.select("path", "symbol", "snapshot_id"), spans, scan_files(spark, folder))
+    cut = H.rehydrate_blocks(spans.select("path", "symbol", "snapshot_id"), spans, last)
     held = D.latest_skeletons(spark, root).join(D.latest_members(spark, root), ["key", "snapshot_id"]).groupBy("path").agg(F.count("*").alias("n_texts"))
     return cut.join(held, "path").select("path", "symbol", "snapshot_id", F.md5("block").alias("digest"), "n_texts")
 
@@ -172,6 +176,6 @@ from f, lateral (select unnest(range(1, len(blocks) + 1)) as i) u"""
 SQL["stream_increments"] = f"""with {P.FILES},
 f as (select page_id, path, regexp_extract_all(text, '{P.PAGE_BLOCKS}') as blocks from files where ext <> 'md')
 select path, lower(regexp_extract(blocks[u.i], '^<([A-Za-z]+)', 1)) || '_' || (u.i - 1) as symbol,
-       case when page_id % 2 = 1 then 'part-000000000001' else 'part-000000000000' end as snapshot_id,
+       case when page_id % 2 = 1 or page_id % 10 = 0 then 'part-000000000001' else 'part-000000000000' end as snapshot_id,
        md5(blocks[u.i]) as digest, cast(1 as bigint) as n_texts
 from f, lateral (select unnest(range(1, len(blocks) + 1)) as i) u"""
