@@ -256,3 +256,12 @@ def test_skeletons_and_spans_hold_the_same_blocks(spark):
             assert kept in skeleton
             at = b
     assert "function token()" in made["a.js"].skeleton and "x = 1  # `a" in made["b.py"].skeleton
+
+
+def test_texts_reach_the_scanners_in_small_batches(spark):
+    files = files_of(spark, [(f"p{i}.py", f"def f{i}():\n    return {i}\n") for i in range(2500)]).coalesce(1)
+    for run in (D.cut, D.source_map, D.block_texts):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert run(files).count() == 2500
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions import blocks as B
 from tidemark.functions import redact as R
+from tidemark.session import small_batches
 
 Kinds = dict[str, B.BlockKind]
 Literal = str | dict[str, str]
@@ -60,6 +61,7 @@ def _pieces(kinds: Kinds, text: Column) -> Column:
 
 def source_map(files: DataFrame, kinds: Kinds = B.CODE_KINDS, limit: int = fixed.UNIT_LIMIT) -> DataFrame:
     """One row per elided block of the original text; none for oversize or other files."""
+    small_batches(files.sparkSession)
     df = with_units(files, kinds, limit)
     return span_rows(df.select("path", "n_bytes", B.spans(_pieces(kinds, F.col("text"))).alias("spans")))
 
@@ -72,6 +74,7 @@ def span_rows(cut_files: DataFrame) -> DataFrame:
 
 def block_texts(files: DataFrame, kinds: Kinds = B.CODE_KINDS, limit: int = fixed.UNIT_LIMIT) -> DataFrame:
     """One row per block with its body."""
+    small_batches(files.sparkSession)
     df = with_units(files, kinds, limit)
     df = df.select("path", "ext", _pieces(kinds, F.col("text")).alias("_pieces"))
     df = df.select("path", "ext", F.posexplode(F.filter("_pieces", lambda p: p["body"].isNotNull())).alias("pos", "_p"))
@@ -116,6 +119,7 @@ def cut(
     other extensions pass through redacted. ``counts`` are lookups per (path,
     symbol); they reach a file as one map.
     """
+    small_batches(files.sparkSession)
     df = with_units(files, kinds, limit)
     if counts is not None:
         maps = (

@@ -29,6 +29,12 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python by bytes and rows, so that texts do not add up in its memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the session's checkpoint folder.
 
