@@ -165,3 +165,15 @@ def test_conversations_read_back(spark):
         marked = [whole[conv][s["loss_start"]:s["loss_end"]] for s in spans[conv] if s["loss_start"] is not None]
         assert "".join(C._read(m + " </s>\n", 0, " </s>\n")[0] for m in marked) == loss
     assert C.read_back(C.format_turns(turns.limit(0))).count() == 0
+
+
+def test_wrappers_learn_from_all_pages_of_a_host(spark):
+    """A layout that only few of many pages have is part of the wrapper, and what some pages share is no template."""
+    page = lambda i: f"<body><div class=head>Site</div><div class=x><p>text {i}</p></div><div class=t>{'same' if i < 4 else f'own {i}'}</div></body>"
+    rows = [("http://h.net/1", page(i)) for i in range(40)] + [("http://h.net/1", page(0))] * 5 + [("http://h.net/2", "<body><table><tr><td>rare</table></body>")]
+    df = spark.createDataFrame(rows, "url string, html string")
+    for sizes in ({}, {"chunk": 4, "merged": 3}):
+        got = H.infer_wrappers(df, **sizes).collect()
+        assert [r["n_pages"] for r in got] == [41] and "<table>" in got[0]["pattern"] and "Site" in got[0]["pattern"] and "same" not in got[0]["pattern"]
+    texts = {r["text"] for r in H.extract_pages(df.withColumn("n", H.F.monotonically_increasing_id())).collect()}
+    assert texts == {f"text {i}\n{'same' if i < 4 else f'own {i}'}" for i in range(40)} | {"rare"}

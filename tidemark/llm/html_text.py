@@ -1,7 +1,8 @@
 """Main text of web pages by union-free wrappers of their hosts.
 
-A bounded sample of pages of each host is read as nested token streams and
-aligned one after another. Where streams differ, the mismatch is resolved as an
+All different pages of a host are read as nested token streams and aligned one
+after another, chunk by chunk; the wrappers of the chunks are then aligned in
+rounds. Where streams differ, the mismatch is resolved as an
 optional group (tags that only some pages have), a repeated group (neighbouring
 elements of one signature fold into one) or a text slot (texts that differ).
 What remains is a regular expression without unions: the wrapper.
@@ -38,8 +39,9 @@ from pyspark.sql import types as T
 from tidemark.llm.common import replace_columns, small_batches
 from tidemark.session import stage
 
-SAMPLE = 6  # pages of a host that its wrapper is inferred from
-SUPPORT = 3  # pages that must agree before a text counts as template
+CHUNK = 512  # pages of a host that one task aligns
+MERGED = 16  # wrappers that one task aligns
+SUPPORT = 3  # pages that must agree before a text counts as template; half of the host's pages also must
 DEPTH = 64  # levels that are aligned
 AHEAD = 50  # parts of a wrapper that are tried for an element
 CELLS = 40_000  # of one alignment table; longer lists align in order
@@ -233,6 +235,14 @@ class Part:
     def packed(self) -> list:
         return [self.signature, self.text, self.pages, [p.packed() for p in self.parts]]
 
+    def stored(self) -> list:
+        return [self.signature, self.text, self.pages, [p.stored() for p in self.parts], self.optional, self.repeated]
+
+    @staticmethod
+    def restored(held: list) -> Part:
+        signature, text, pages, parts, optional, repeated = held
+        return Part(signature, [Part.restored(p) for p in parts], text, optional, repeated, pages)
+
 
 def plain(text: str) -> str:
     return " ".join(entities.unescape(text).split())
@@ -265,6 +275,8 @@ def part_of(node: Node, depth: int = 0) -> Part:
 
 def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Longest common subsequence of signatures; of long lists, the matches met in order."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
     if len(a) * len(b) > CELLS:
         out, j = [], 0
         for i, s in enumerate(a):
@@ -400,6 +412,7 @@ def _outermost(found: list[Node]) -> list[Node]:
 def _template(root: Node, wrapper: list) -> dict[int, set[str]]:
     """Texts of the page that the wrapper has as constants, by the id of their element."""
     found: dict[int, set[str]] = {}
+    support = max(SUPPORT, wrapper[2] / 2)
     stack = [(root, wrapper)]
     while stack:
         node, (_, _, _, parts) = stack.pop()
@@ -418,7 +431,7 @@ def _template(root: Node, wrapper: list) -> dict[int, set[str]]:
                     at = i + 1
                     if text is None:
                         stack.append((c, parts[i]))
-                    elif parts[i][1] == text and parts[i][2] >= SUPPORT:
+                    elif parts[i][1] == text and parts[i][2] >= support:
                         found.setdefault(id(node), set()).add(text)
                     break
     return found
@@ -483,35 +496,72 @@ def with_host(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.withColumn("_host", host)
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, n_pages, pattern, packed) per host with two different pages or more.
+def _aligned(rows: DataFrame, part) -> DataFrame:
+    """One row (host, chunk, n_pages, part) per host and chunk of rows (host, chunk, key, what ``part`` reads): the wrapper of them all.
 
-    ``sample`` different pages of each host are taken, by the order of a hash.
+    Rows of a chunk are read in the order of their keys, one at a time; of equal
+    keys the first counts.
     """
-    small_batches(pages.sparkSession)
-    rows = with_host(pages, url_col).select(F.col("_host").alias("host"), F.col(html_col).alias("html"))
-    rows = rows.filter("html is not null").withColumn("key", F.xxhash64("host", "html"))
-    nth = F.row_number().over(Window.partitionBy("host").orderBy("key"))
-    taken = rows.groupBy("host", "key").agg(F.lit(1).alias("_")).withColumn("nth", nth).filter(F.col("nth") <= sample)
-    taken = stage(taken.select("key"), "sampled")
-    chosen = rows.join(taken, "key", "left_semi").dropDuplicates(["key"])
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        texts = [r["html"] for r in sorted(t.select(["key", "html"]).to_pylist(), key=lambda r: r["key"])]
-        wrapper = infer_wrapper(texts) if len(texts) > 1 else None
-        packed = json.dumps(wrapper.packed()) if wrapper else None
-        columns = {"host": [key[0].as_py()], "n_pages": [len(texts)], "pattern": [wrapper.pattern() if wrapper else None], "packed": [packed]}
-        return pa.table(columns, schema=pa.schema([("host", pa.string()), ("n_pages", pa.int64()), ("pattern", pa.string()), ("packed", pa.string())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, last, n, wrapper = None, None, 0, None
+
+        def row() -> pa.RecordBatch:
+            columns = [[chunk[0]], [chunk[1]], [n], [json.dumps(wrapper.stored())]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["host", "chunk", "n_pages", "part"]
+            )
+
+        for b in batches:
+            for host, at, key, n_pages, text in zip(*[c.to_pylist() for c in b.columns]):
+                if (host, at) != chunk:
+                    if wrapper is not None:
+                        yield row()
+                    chunk, last, n, wrapper = (host, at), None, 0, None
+                if key == last:
+                    continue
+                found = part(text)
+                last, n, wrapper = key, n + n_pages, found if wrapper is None else _merged(wrapper, found)
+        if wrapper is not None:
+            yield row()
+
+    dealt = rows.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "key")
+    return dealt.mapInArrow(run, "host string, chunk bigint, n_pages bigint, part string")
+
+
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", chunk: int = CHUNK, merged: int = MERGED) -> DataFrame:
+    """(host, n_pages, pattern, packed) per host with two different pages or more, inferred from all of them.
+
+    No task reads more than about ``chunk`` different pages of a host, or
+    ``merged`` wrappers, whatever share of the pages a host has.
+    """
+    small_batches(pages.sparkSession)
+    hosts = with_host(pages, url_col).select(F.col("_host").alias("host"), F.col(html_col).alias("html")).filter("html is not null")
+    rows = hosts.withColumn("key", F.xxhash64("host", "html"))
+    chunks = stage(rows.groupBy("host").agg(F.ceil(F.count("*") / chunk).alias("chunks")), "chunks")
+    rows = rows.join(chunks, "host").select("host", F.expr("pmod(key, chunks)").alias("chunk"), "key", F.lit(1).cast("bigint").alias("n_pages"), "html")
+    got = stage(_aligned(rows, lambda html: part_of(parse_page(html))), "wrappers")
+    most = chunks.agg(F.max("chunks")).first()[0] or 1
+    while most > 1:
+        some = got.select("host", F.expr(f"chunk div {merged}").alias("chunk"), F.col("chunk").alias("key"), "n_pages", "part")
+        got = stage(_aligned(some, lambda part: Part.restored(json.loads(part))), "wrappers")
+        most = -(-most // merged)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [Part.restored(json.loads(p)) for p in b.column(2).to_pylist()]
+            columns = [pa.array([p.pattern() for p in found], pa.string()), pa.array([json.dumps(p.packed()) for p in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["host", "n_pages", "pattern", "packed"])
 
-    got = chosen.groupBy("host").applyInArrow(run, "host string, n_pages bigint, pattern string, packed string")
-    return stage(got.filter("packed is not null"), "wrappers")
+    got = got.filter("n_pages > 1").select("host", "n_pages", "part")
+    return stage(got.mapInArrow(finish, "host string, n_pages bigint, pattern string, packed string"), "wrappers")
 
 
 def extract_pages(
-    pages: DataFrame, carry: list[str] | None = None, url_col: str = "url", html_col: str = "html", sample: int = SAMPLE
+    pages: DataFrame, carry: list[str] | None = None, url_col: str = "url", html_col: str = "html", chunk: int = CHUNK
 ) -> DataFrame:
     """The pages' columns ``carry`` (all but the html if None), text and n_chars."""
-    wrappers = infer_wrappers(pages, url_col, html_col, sample).select(F.col("host").alias("_host"), F.col("packed").alias("_packed"))
+    wrappers = infer_wrappers(pages, url_col, html_col, chunk).select(F.col("host").alias("_host"), F.col("packed").alias("_packed"))
     carry = carry or [c for c in replace_columns(pages, "text", "n_chars", html_col).columns]
     wide = with_host(pages.select(*dict.fromkeys([*carry, url_col, html_col])), url_col)
     wide = wide.join(wrappers, "_host", "left").select(*carry, F.col(html_col).alias("_html"), "_packed")
