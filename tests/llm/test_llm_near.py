@@ -178,3 +178,19 @@ def test_likeness():
     sketch = np.stack([np.frombuffer(N.sketch_text(t, 5)[1], np.uint8) for t in (a, b)])
     true = (296 - 20) / (296 + 20)
     assert abs(float(N.likeness(sketch[:1], sketch[1:])[0]) - true) < 0.1
+
+
+def test_stage_compares_what_the_fingerprints_link(spark, monkeypatch):
+    base = [f"v{i}" for i in range(300)]
+    rows = [(i, " ".join([*base[:-i], *[f"end{i}x{j}" for j in range(i)]])) for i in (1, 2, 3)] + [(9, " ".join(f"other{i}" for i in range(300)))]
+    seen = []
+    links = N.Alike.links
+    monkeypatch.setattr(N.Alike, "links", lambda self, pairs: seen.append(pairs.count()) or links(self, pairs))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in N.one_of_each(docs).collect()) == [1, 9]
+    assert seen[0] == 2  # two of three stars, by fingerprints alone
+
+
+def test_fingerprint_pairs_are_stars(spark):
+    points = spark.createDataFrame([(1, 0), (2, 0), (3, 0b1111), (4, 0b11111111), (5, -1)], "node bigint, fp bigint")
+    assert sorted(tuple(r) for r in N.fingerprint_pairs(points).collect()) == [(2, 1), (3, 1), (4, 1)]

@@ -21,10 +21,11 @@ the text's set of shingles (the least hash of each of ``BINS`` bins, one byte
 each), whose shared bins estimate the Jaccard similarity. This allows a wide
 radius, which would link unlike texts by itself.
 
-The pipeline's stage asks for a similarity of 0.8 instead, whatever the
-fingerprints: candidates are the sets that share a shingle of their prefixes,
-which no similar pair can lack, and whose sizes and spreads allow it; the sets
-themselves decide.
+The pipeline's stage asks for a similarity of 0.8. Its first candidates are the
+texts whose fingerprints the trees link; the sets of their shingles decide. What
+fingerprints miss is found beside them: sets that share a shingle of their
+prefixes, which no similar pair can lack, and whose sizes and spreads allow it,
+are compared unless they are in one group already.
 
 The stars are joined to components by alternating large-star and small-star
 rounds on tables. No fingerprint or link but the sample reaches the driver.
@@ -97,16 +98,25 @@ def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(kept), SEED)], np.uint64)
 
 
+def simhash(ones: np.ndarray, total: int) -> int:
+    """The fingerprint of ``total`` hashes of which ``ones`` have a bit set: the bits that more than half of them have."""
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
+
+
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, the highest bit first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
 def sketch_text(text: str | None, width: int = SHINGLE) -> tuple[int, bytes]:
     """SimHash over the word shingles of a text, repeats included, and the sketch of their set."""
     ones, total = np.zeros(64, np.int64), 0
     least = np.full(BINS, 1 << 32, np.int64)
     for hashes in shingle_hashes(text, width):
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += ones_of(hashes)
         total += len(hashes)
         np.minimum.at(least, (hashes >> np.uint64(57)).astype(np.int64), (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    fp = int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
-    return fp, np.where(least < 1 << 32, 1 + least % 255, 0).astype(np.uint8).tobytes()  # 0: no shingle fell there
+    return simhash(ones, total), np.where(least < 1 << 32, 1 + least % 255, 0).astype(np.uint8).tobytes()  # 0: no shingle fell there
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -378,7 +388,7 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def with_prefixes(texts: DataFrame, width: int, like: tuple[int, int]) -> DataFrame:
-    """(id, h, hash, n, prefix, spread) per (id, h, text): the hash of the shingle set, its size, its first shingles, its spread.
+    """(id, h, hash, n, prefix, spread, fp) per (id, h, text): the hash of the shingle set, its size, its first shingles, its spread, its fingerprint.
 
     In one order of all shingles, rarest first, two sets of n and m shingles that
     share ``like`` of their union share one of the first n - ceil(like * n) + 1
@@ -391,20 +401,22 @@ def with_prefixes(texts: DataFrame, width: int, like: tuple[int, int]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, size, first, spread = [], [], [], []
+            node, size, first, spread, fp = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 own = shingle_set(t, width)
                 by = np.lexsort((own, shared.value[(own % BUCKETS).astype(np.int64)]))
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 size.append(len(own))
+                fp.append(simhash(ones_of(own), len(own)))
                 first.append(own[by[:len(own) + (-up * len(own)) // down + 1]].view(np.int64) if len(own) else own.view(np.int64))
                 counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256)
                 spread.append(np.minimum(counts, MOST_COUNTED).astype("<u2").tobytes())
             node = np.array(node, np.uint64).view(np.int64)
             columns = [pa.array(node), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(spread, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "h", "hash", "n", "prefix", "spread"])
+            columns.append(pa.array(np.array(fp, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "h", "hash", "n", "prefix", "spread", "fp"])
 
-    schema = f"id {kind.simpleString()}, h bigint, hash bigint, n int, prefix array<bigint>, spread binary"
+    schema = f"id {kind.simpleString()}, h bigint, hash bigint, n int, prefix array<bigint>, spread binary, fp bigint"
     return texts.select("id", "h", "text").mapInArrow(run, schema)
 
 
@@ -494,9 +506,19 @@ def _all_pairs(met: DataFrame) -> DataFrame:
     return x.join(y, cell & once & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
 
 
-def alike_roots(entries: DataFrame, sets: Alike, stars: int = STARS) -> DataFrame:
+def fingerprint_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b), a > b, of sets (node, fp): each with the first one of the group that the trees link its fingerprint to."""
+    spots = points.select(F.col("fp").alias("node"), "fp", F.lit(b"").alias("sketch")).distinct()
+    roots = components(linked_nodes(spots, radius))
+    placed = points.join(roots, points["fp"] == roots["a"], "left").select("node", F.coalesce("root", "fp").alias("root"))
+    first = placed.groupBy("root").agg(F.min("node").alias("b"), F.count("*").alias("k")).filter("k > 1").select("root", "b")
+    return placed.join(first, "root").filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
+def alike_roots(entries: DataFrame, sets: Alike, near: DataFrame, stars: int = STARS) -> DataFrame:
     """(a, root) of the nodes linked by a similarity of ``like`` or more, but the roots.
 
+    ``near`` (a, b) are compared first: those whose fingerprints are linked.
     ``entries`` (key, node, n, at, degree) are the places of shingles in prefixes.
     In each of the first rounds the nodes of a key are compared with one of them:
     first the one that meets most others over all its keys, which in a group of
@@ -505,9 +527,9 @@ def alike_roots(entries: DataFrame, sets: Alike, stars: int = STARS) -> DataFram
     in one group yet. What has been compared is not compared again, and a large
     group of like texts is settled by stars, not by its pairs.
     """
-    spark = entries.sparkSession
-    links, tested = [], []
-    roots = spark.createDataFrame([], "a bigint, root bigint")
+    tested = [stage(near, "pairs")]
+    links = [sets.links(tested[-1])]
+    roots = components(links[-1])
     for k in range(stars + 1):
         places = entries.select("key", "node", "n", "at", "degree")
         rows = places.join(roots, places["node"] == roots["a"], "left").select(*places.columns, F.coalesce("root", "node").alias("root"))
@@ -526,8 +548,7 @@ def alike_roots(entries: DataFrame, sets: Alike, stars: int = STARS) -> DataFram
         else:
             y = _all_pairs(met)
         pairs = y.filter(_can_link("x", "y", sets.like)).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-        if tested:
-            pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
+        pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
         tested.append(stage(pairs, "pairs"))
         links.append(sets.links(tested[-1]))
         roots = components(reduce(DataFrame.union, links))
@@ -546,7 +567,7 @@ def alike(docs: DataFrame, id_col: str, text_col: str, width: int, like: tuple[i
     small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     found = with_prefixes(texts, width, like).groupBy("hash").agg(
-        first_document().alias("least"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("spread").alias("spread")
+        first_document().alias("least"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("spread").alias("spread"), F.any_value("fp").alias("fp")
     )
     whole = stage(found.withColumn("node", F.monotonically_increasing_id()), "points")  # small numbers take little room in a shuffle
     free_shuffles(spark)
@@ -556,11 +577,11 @@ def alike(docs: DataFrame, id_col: str, text_col: str, width: int, like: tuple[i
     degrees = met.groupBy("node").agg(F.sum("k").alias("degree"))
     entries = stage(met.drop("k").join(degrees, "node"), "places")
     release(met)
-    points = stage(whole.select("node", "least", "n", "spread"), "sizes")
+    points = stage(whole.select("node", "least", "n", "spread", "fp"), "sizes")
     release(whole)
     free_shuffles(spark)
     sets = Alike(points, texts, width, like)
-    roots = alike_roots(entries, sets)
+    roots = alike_roots(entries, sets, fingerprint_pairs(points))
     named = stage(points.join(roots, points["node"] == roots["a"], "left").select("node", "least", F.coalesce("root", "node").alias("root")), "named")
     sets.done()
     release(points)
