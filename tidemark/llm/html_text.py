@@ -529,6 +529,17 @@ def _aligned(rows: DataFrame, part) -> DataFrame:
     return dealt.mapInArrow(run, "host string, chunk bigint, n_pages bigint, part string")
 
 
+def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of one key (host, html, key) the first of the task, so that many copies of a page do not meet in one."""
+    seen: set[int] = set()
+    for b in batches:
+        keep = []
+        for key in b.column(2).to_pylist():
+            keep.append(key not in seen)
+            seen.add(key)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", chunk: int = CHUNK, merged: int = MERGED) -> DataFrame:
     """(host, n_pages, pattern, packed) per host with two different pages or more, inferred from all of them.
 
@@ -539,7 +550,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     hosts = with_host(pages, url_col).select(F.col("_host").alias("host"), F.col(html_col).alias("html")).filter("html is not null")
     rows = hosts.withColumn("key", F.xxhash64("host", "html"))
     chunks = stage(rows.groupBy("host").agg(F.ceil(F.count("*") / chunk).alias("chunks")), "chunks")
-    rows = rows.join(chunks, "host").select("host", F.expr("pmod(key, chunks)").alias("chunk"), "key", F.lit(1).cast("bigint").alias("n_pages"), "html")
+    rows = rows.mapInArrow(_first_of_task, rows.schema).join(chunks, "host").select("host", F.expr("pmod(key, chunks)").alias("chunk"), "key", F.lit(1).cast("bigint").alias("n_pages"), "html")
     got = stage(_aligned(rows, lambda html: part_of(parse_page(html))), "wrappers")
     most = chunks.agg(F.max("chunks")).first()[0] or 1
     while most > 1:
