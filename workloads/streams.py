@@ -27,35 +27,35 @@ SAMPLE = "session_id BIGINT, event_id BIGINT, t_us BIGINT, prompt_tokens BIGINT,
 
 
 def _arrivals(spark, sf_dir, delayed):
-    """A folder with one file per slice of time, in the order of their modification times."""
+    """One folder per slice of time, in order; the tasks write what they hold of each."""
     samples = S.with_limit(S.normalize_usage(X.usage_payloads(spark, sf_dir)))
     late = F.when(F.col("event_id") % DELAYED == 0, 1).otherwise(0) if delayed else F.lit(0)
     rows = samples.select(*[c.split()[0] for c in SAMPLE.split(", ")], (F.expr(f"t_us div {SLICE_US}") + late).alias("slice"))
-    landing = scratch_path(spark, "landing")
-    rows.repartition("slice").write.partitionBy("slice").parquet(landing)
+    made = scratch_path(spark, "slices")
+    rows.write.partitionBy("slice").parquet(made)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(landing).getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in fs.globStatus(path(f"{landing}/slice=*")):  # one per slice
-        at = int(folder.getPath().getName().split("=")[1])
-        for f in fs.globStatus(path(f"{folder.getPath().toString()}/*.parquet")):
-            fs.setTimes(f.getPath(), (X.EPOCH_US + at * 3_600_000_000) // 1000, -1)
-    return landing
+    fs = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f.getPath() for f in fs.globStatus(path(f"{made}/slice=*"))]  # one per slice
+    return sorted((f.toString() for f in folders), key=lambda f: int(f.rpartition("=")[2]))
 
 
 def _run(spark, sf_dir, *sinks, delayed=False):
-    """One stream over the slices, a micro-batch each."""
+    """One stream over the slices, a micro-batch each: a slice arrives, however many files it has, and the stream goes on."""
     tables = W.SessionTables(spark, scratch_path(spark, "sessions"))
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    stream = (
-        own.readStream.schema(SAMPLE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
-        .parquet(_arrivals(spark, sf_dir, delayed))
-    )
-    q = (
-        stream.writeStream.foreachBatch(W.session_sink(tables, *sinks))
-        .option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    slices, landing, progress = _arrivals(spark, sf_dir, delayed), scratch_path(spark, "landing"), scratch_path(spark, "progress")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(landing).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(landing))
+    stream = own.readStream.schema(SAMPLE).option("recursiveFileLookup", True).parquet(landing)
+    for folder in slices:
+        fs.rename(path(folder), path(landing))
+        q = (
+            stream.writeStream.foreachBatch(W.session_sink(tables, *sinks))
+            .option("checkpointLocation", progress).trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
     return tables
 
 
