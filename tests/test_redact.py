@@ -143,3 +143,24 @@ def test_long_code_is_redacted_in_linear_time(spark):
     parts = ["x = 'abc'  # it's\n" * 60_000, "/* a * b **" + " x" * 400_000 + "*/ let s = 'x'\n" + "let a = /x/; b = 'q'\n" * 30_000]
     df = spark.createDataFrame(list(zip(["py", "js"], parts)), "ext string, text string")
     assert [r.t for r in df.select(R.redact_code(F.col("text"), F.col("ext")).alias("t")).collect()] == parts
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5])
+def test_comments_before_a_literal(spark, n):
+    between = "# it's\n  " * n
+    df = spark.createDataFrame([("py", f"y = 'a'\npassword = {between}'v'\n")], "ext string, text string")
+    value = GONE if n <= 3 else "'v'"
+    assert df.select(R.redact_code(F.col("text"), F.col("ext")).alias("t")).first().t == f"y = 'a'\npassword = {between}{value}\n"
+
+
+def test_a_text_that_holds_the_mark_is_cut_alike(spark):
+    rows = [("py", f"{R.MARK}'a'{R.MARK} token = 'v{R.MARK}'{R.MARK}", f"{R.MARK}'a'{R.MARK} token = {GONE}{R.MARK}"), ("ts", R.MARK, R.MARK)]
+    df = spark.createDataFrame(rows, "ext string, text string, want string")
+    assert [r.t == r.want for r in df.select(R.redact_code(F.col("text"), F.col("ext")).alias("t"), "want").collect()] == [True, True]
+
+
+def test_random_texts_are_judged_by_their_whole_entropy(spark):
+    texts = [RANDOM, "ab" * 20, "ä€😀 " * 12 + RANDOM, "the quick brown fox jumps over the lazy dog " * 3, "abcdefghijklmnopqrstuvwxyz0123456789", "a" * 500 + RANDOM, ""]
+    for limit in (0.0, 3.5, 4.0, 4.3, 4.5, 5.1):
+        inner = [t.strip("\"' ") for t in texts]
+        assert run(spark, texts, lambda t: R.is_random(t, 32, limit)) == [len(t) > 32 and entropy(t) > limit for t in inner], limit
