@@ -110,6 +110,28 @@ def test_index_search_reads_few_blocks(spark, tmp_path):
     assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(largest", plan)
 
 
+def test_postings_are_counted_without_a_shuffle(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert "Exchange" not in initial(I.postings(docs))
+    lists = I.posting_lists(docs)
+    assert lists.agg(F.max(F.size("keys"))).first()[0] == I.BLOCK
+    assert lists.count() < I.postings(docs).count() / 2
+    assert lists.agg(F.sum("total")).first() == docs.agg(F.sum(F.size(I.tokens(F.col("text"))))).first()
+
+
+def test_postings_of_a_repeated_key_are_one(spark, tmp_path):
+    rows = [(1, "a b b"), (1, "B c a"), (1, "a"), (None, "a d"), (None, "d a"), (2, "a b"), (3, None), (3, ""), (4, "b b b"), (4, None)]
+    docs = spark.createDataFrame(rows * 200 + [(5, "e a")], "doc_id bigint, text string").repartition(7)
+    words = docs.select("doc_id", I.tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("bigint").alias("length"), F.explode("w").alias("term"))
+    want = sorted(map(repr, words.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf")).collect()))
+    assert sorted(map(repr, I.postings(docs).collect())) == want
+    kept = sorted(r for r in want if "term='a'" in r or "term='e'" in r)
+    assert sorted(map(repr, I.postings(docs, only=["a", "e"]).collect())) == kept
+    I.write_index(docs, str(tmp_path / "ix"), partitions=3)
+    for query in ("a", "b d", "e", "a b c d e"):
+        assert I.search_index(spark, str(tmp_path / "ix"), query).collect() == I.search(I.postings(docs), I.corpus_stats(docs), query).collect()
+
+
 @pytest.mark.parametrize("chunk", [7, 50, 10**6])
 def test_budgets_are_exact_by_parts(spark, chunk):
     rng = random.Random(chunk)

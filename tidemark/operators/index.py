@@ -12,13 +12,12 @@ statistics answer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.binding import let
 from tidemark.session import release, stage
@@ -42,16 +41,68 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", only: list[str] | None = None) -> DataFrame:
-    """(term, key, tf, length): occurrences of a term in a document of ``length`` terms.
+def posting_lists(docs: DataFrame, key: str = "doc_id", only: list[str] | None = None) -> DataFrame:
+    """(term, keys, lengths, tfs, total): up to ``BLOCK`` postings of a term, and the sum of their tfs.
 
-    Words of a document lie together, so counting them is nearly done before the
-    shuffle. With ``only``, other terms are dropped before.
+    Words are counted where the texts lie, and what a task has of a term goes on as
+    lists, not as a row per posting. Only rows of a repeated key can share a posting,
+    which takes those of the same length together; they alone are shuffled. With
+    ``only``, other terms are dropped before.
     """
+    again = stage(docs.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again")), "repeated")
+    if again.isEmpty():
+        return _lists(docs, key, only)
+    same = docs[key].eqNullSafe(again["_again"])
+    parts = _exploded(_lists(docs.join(again, same, "left_semi"), key, only), key)
+    whole = parts.groupBy("term", key, "length").agg(F.sum("tf").alias("tf"))
+    merged = whole.select(
+        "term", F.array(key).alias("keys"), F.array("length").alias("lengths"), F.array("tf").alias("tfs"), F.col("tf").alias("total")
+    )
+    return _lists(docs.join(again, same, "left_anti"), key, only).unionByName(merged)
+
+
+def postings(docs: DataFrame, key: str = "doc_id", only: list[str] | None = None) -> DataFrame:
+    """(term, key, tf, length): occurrences of a term in a document of ``length`` terms; of ``only`` these terms, if given."""
+    return _exploded(posting_lists(docs, key, only), key)
+
+
+def _lists(docs: DataFrame, key: str, only: list[str] | None) -> DataFrame:
     words = docs.select(key, tokens(F.col("text")).alias("_words"))
     kept = F.col("_words") if only is None else F.filter("_words", lambda w: w.isin(*only))
-    words = words.select(key, F.size("_words").cast("bigint").alias("length"), F.explode(kept).alias("term"))
-    return words.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+    words = words.select(key, F.size("_words").cast("bigint").alias("length"), kept.alias("_words"))
+    kind = docs.schema[key].dataType.simpleString()
+    return words.mapInArrow(_count, f"term string, keys array<{kind}>, lengths array<bigint>, tfs array<bigint>, total bigint")
+
+
+def _exploded(lists: DataFrame, key: str) -> DataFrame:
+    rows = lists.select("term", F.explode(F.arrays_zip("keys", "lengths", "tfs")).alias("p"))
+    return rows.select("term", F.col("p.keys").alias(key), F.col("p.lengths").alias("length"), F.col("p.tfs").alias("tf"))
+
+
+def _cuts(codes: np.ndarray) -> np.ndarray:
+    """Where lists begin: at each new code, and after ``BLOCK`` entries of one."""
+    start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    of = np.repeat(start, np.diff(np.r_[start, len(codes)]))
+    return np.flatnonzero((np.arange(len(codes)) - of) % BLOCK == 0)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists of the documents (key, length, words) of a batch."""
+    for b in batches:
+        n = np.nan_to_num(b.column(2).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        if not n.sum():
+            continue
+        words = b.column(2).flatten().dictionary_encode()
+        pair = words.indices.to_numpy().astype(np.int64) * len(n) + np.repeat(np.arange(len(n)), n)
+        pair, tfs = np.unique(pair, return_counts=True)
+        codes, at = pair // len(n), pa.array(pair % len(n))
+        first = _cuts(codes)
+        ends = pa.array(np.r_[first, len(codes)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, c) for c in (b.column(0).take(at), b.column(1).take(at), pa.array(tfs.astype(np.int64)))]
+        total = pa.array(np.add.reduceat(tfs, first).astype(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [words.dictionary.take(pa.array(codes[first])), *lists, total], names=["term", "keys", "lengths", "tfs", "total"]
+        )
 
 
 def counted(words: Column) -> Column:
@@ -110,43 +161,48 @@ def query_terms(query: str) -> list[str]:
     return sorted(set("".join(c if c.isalnum() else " " for c in query.lower()).split()))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of (term, key, length, tf, impact), sorted by term and falling impact."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        codes = b.column(0).dictionary_encode().indices.to_numpy()
-        start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        of = np.repeat(start, np.diff(np.r_[start, len(codes)]))
-        first = np.flatnonzero((np.arange(len(codes)) - of) % BLOCK == 0)
-        ends = np.r_[first, len(codes)].astype(np.int32)
-        rows = pa.array(first)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), b.column(i)) for i in (1, 2, 3)]
-        n = pa.array(np.diff(ends).astype(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(rows), b.column(4).take(rows), n, *lists], names=["term", "largest", "n", "keys", "lengths", "tfs"]
-        )
+def _pack(mean: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks from posting lists sorted by term: those of a batch together, by falling impact."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words = b.column(0).dictionary_encode()
+            codes = np.repeat(words.indices.to_numpy(), b.column(1).value_lengths().to_numpy())
+            keys, lengths, tfs = (b.column(i).flatten() for i in (1, 2, 3))
+            impacts = impact(tfs.to_numpy(), lengths.to_numpy(), mean)
+            order = np.lexsort((-impacts, codes))
+            codes, impacts, taken = codes[order], impacts[order], pa.array(order)
+            first = _cuts(codes)
+            ends = pa.array(np.r_[first, len(codes)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, c.take(taken)) for c in (keys, lengths, tfs)]
+            terms = words.dictionary.take(pa.array(codes[first]))
+            n = pa.array(np.diff(np.r_[first, len(codes)]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([terms, pa.array(impacts[first]), n, *lists], names=["term", "largest", "n", "keys", "lengths", "tfs"])
+
+    return run
 
 
 def write_index(docs: DataFrame, folder: str, key: str = "doc_id", partitions: int | None = None) -> None:
     """Blocks sorted by term, and one row of statistics; texts are cut into words once."""
-    post = stage(postings(docs, key), "postings")
-    n_docs, total = docs.count(), post.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    lists = stage(posting_lists(docs, key), "postings")
+    n_docs, total = docs.count(), lists.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     mean = total / n_docs if n_docs else 0.0
     stats = docs.sparkSession.createDataFrame([(n_docs, mean)], "n_docs bigint, mean_length double")
-    by = [F.col("term"), F.desc("impact"), F.col(key)]
-    rows = post.select("term", key, "length", "tf", impact(F.lit(mean)).alias("impact"))
+    by = [F.col("term"), F.get("keys", F.lit(0))]  # lists of a frequent term can go to several tasks
+    rows = lists.drop("total")
     dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
-    kind = rows.schema[key].dataType.simpleString()
-    schema = f"term string, largest double, n bigint, keys array<{kind}>, lengths array<bigint>, tfs array<bigint>"
-    dealt.sortWithinPartitions(*by).mapInArrow(_pack, T.StructType.fromDDL(schema)).write.mode("overwrite").parquet(f"{folder}/blocks")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("keys", "lengths", "tfs"))
+    packed = dealt.sortWithinPartitions(*by).mapInArrow(_pack(mean), f"term string, largest double, n bigint, {kinds}")
+    packed.write.mode("overwrite").parquet(f"{folder}/blocks")
     stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
-    release(post)
+    release(lists)
 
 
-def impact(mean: Column) -> Column:
-    """What a posting (tf, length) adds to a score for each unit of its term's weight."""
-    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+def impact(tf, length, mean):
+    """What a posting adds to a score for each unit of its term's weight; of columns or of arrays."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def _read(blocks: DataFrame, least: dict[str, float]) -> DataFrame:
@@ -162,7 +218,7 @@ def _scores(rows: DataFrame, idf: dict[str, float], mean: float) -> DataFrame:
     weight = F.lit(0.0)
     for term, w in idf.items():
         weight = F.when(F.col("term") == term, F.lit(w)).otherwise(weight)
-    return rows.groupBy("key").agg(F.sum(weight * impact(F.lit(mean))).alias("score"))
+    return rows.groupBy("key").agg(F.sum(weight * impact(F.col("tf"), F.col("length"), F.lit(mean))).alias("score"))
 
 
 def search_plan(spark: SparkSession, folder: str, query: str, k: int = 10) -> tuple[dict[str, float], dict[str, float], float]:
