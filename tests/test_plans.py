@@ -114,7 +114,7 @@ def test_postings_are_counted_without_a_shuffle(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert "Exchange" not in initial(I.postings(docs))
     lists = I.posting_lists(docs)
-    assert lists.agg(F.max(F.size("keys"))).first()[0] == I.BLOCK
+    assert lists.agg(F.max(F.size("keys"))).first()[0] == I.LIST
     assert lists.count() < I.postings(docs).count() / 2
     assert lists.agg(F.sum("total")).first() == docs.agg(F.sum(F.size(I.tokens(F.col("text"))))).first()
 

@@ -23,6 +23,7 @@ from tidemark.functions.binding import let
 from tidemark.session import release, stage
 
 BLOCK = 128
+LIST = 16  # a range of terms is dealt by its rows, so they must not differ much
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -42,7 +43,7 @@ def tokens(text: Column) -> Column:
 
 
 def posting_lists(docs: DataFrame, key: str = "doc_id", only: list[str] | None = None) -> DataFrame:
-    """(term, keys, lengths, tfs, total): up to ``BLOCK`` postings of a term, and the sum of their tfs.
+    """(term, keys, lengths, tfs, total): up to ``LIST`` postings of a term, and the sum of their tfs.
 
     Words are counted where the texts lie, and what a task has of a term goes on as
     lists, not as a row per posting. Only rows of a repeated key can share a posting,
@@ -79,11 +80,11 @@ def _exploded(lists: DataFrame, key: str) -> DataFrame:
     return rows.select("term", F.col("p.keys").alias(key), F.col("p.lengths").alias("length"), F.col("p.tfs").alias("tf"))
 
 
-def _cuts(codes: np.ndarray) -> np.ndarray:
-    """Where lists begin: at each new code, and after ``BLOCK`` entries of one."""
+def _cuts(codes: np.ndarray, most: int) -> np.ndarray:
+    """Where lists begin: at each new code, and after ``most`` entries of one."""
     start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
     of = np.repeat(start, np.diff(np.r_[start, len(codes)]))
-    return np.flatnonzero((np.arange(len(codes)) - of) % BLOCK == 0)
+    return np.flatnonzero((np.arange(len(codes)) - of) % most == 0)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = words.indices.to_numpy().astype(np.int64) * len(n) + np.repeat(np.arange(len(n)), n)
         pair, tfs = np.unique(pair, return_counts=True)
         codes, at = pair // len(n), pa.array(pair % len(n))
-        first = _cuts(codes)
+        first = _cuts(codes, LIST)
         ends = pa.array(np.r_[first, len(codes)].astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, c) for c in (b.column(0).take(at), b.column(1).take(at), pa.array(tfs.astype(np.int64)))]
         total = pa.array(np.add.reduceat(tfs, first).astype(np.int64))
@@ -174,7 +175,7 @@ def _pack(mean: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             impacts = impact(tfs.to_numpy(), lengths.to_numpy(), mean)
             order = np.lexsort((-impacts, codes))
             codes, impacts, taken = codes[order], impacts[order], pa.array(order)
-            first = _cuts(codes)
+            first = _cuts(codes, BLOCK)
             ends = pa.array(np.r_[first, len(codes)].astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, c.take(taken)) for c in (keys, lengths, tfs)]
             terms = words.dictionary.take(pa.array(codes[first]))
