@@ -194,3 +194,17 @@ def test_stage_compares_what_the_fingerprints_link(spark, monkeypatch):
 def test_fingerprint_pairs_are_stars(spark):
     points = spark.createDataFrame([(1, 0), (2, 0), (3, 0b1111), (4, 0b11111111), (5, -1)], "node bigint, fp bigint")
     assert sorted(tuple(r) for r in N.fingerprint_pairs(points).collect()) == [(2, 1), (3, 1), (4, 1)]
+
+
+def test_shingles_are_counted_in_every_document(spark):
+    texts = [f"a b c d w{i}" for i in range(9_000)] + ["A b c d w0 w1", "a b c d w7 a b c d w7", None, "", "one two"]
+    want = np.zeros(N.BUCKETS, np.int64)
+    for t in texts:
+        words = (t or "").lower().split()
+        found = {" ".join(words[i:i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+        for s in found:
+            want[xxhash.xxh64_intdigest(s.encode(), N.SEED) % N.BUCKETS] += 1
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    assert (N.shingle_counts(docs, 5) == want).all()
+    assert want.sum() == 9_000 + 2 + 5 + 1
+    assert not N.shingle_counts(docs.limit(0), 5).any()

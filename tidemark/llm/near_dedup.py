@@ -39,7 +39,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate
@@ -68,7 +68,7 @@ FEW = 100_000  # sets whose names are broadcast to where the texts lie: 10 MB at
 BLOCK = 4_096  # nodes of a key that meet in one task of the last round
 MOST_COUNTED = 65_535  # shingles of one first byte that a spread can tell
 STARS = 3  # rounds that compare with one node of a key, before all pairs
-COUNTED, BUCKETS = 4_096, 1 << 20  # documents and counters of the order of shingles: 8 MB
+BUCKETS, COUNTERS = 1 << 20, 1 << 12  # counters of the order of shingles: 8 MB; those of a row that is shuffled
 COMPARED = 1 << 21  # distances held at once
 LIKENESSES = 1 << 16  # pairs of sketches held at once
 
@@ -365,26 +365,46 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _counter_rows(counts: np.ndarray) -> pa.RecordBatch:
+    """(part, at, n) of the counters that are not 0, ``COUNTERS`` a row at most."""
+    part, at, n = [], [], []
+    for k in range(0, len(counts), COUNTERS):
+        own = counts[k:k + COUNTERS]
+        if (used := np.flatnonzero(own)).size:
+            part.append(k // COUNTERS)
+            at.append(used.astype(np.int16))
+            n.append(own[used])
+    columns = [pa.array(part, pa.int32()), pa.array(at, pa.list_(pa.int16())), pa.array(n, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "at", "n"])
+
+
+def _add_counters(counts: np.ndarray, batches: Iterable[pa.RecordBatch]) -> np.ndarray:
+    for b in batches:
+        for part, at, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            counts[part * COUNTERS + at.values.to_numpy().astype(np.int64)] += n.values.to_numpy()
+    return counts
+
+
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How often the shingles of a bounded sample of documents (text) fall into each of ``BUCKETS``.
+    """In how many documents (text) shingles of each of ``BUCKETS`` stand: all documents, each shingle of its set once.
 
-    It only orders the shingles, so that common ones are rarely compared; links do not depend on it.
+    It only orders the shingles, so that common ones are rarely compared; links do
+    not depend on it. A task hands on its counters, not its shingles.
     """
-    share = max(1, docs.count() // COUNTED)
-    texts = docs.filter(F.pmod(F.xxhash64("text", F.lit("counts")), F.lit(share)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                counts[(shingle_set(t, width) % BUCKETS).astype(np.int64)] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
-
-    out, got = np.zeros(BUCKETS, np.int64), texts.select("text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).filter("n > 1")
-    for t in got.toArrow().to_batches():  # BUCKETS rows at most
-        out[t.column(0).to_numpy()] = t.column(1).to_numpy()
-    return out
+                np.add.at(counts, (shingle_set(t, width) % BUCKETS).astype(np.int64), 1)
+        yield _counter_rows(counts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _counter_rows(_add_counters(np.zeros(BUCKETS, np.int64), batches))
+
+    schema = "part int, at array<smallint>, n array<bigint>"
+    found = docs.select("text").mapInArrow(run, schema).repartition("part").mapInArrow(add, schema)
+    return _add_counters(np.zeros(BUCKETS, np.int64), found.toArrow().to_batches())  # 10 MB at most
 
 
 def with_prefixes(texts: DataFrame, width: int, like: tuple[int, int]) -> DataFrame:
