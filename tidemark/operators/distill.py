@@ -19,7 +19,7 @@ Literal = str | dict[str, str]
 
 
 def redacted(text: Column, ext: Column, literal: Literal) -> Column:
-    return R.redact(text, pattern=literal) if isinstance(literal, str) else R.redact_code(text, ext, literal)
+    return R.redact(text, pattern=literal) if isinstance(literal, str) else R.redact_code_nested(text, ext, literal)
 
 
 def resolved(path: Column) -> Column:
